@@ -29,8 +29,8 @@ from .common import map_batches, texts
 NONE = np.int64(1) << 62
 #: Words up to so many symbols are merged in lockstep.
 SHORT = 64
-#: Words and pieces that a worker keeps encoded; the older go when it is full.
-CACHE_WORDS = 250_000
+#: Words, and pieces, that a worker keeps encoded: about 200 MB together.
+CACHE_WORDS = 600_000
 SEPARATORS = regex.compile("[\\x1c-\\x1f]")
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -189,8 +189,11 @@ class Encoder:
 
     def __init__(self, v: Vocabulary, cache_words: int = CACHE_WORDS) -> None:
         self.v, self.most = v, cache_words
-        self.known: dict[str, list[int]] = {}
+        #: Ids, number of ids and what they decode to; in two generations, of which the older goes as the younger fills.
+        self.words: dict[str, tuple[str, int, str]] = {}
+        self.old_words: dict[str, tuple[str, int, str]] = {}
         self.pieces: dict[str, tuple[str, int, str]] = {}
+        self.old_pieces: dict[str, tuple[str, int, str]] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -213,37 +216,45 @@ class Encoder:
         return self.v.pattern.findall(text) if SEPARATORS.search(text) else text.split()
 
     def learn(self, pieces: set[str]) -> None:
-        """Encodes the pieces that the cache lacks."""
+        """Sees to it that the younger generation of the cache holds all of pieces."""
+        self.pieces, self.old_pieces = self._turned(self.pieces, self.old_pieces)
         words: dict[str, list[str]] = {}
         for p in pieces.difference(self.pieces):
-            words[p] = [p] if p in self.v.special else self.v.pattern.findall(p)
-        if len(self.pieces) + len(words) > self.most:
-            for p in list(self.pieces)[: len(self.pieces) // 2]:
-                if p not in pieces:
-                    del self.pieces[p]
+            if p in self.old_pieces:
+                self.pieces[p] = self.old_pieces[p]
+            else:
+                words[p] = [p] if p in self.v.special else self.v.pattern.findall(p)
         self._learn_words({w for ws in words.values() for w in ws})
         for p, ws in words.items():
-            ids = [i for w in ws for i in self.known[w]]
-            self.pieces[p] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+            if len(ws) == 1:
+                self.pieces[p] = self.words[ws[0]]
+            else:
+                ids, n, shown = zip(*map(self.words.__getitem__, ws), strict=True) if ws else ((), (), ())
+                self.pieces[p] = (" ".join(ids), sum(n), " ".join(shown))
 
     def _learn_words(self, words: set[str]) -> None:
-        fresh = words.difference(self.known)
-        if len(self.known) + len(fresh) > self.most:
-            self.known = {w: self.known[w] for w in words - fresh}
+        self.words, self.old_words = self._turned(self.words, self.old_words)
         short: dict[int, list[tuple[str, bytes]]] = {}
-        for w in fresh:
-            if w in self.v.special:
-                self.known[w] = [self.v.special[w]]
-                continue
-            b = w.encode()
-            if len(b) <= SHORT:
+        for w in words.difference(self.words):
+            if w in self.old_words:
+                self.words[w] = self.old_words[w]
+            elif w in self.v.special:
+                self._keep(w, [self.v.special[w]])
+            elif len(b := w.encode()) <= SHORT:
                 short.setdefault((len(b) - 1).bit_length(), []).append((w, b))
             else:
-                self.known[w] = merge_one(self.v, b)
+                self._keep(w, merge_one(self.v, b))
         for group in short.values():
             for at in range(0, len(group), 20_000):
                 part = group[at : at + 20_000]
-                self.known.update(zip((w for w, _ in part), merge_many(self.v, [b for _, b in part]), strict=True))
+                for (w, _), ids in zip(part, merge_many(self.v, [b for _, b in part]), strict=True):
+                    self._keep(w, ids)
+
+    def _keep(self, word: str, ids: list[int]) -> None:
+        self.words[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
+
+    def _turned(self, young: dict, old: dict) -> tuple[dict, dict]:
+        return (young, old) if len(young) < self.most // 2 else ({}, young)
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
