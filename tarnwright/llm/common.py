@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,23 @@ def _remove_all() -> None:
             return
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the workers this package, once a session: a cluster's machines need not have it installed."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    out = os.path.join(tempfile.mkdtemp(prefix="tarnwright-"), "tarnwright.zip")
+    with zipfile.ZipFile(out, "w") as z:
+        for folder, _, names in os.walk(package):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(package)))
+    context.addPyFile(out)
+
+
 def map_batches(
     df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | Iterable[dict[str, object]]]], schema: str
 ) -> DataFrame:
@@ -53,6 +73,7 @@ def map_batches(
     The function may give a dict of columns or several of them (to bound what is held at once).
     """
     spark = df.sparkSession
+    ship(spark)
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in spark.createDataFrame([], schema).schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
+from .near_dedup import near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -26,8 +27,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op5_bpe": op5_bpe,
+    "op8_minhash": op8_minhash,
 }
 
 ORACLES: dict[str, str] = {}
