@@ -10,6 +10,7 @@ from .bpe import bpe_digests
 from .lang_id import identify
 from .near_dedup import near_duplicates
 from .pii import find_pii
+from .url_filter import judge, oracle_sql as url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +38,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -45,7 +50,10 @@ QUERIES: dict[str, Query] = {
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op5_bpe": op5_bpe,
+    "op7_urlfilter": op7_urlfilter,
     "op8_minhash": op8_minhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_urlfilter": url_filter_sql(),
+}
