@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import bpe_digests
 from .lang_id import identify
+from .lm_score import score_documents
+from .media import media_digests
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .url_filter import judge, oracle_sql as url_filter_sql
@@ -46,12 +48,22 @@ def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_digests(table(spark, sf_dir, "documents"))
+
+
+def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op5_bpe": op5_bpe,
     "op7_urlfilter": op7_urlfilter,
     "op8_minhash": op8_minhash,
+    "op9_media": op9_media,
+    "op10_lmscore": op10_lmscore,
 }
 
 ORACLES: dict[str, str] = {
