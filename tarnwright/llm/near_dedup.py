@@ -11,8 +11,10 @@ from bins drawn by a fixed table (optimal densification). Four bins make a band;
 a bucket. A link at the threshold misses all 32 bands with probability below 1e-5.
 
 In a bucket every member is compared with the smallest one only (a star). Members of a bucket that are in different
-components after that are the rest; their sketches are compared block by block within a task, and pairs that may
-reach the threshold are confirmed as well. So a bucket of any size loses no pair, and no bucket's pairs are emitted.
+components after that are the rest: their sketches are compared block by block within a task, and each one's
+likeliest partners are confirmed. What may still be linked then (same bucket, different components, sketches alike)
+hangs together in families, found by spanning forests; full sets of a family are compared block by block within
+tasks, which give links only. So no pair is lost, and no group's pairs are ever listed.
 
 Defined results: rows that share a doc_id are one document. A row without doc_id keeps its n_shingles, has no
 component and is kept.
@@ -35,10 +37,12 @@ from .common import map_batches, materialise, ship, utf8
 WORDS = 5
 BINS, BAND = 128, 4
 SHARE = 75
+#: How many of its likeliest partners in a bucket a member is compared with before families are.
+ASKED = 2
 #: Sketches of pairs at the threshold agree in fewer bins with probability below 1e-3.
 LEAST_AGREEING = int(0.62 * BINS)
 #: Spokes of a star, and members of a bucket's block, that one group of rows holds.
-SPOKES, BLOCK = 512, 1024
+SPOKES, BLOCK, FAMILY_BLOCK = 512, 1024, 256
 #: Up to so many rows of ids are broadcast to the documents; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -151,6 +155,14 @@ def _streamed(df: DataFrame, keys: list[str], order: list[str], each: Callable,
     return sorted_rows.mapInArrow(run, schema)
 
 
+def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (node, ...) with the texts of its nodes, as bytes. Few ids are sent to the texts, many meet them by a shuffle."""
+    bodies = docs.select(F.col("doc_id").alias("node"), F.col("text").cast("binary").alias("text")).where(F.col("text").isNotNull())
+    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    return bodies.join(wanted, "node")
+
+
 def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose full sets reach the threshold. A hub a with many spokes is dealt to several groups."""
     pairs = pairs.select("a", "b")
@@ -158,10 +170,7 @@ def confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     spokes = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"), F.lit(1).alias("role"), F.col("b").alias("node"))
     hubs = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("node"))
     wanted = spokes.unionByName(hubs)
-    bodies = docs.select(F.col("doc_id").alias("node"), "text").where(F.col("text").isNotNull())
-    if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
-    rows = bodies.join(wanted, "node").select("a", "part", "role", "node", F.col("text").cast("binary").alias("text"))
+    rows = _with_text(docs, wanted).select("a", "part", "role", "node", "text")
 
     def each(group: Iterator[dict]) -> Iterator[tuple[int, int]]:
         hub: list[np.ndarray] = []
@@ -201,36 +210,103 @@ def _labelled(nodes: DataFrame, found: DataFrame) -> DataFrame:
     return nodes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
-def _rest(buckets: DataFrame, reps: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs (a, b) that share a bucket, are in different components, and whose sketches may reach the threshold."""
+def _within_buckets(buckets: DataFrame, reps: DataFrame, found: DataFrame, asked: Callable) -> DataFrame:
+    """Calls asked(node, near) for every block, or two, of each bucket with several components.
+
+    near(i) gives the places of members that are in other components than member i and whose sketches say that the
+    pair may reach the threshold, the likeliest first. A bucket's pairs are looked at here only, never listed.
+    """
     rows = _labelled(buckets.select("bucket", "node"), found)
     mixed = rows.groupBy("bucket").agg(F.min("component").alias("one"), F.max("component").alias("two"), F.count("*").alias("members")).where("one <> two")
-    mixed = mixed.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
-    rows = rows.join(mixed, "bucket").join(reps.select("node", "n_shingles", "bands"), "node")
+    rows = rows.join(mixed.select("bucket", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "bucket")
+    rows = _blocked(rows.join(reps.select("node", "n_shingles", "bands"), "node")).select("bucket", "p", "q", "block", "node", "component", "n_shingles", "bands")
+
+    def each(group: Iterator[dict]) -> Iterator[tuple[int, int]]:
+        members = list(group)
+        sketches = np.array([m["bands"] for m in members], np.int64).view(np.uint16)
+        node, component, n, block = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "n_shingles", "block"))
+        across = members[0]["p"] != members[0]["q"]
+
+        def near(i: int) -> np.ndarray:
+            ok = (component != component[i]) & (100 * np.minimum(n, n[i]) >= SHARE * np.maximum(n, n[i]))
+            if across:
+                ok &= block != block[i]
+            some = np.flatnonzero(ok)
+            agree = (sketches[some] == sketches[i]).sum(axis=1) if some.size else some
+            some, agree = some[agree >= LEAST_AGREEING], agree[agree >= LEAST_AGREEING]
+            return some[np.lexsort((node[some], -agree))]
+
+        yield from asked(node, near)
+
+    return _streamed(rows, ["bucket", "p", "q"], [], each, "a bigint, b bigint").distinct()
+
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Deals each key's rows to blocks, and each row to all pairs of blocks (p, q) that hold its own."""
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "component", "n_shingles", "bands")
+    return rows.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
+
+
+def _likeliest(node: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
+    """Each member's likeliest partners."""
+    for i in range(len(node)):
+        for j in near(i)[:ASKED].tolist():
+            yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+
+
+def _forest(node: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the graph of pairs that may reach the threshold: fewer edges than members."""
+    fresh = np.ones(len(node), bool)
+    for start in range(len(node)):
+        if not fresh[start]:
+            continue
+        fresh[start], todo = False, [start]
+        while todo:
+            i = todo.pop()
+            reached = near(i)
+            reached = reached[fresh[reached]]
+            fresh[reached] = False
+            todo += reached.tolist()
+            for j in reached.tolist():
+                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+
+
+def _within_families(docs: DataFrame, families: DataFrame, found: DataFrame) -> DataFrame:
+    """Links between different components of a family, from full sets, compared block by block within tasks.
+
+    families: node, component (the family). One link between two components is enough; within a group of rows,
+    components that were linked there are not compared again.
+    """
+    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    members = _labelled(families.join(sizes, "component").withColumnRenamed("component", "family"), found)
+    rows = _with_text(docs, members)
+    rows = _blocked(rows).select("family", "p", "q", "block", "node", "component", "text")
 
     def each(group: Iterator[dict]) -> Iterator[tuple[int, int]]:
-        members = list(group)  # two blocks at most
-        left = [m for m in members if m["block"] == members[0]["p"]]
-        right = left if members[0]["p"] == members[0]["q"] else [m for m in members if m["block"] == members[0]["q"]]
-        if not left or not right:
-            return
-        part = lambda ms: (np.array([m["bands"] for m in ms], np.int64).view(np.uint16), *(np.array([m[k] for m in ms], np.int64) for k in ("node", "component", "n_shingles")))
-        s1, n1, c1, k1 = part(left)
-        s2, n2, c2, k2 = part(right)
-        for i in range(len(left)):
-            ok = (c2 != c1[i]) & (100 * np.minimum(k2, k1[i]) >= SHARE * np.maximum(k2, k1[i]))
-            if left is right:
-                ok[: i + 1] = False
+        members = list(group)
+        sets = [shingle_sets([m["text"]])[0] for m in members]
+        sketches = np.array([sketch(s) for s in sets]).view(np.uint16)
+        node, component, block = (np.array([m[k] for m in members], np.int64) for k in ("node", "component", "block"))
+        n = np.fromiter(map(len, sets), np.int64, len(sets))
+        across = members[0]["p"] != members[0]["q"]
+        for i in range(len(members)):
+            ok = (component[:i] != component[i]) & (100 * np.minimum(n[:i], n[i]) >= SHARE * np.maximum(n[:i], n[i]))
+            if across:
+                ok &= block[:i] != block[i]
             some = np.flatnonzero(ok)
-            if some.size:
-                agree = (s2[some] == s1[i]).sum(axis=1)
-                for j in some[agree >= LEAST_AGREEING]:
-                    yield int(min(n1[i], n2[j])), int(max(n1[i], n2[j]))
+            if not some.size:
+                continue
+            agree = (sketches[some] == sketches[i]).sum(axis=1)
+            for j in some[np.argsort(-agree, kind="stable")][: int((agree >= LEAST_AGREEING).sum())].tolist():
+                if component[j] == component[i]:
+                    continue
+                shared = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * shared >= SHARE * (n[i] + n[j] - shared):
+                    yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+                    component[component == component[j]] = component[i]
 
-    return _streamed(rows, ["bucket", "p", "q"], [], each, "a bigint, b bigint").distinct()
+    return _streamed(rows, ["family", "p", "q"], ["node"], each, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -248,9 +324,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spokes = buckets.where("node <> centre").groupBy("node").agg(F.min("centre").alias("a")).select("a", F.col("node").alias("b"))
     links = materialise(confirmed(docs, spokes), "confirmed")
     found = components(links)
-    more = materialise(_rest(buckets, reps, found), "rest")
-    if not more.isEmpty():
-        found = components(links.unionByName(confirmed(docs, more)))
+    likely = materialise(_within_buckets(buckets, reps, found, _likeliest), "likely")
+    if not likely.isEmpty():
+        links = materialise(links.unionByName(confirmed(docs, likely)), "confirmed")
+        found = components(links)
+        families = components(_within_buckets(buckets, reps, found, _forest))
+        families = families.unionByName(families.select(F.col("component").alias("node"), "component").distinct())
+        more = materialise(_within_families(docs, families, found), "related")
+        if not more.isEmpty():
+            found = components(links.unionByName(more))
 
     nodes = drawn.select("doc_id", "n_shingles", "hi", "lo").join(_labelled(classes, found), ["hi", "lo"], "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id")
