@@ -12,6 +12,7 @@ from .lm_score import score_documents
 from .media import media_digests
 from .near_dedup import near_duplicates
 from .pii import find_pii
+from .substring_dedup import repeated_passages
 from .url_filter import judge, oracle_sql as url_filter_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +37,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -59,6 +64,7 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
+    "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
     "op7_urlfilter": op7_urlfilter,
     "op8_minhash": op8_minhash,
