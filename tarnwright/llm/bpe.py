@@ -301,16 +301,19 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
-    """docs with token_ids ARRAY<INT> and decoded STRING; every column of docs stays, a clashing one is replaced."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
+    """bpe_digests with the ids themselves, token_ids ARRAY<INT>, for every row of docs. No shuffle."""
 
-    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
-
-    @F.arrow_udf(kind)
-    def run(column: pa.Array) -> pa.Array:
+    def make():
         enc = encoder(path)
-        ids = [enc.encode(t or "") for t in column.to_pylist()]
-        return pa.StructArray.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array([enc.decode(i) for i in ids])], ["ids", "decoded"])
 
-    return docs.withColumn("token_ids", run("text")).withColumns({"decoded": F.col("token_ids.decoded"), "token_ids": F.col("token_ids.ids")})
+        def each(batch: pa.RecordBatch):
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                docs = texts(part)
+                n, ids, decoded = enc.digests(docs)
+                tokens = [np.array(enc.encode(t), np.int32) for t in docs]
+                yield {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded, "token_ids": tokens}
+
+        return each
+
+    return map_batches(docs.select("doc_id", "text"), make, SCHEMA + ", token_ids array<int>")

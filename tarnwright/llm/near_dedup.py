@@ -337,3 +337,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = drawn.select("doc_id", "n_shingles", "hi", "lo").join(_labelled(classes, found), ["hi", "lo"], "left")
     component = F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), "doc_id")
     return nodes.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs, with their columns, that are kept: one of each component, and of each doc_id.
+
+    Rows without doc_id stay. Of rows that share a doc_id any one stays.
+    """
+    told = materialise(near_duplicates(docs), "told")
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
+    twice = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice_id")).count().where("count > 1").select("_twice_id")
+    out = docs.join(_sent(gone), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    if twice.isEmpty():
+        return out
+    once = out.join(_sent(twice), out["doc_id"] == F.col("_twice_id"), "left_anti")
+    return once.unionByName(out.join(_sent(twice), out["doc_id"] == F.col("_twice_id"), "left_semi").dropDuplicates(["doc_id"]))
+
+
+def _sent(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else ids

@@ -357,7 +357,10 @@ def find_pii(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs with every span of its texts replaced; null texts stay null, rows and columns stay as they are."""
+    """docs with every span of its texts replaced; null texts stay null, rows and other columns stay as they are.
+
+    Where a text changed, a column n_chars gets its new length.
+    """
     trees = model()
     ship(docs.sparkSession)
 
@@ -367,4 +370,8 @@ def redacted(docs: DataFrame) -> DataFrame:
         found = all_spans([t or "" for t in whole], trees)
         return pa.array([None if t is None else redact(t, every) for t, (_, every) in zip(whole, found, strict=True)], pa.string())
 
-    return docs.withColumn("text", clean(F.col("text")))
+    new = clean(F.col("text"))
+    out = {"text": new}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(new != F.col("text"), F.length(new).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return docs.withColumns(out)

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest, oracle_sql as ann_sql
 from .bpe import bpe_digests
 from .lang_id import identify
 from .lm_score import score_documents
 from .media import media_digests
+from .mixing import mix, quality_domain
 from .near_dedup import near_duplicates
 from .pii import find_pii
 from .substring_dedup import repeated_passages
@@ -29,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = table(spark, sf_dir, "labels").select("doc_id", quality_domain().alias("domain"))
+    return mix(table(spark, sf_dir, "documents"), labelled)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"))
 
@@ -45,6 +52,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
@@ -62,10 +73,12 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mixing": op1_mixing,
     "op2_langid": op2_langid,
     "op3_pii": op3_pii,
     "op4_substrings": op4_substrings,
     "op5_bpe": op5_bpe,
+    "op6_ann": op6_ann,
     "op7_urlfilter": op7_urlfilter,
     "op8_minhash": op8_minhash,
     "op9_media": op9_media,
@@ -73,5 +86,6 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op6_ann": ann_sql(),
     "op7_urlfilter": url_filter_sql(),
 }
