@@ -1,15 +1,15 @@
 """Nearest neighbours by inner product from randomly rotated one-bit codes.
 
-A vector o is rotated by a fixed random orthogonal matrix; the signs of its coordinates are its code, packed in
-bits, and two scalars go with it: its length, and f, the mean absolute coordinate of the rotated unit vector times
-sqrt(D), which is the inner product of the unit vector and its code. For a query q the estimate of <o, q> is
+A vector o of dimension D is padded with zeros to L = LONGER * D and rotated by a fixed random orthogonal matrix; the
+signs of the L coordinates are its code, packed in bits, and two scalars go with it: its length, and f, the inner
+product of the rotated unit vector and its code (as a unit vector). For a query q the estimate of <o, q> is
 |o| / f * <code, rotated q>, and its error is below
 
-    |o| |q| sqrt((1 - f^2) / f^2) * EPSILON / sqrt(D - 1)
+    |o| |q| sqrt((1 - f^2) / f^2) * EPSILON / sqrt(L - 1)
 
-but for a small probability. A block of candidates keeps, for each query, those whose upper bound reaches the block's
-or an earlier block's K-th best exact score, and computes the exact inner product for these alone; so with EPSILON
-well above 1.9 the result misses almost nothing (recall against brute force is tested).
+but for a small probability. A candidate whose upper bound reaches what the query's K-th best is known to reach gets
+its exact inner product; so with EPSILON well above 1.9 the result misses almost nothing (recall against brute force
+is tested). What a K-th best reaches is known from a sample of at most SAMPLE candidates, and from those seen so far.
 
 Queries are a stated set; they are sent in blocks of QUERY_BLOCK (bounded, 16 MB at 512 dimensions) to all
 candidates, which are read once a block. No pair of query and candidate is ever a row: a task keeps K candidates a
@@ -33,23 +33,23 @@ from pyspark.sql import functions as F
 from .common import materialise, ship
 
 NEIGHBOURS, EVERY = 20, 20
-EPSILON = 4.0
-QUERY_BLOCK, ROW_BLOCK = 4096, 2048
+LONGER, EPSILON = 4, 4.0
+QUERY_BLOCK, ROW_BLOCK, SAMPLE = 4096, 512, 4096
 
 SCHEMA = "query_id bigint, vec_id bigint, score double"
 
 
 def rotation(dim: int, seed: int = 5) -> np.ndarray:
-    """A random orthogonal matrix, the same wherever it is made."""
-    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))
-    return q * np.sign(np.diag(r))
+    """dim orthonormal rows of length LONGER * dim, the same wherever they are made."""
+    q, r = np.linalg.qr(np.random.default_rng(seed).normal(size=(LONGER * dim, dim)))
+    return (q * np.sign(np.diag(r))).T.copy()
 
 
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits, lengths and f of non-zero vectors."""
     length = np.linalg.norm(vectors, axis=1)
     turned = (vectors / length[:, None]) @ turn
-    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / turn.shape[0] ** 0.5
+    return np.packbits(turned > 0, axis=1), length, np.abs(turned).sum(axis=1) / turn.shape[1] ** 0.5
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -63,38 +63,34 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Search:
     """Keeps the best candidates of each query over the blocks it is given."""
 
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int) -> None:
-        dim = queries.shape[1]
-        self.ids, self.queries, self.k = ids, queries, k
-        self.turn = rotation(dim)
-        self.turned = (queries @ self.turn / dim**0.5).T.astype(np.float32)
-        self.error = (np.linalg.norm(queries, axis=1) * EPSILON / max(1, dim - 1) ** 0.5).astype(np.float32)
+    def __init__(self, ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> None:
+        self.ids, self.queries, self.floor, self.k = ids, queries, floor, k
+        self.turn = rotation(queries.shape[1])
+        long = self.turn.shape[1]
+        self.turned = (queries @ self.turn / long**0.5).T.astype(np.float32)
+        self.error = (np.linalg.norm(queries, axis=1) * EPSILON / max(1, long - 1) ** 0.5).astype(np.float32)
         self.best = np.full((len(ids), k), -np.inf)
         self.found = np.full((len(ids), k), -1, np.int64)
 
     def block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        dim = vectors.shape[1]
         codes, length, f = encode(vectors, self.turn)
-        signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
-        guess = signs @ self.turned  # candidates by queries
-        guess *= (length / f)[:, None].astype(np.float32)
-        slack = np.sqrt(np.maximum(0, 1 - f * f)) / f * length
-        err = slack[:, None].astype(np.float32) * self.error + np.float32(1e-5) * length[:, None].astype(np.float32)
-        # the K-th best lower bound of this block, or what is known already, is sure to be reached
-        # (the query itself may be among K + 1; repeated ids could fill them all)
-        sure = self.best[:, -1]
-        at = len(ids) - self.k - 1
-        if at >= 0 and len(np.unique(ids)) == len(ids):
-            lower = np.partition(guess - err, at, axis=0)[at]
-            sure = np.maximum(sure, lower)
-        row, query = np.nonzero((guess + err >= sure) & (ids[:, None] != self.ids))
+        signs = np.unpackbits(codes, axis=1, count=self.turn.shape[1]).astype(np.float32) * 2 - 1
+        upper = (signs * (length / f)[:, None].astype(np.float32)) @ self.turned  # candidates by queries
+        slack = (np.sqrt(np.maximum(0, 1 - f * f)) / f * length).astype(np.float32)
+        upper += slack[:, None] * self.error
+        sure = np.maximum(self.best[:, -1], self.floor)
+        row, query = np.nonzero(upper >= (sure - 1e-5 * np.abs(sure)).astype(np.float32))
+        other = ids[row] != self.ids[query]
+        row, query = row[other], query[other]
         if not len(row):
             return
         score = np.empty(len(row))
         for at in range(0, len(row), 100_000):
             part = slice(at, at + 100_000)
             score[part] = exact(vectors[row[part]], self.queries[query[part]])
-        some = score >= self.best[query, -1]
+        some = score >= sure[query]
+        if not some.any():
+            return
         row, query, score = row[some], query[some], score[some]
         # merge with what is kept: by query, then score, then vec_id; a vec_id once
         kept_q, kept_i = np.nonzero(self.found >= 0) if (self.found >= 0).any() else (np.zeros(0, int), np.zeros(0, int))
@@ -160,16 +156,31 @@ def nearest(table: DataFrame, k: int = NEIGHBOURS, every: int = EVERY) -> DataFr
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
 
+def floors(ids: np.ndarray, queries: np.ndarray, own: np.ndarray, vectors: np.ndarray, k: int) -> np.ndarray:
+    """A score that each query's k-th best is sure to reach: its k-th best among some candidates of distinct ids."""
+    if len(own) <= k:
+        return np.full(len(ids), -np.inf)
+    out = np.empty(len(ids))
+    for at in range(0, len(ids), 512):
+        score = queries[at : at + 512] @ vectors.T
+        score[ids[at : at + 512, None] == own] = -np.inf
+        kth = np.partition(score, len(own) - k, axis=1)[:, len(own) - k]
+        out[at : at + 512] = kth - 1e-9 * np.abs(kth)
+    return out
+
+
 def _block_results(rows: DataFrame, queries: DataFrame, dim: int, k: int) -> DataFrame:
     """The best k of each partition of rows for one block of queries."""
     spark = rows.sparkSession
     got = queries.toArrow()
     ids, vectors = got.column("vec_id").to_numpy(), matrix(got.column("vector").combine_chunks(), dim)
-    sent = spark.sparkContext.broadcast((ids, vectors))
+    some = rows.limit(SAMPLE).toArrow()
+    own, first = np.unique(some.column("vec_id").to_numpy(), return_index=True)
+    floor = floors(ids, vectors, own, matrix(some.column("vector").combine_chunks(), dim)[first], k)
+    sent = spark.sparkContext.broadcast((ids, vectors, floor))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, queries = sent.value
-        search = Search(ids, queries, k)
+        search = Search(*sent.value, k)
         for b in batches:
             own, vectors = b.column("vec_id").to_numpy(), matrix(b.column("vector"), dim)
             for at in range(0, len(own), ROW_BLOCK):
