@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarnwright.sources.tables import kept
+
 #: Steps of the codes 1 to 8: east, south-east, south, south-west, west, north-west, north, north-east.
 STEPS = {1: (1, 0), 2: (1, -1), 3: (0, -1), 4: (-1, -1), 5: (-1, 0), 6: (-1, 1), 7: (0, 1), 8: (1, 1)}
 MOST_STEPS, CELL_M = 200, 90
@@ -25,38 +27,51 @@ def edges(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("d8").between(1, 8)).select("ix", "iy", (F.col("ix") + target(F.col("d8"), 0)).cast("bigint").alias("tx"), (F.col("iy") + target(F.col("d8"), 1)).cast("bigint").alias("ty"))
 
 
+def _jumps(step: DataFrame, rounds: int) -> list[DataFrame]:
+    """Tables of 1, 2, 4, ... steps at once (ix, iy, tx, ty): each is the last one joined with itself."""
+    out = [kept(step, "jumps")]
+    for _ in range(rounds - 1):
+        one = out[-1]
+        far = one.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("tx").alias("fx"), F.col("ty").alias("fy"))
+        out.append(kept(one.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty")), "jumps"))
+    return out
+
+
+def _steps(cells: DataFrame) -> DataFrame:
+    """The edges between cells inside the study area."""
+    inside = cells.where("inside")
+    return edges(inside).join(inside.select(F.col("ix").alias("tx"), F.col("iy").alias("ty")), ["tx", "ty"], "left_semi").select("ix", "iy", "tx", "ty")
+
+
 def trace(cells: DataFrame, starts: DataFrame, most: int = MOST_STEPS, stop_at_trunk: float | None = None) -> DataFrame:
-    """trace_id, step, ix, iy of every route, and how it ended (on its last row).
+    """trace_id, step, ix, iy, d8 of every route from starts (trace_id, ix, iy), and how it ended (on its last row).
+
+    Where the next cell was met before, the route ends as `loop`; off the frame or the study area as `edge`; at codes
+    9, 10 and other ones as `mouth`, `depression`, `nodata`; after `most` cells as `capped`; with stop_at_trunk (km2,
+    column upa) at a trunk channel as `trunk`. Starts outside the study area have no row.
 
-    A recursive query over all routes at once: each level is an equi-join of the routes' ends with the cells. Where
-    the next cell was met before, the route ends as `loop`; off the frame or the study area as `edge`; at codes 9,
-    10 and other ones as `mouth`, `depression`, `nodata`; after `most` cells as `capped`. With stop_at_trunk (km2,
-    column upa) it ends at a trunk channel.
+    All routes advance together: the cell at step s is reached by the jumps that make up s, so a few joins give whole
+    routes of any length up to `most`, where following them cell by cell takes a join a step.
     """
-    spark = cells.sparkSession
-    upa = "upa" if stop_at_trunk is not None else "CAST(NULL AS DOUBLE)"
-    cells.selectExpr("ix", "iy", "d8", "inside", f"{upa} AS upa").createOrReplaceTempView("_trace_cells")
-    starts.select("trace_id", F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy")).createOrReplaceTempView("_trace_starts")
-    dx = " ".join(f"WHEN {c} THEN {s[0]}" for c, s in STEPS.items())
-    dy = " ".join(f"WHEN {c} THEN {s[1]}" for c, s in STEPS.items())
-    trunk = f"upa > {stop_at_trunk}" if stop_at_trunk is not None else "false"
-    sql = f"""
-WITH RECURSIVE walk(trace_id, step, ix, iy, d8, upa, path) MAX RECURSION LEVEL {most + 50} AS (
-  SELECT s.trace_id, 0, c.ix, c.iy, c.d8, c.upa, array(named_struct('x', c.ix, 'y', c.iy))
-  FROM _trace_starts s JOIN _trace_cells c ON s.ix = c.ix AND s.iy = c.iy WHERE c.inside
-  UNION ALL
-  SELECT w.trace_id, w.step + 1, c.ix, c.iy, c.d8, c.upa, array_append(w.path, named_struct('x', c.ix, 'y', c.iy))
-  FROM walk w JOIN _trace_cells c
-    ON c.ix = w.ix + CASE w.d8 {dx} END AND c.iy = w.iy + CASE w.d8 {dy} END
-  WHERE c.inside AND w.step < {most - 1} AND NOT ({trunk.replace('upa', 'w.upa')})
-    AND NOT array_contains(w.path, named_struct('x', c.ix, 'y', c.iy))
-) SELECT trace_id, step, ix, iy, d8, upa, path FROM walk"""
-    walk = spark.sql(sql)
-    last = F.max("step").over(Window.partitionBy("trace_id")) == F.col("step")
-    nx, ny = F.col("ix") + target(F.col("d8"), 0), F.col("iy") + target(F.col("d8"), 1)
-    how = F.when(F.expr(trunk), "trunk").when(F.col("d8") == 9, "mouth").when(F.col("d8") == 10, "depression").when(~F.col("d8").between(1, 8), "nodata")
-    how = how.when(F.array_contains("path", F.struct(nx.cast("bigint").alias("x"), ny.cast("bigint").alias("y"))), "loop").when(F.col("step") >= most - 1, "capped").otherwise("edge")
-    return walk.withColumn("how", F.when(last, how)).select("trace_id", "step", "ix", "iy", "d8", "how")
+    flowing = cells if stop_at_trunk is None else cells.where(~(F.coalesce("upa", F.lit(0.0)) > stop_at_trunk))
+    step = edges(flowing.where("inside")).join(cells.where("inside").select(F.col("ix").alias("tx"), F.col("iy").alias("ty")), ["tx", "ty"], "left_semi").select("ix", "iy", "tx", "ty")
+    rounds = max(1, (most - 1).bit_length())
+    at = starts.select("trace_id", F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"))
+    at = at.join(cells.where("inside").select("ix", "iy"), ["ix", "iy"], "left_semi")
+    at = at.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
+    for k, jump in reversed(list(enumerate(_jumps(step, rounds)))):
+        taken = F.col("step").bitwiseAND(F.lit(1 << k)) != 0
+        moved = at.join(jump, ["ix", "iy"], "left").where(~taken | F.col("tx").isNotNull())
+        at = moved.select("trace_id", "step", F.when(taken, F.col("tx")).otherwise(F.col("ix")).alias("ix"), F.when(taken, F.col("ty")).otherwise(F.col("iy")).alias("iy"))
+    first = F.min("step").over(Window.partitionBy("trace_id", "ix", "iy"))
+    at = at.withColumn("again", F.when(F.col("step") > first, F.col("step")))
+    whole = Window.partitionBy("trace_id")
+    at = at.withColumn("looped", F.min("again").over(whole)).where(F.col("looped").isNull() | (F.col("step") < F.col("looped")))
+    upa = [c for c in ("upa",) if stop_at_trunk is not None]
+    at = at.join(cells.select("ix", "iy", "d8", *upa), ["ix", "iy"]).withColumn("last", F.max("step").over(whole) == F.col("step"))
+    how = F.when(F.col("upa") > stop_at_trunk, "trunk").when(F.col("d8") == 9, "mouth") if upa else F.when(F.col("d8") == 9, "mouth")
+    how = how.when(F.col("d8") == 10, "depression").when(~F.col("d8").between(1, 8), "nodata").when(F.col("step") >= most - 1, "capped").when(F.col("looped").isNotNull(), "loop").otherwise("edge")
+    return at.withColumn("how", F.when(F.col("last"), how)).select("trace_id", "step", "ix", "iy", "d8", "how")
 
 
 def endings(traced: DataFrame) -> DataFrame:
@@ -66,18 +81,10 @@ def endings(traced: DataFrame) -> DataFrame:
 
 
 def terminals(cells: DataFrame, rounds: int = 8) -> DataFrame:
-    """ix, iy, tx, ty: where each cell's flow is after 2 ** rounds steps, by doubling: each round joins the table with itself."""
-    from tarnwright.sources.tables import kept
-
-    inside = cells.where("inside")
-    step = edges(inside).join(inside.select(F.col("ix").alias("tx"), F.col("iy").alias("ty")), ["tx", "ty"], "left_semi")
-    at = inside.select("ix", "iy").join(step, ["ix", "iy"], "left").select("ix", "iy", F.coalesce("tx", "ix").alias("tx"), F.coalesce("ty", "iy").alias("ty"))
-    for i in range(rounds):
-        far = at.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("tx").alias("fx"), F.col("ty").alias("fy"))
-        at = at.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty"))
-        if i % 4 == 3:
-            at = kept(at, "terminals")
-    return at
+    """ix, iy, tx, ty: where each cell's flow is after 2 ** rounds steps; it stays where it ends."""
+    inside = cells.where("inside").select("ix", "iy")
+    at = inside.join(_steps(cells), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("tx", "ix").alias("tx"), F.coalesce("ty", "iy").alias("ty"))
+    return _jumps(at, rounds + 1)[-1]
 
 
 def monotonicity(traced: DataFrame, value: str, tolerance: int = 1, least_cells: int = 3) -> DataFrame:

@@ -322,7 +322,7 @@ TRACE_SQL = f"""{fx.CELL_SQL}, walk AS (SELECT ix * 40 + iy AS trace_id, 0 AS st
 UNION ALL SELECT trace_id, step + 1, c.ix, c.iy, c.d8, list_append(path, c.ix * 100 + c.iy) FROM (SELECT *, ix + {NEXT_X} AS nx, iy + {NEXT_Y} AS ny FROM walk) w JOIN cells c ON c.ix = w.nx AND c.iy = w.ny
 WHERE c.inside AND step < 199 AND NOT list_contains(path, c.ix * 100 + c.iy)),
 told AS (SELECT trace_id, step, ix, iy, d8, CASE WHEN step = max(step) OVER (PARTITION BY trace_id) THEN CASE WHEN d8 = 9 THEN 'mouth' WHEN d8 = 10 THEN 'depression' WHEN d8 NOT BETWEEN 1 AND 8 THEN 'nodata'
-WHEN list_contains(path, (ix + {NEXT_X}) * 100 + iy + {NEXT_Y}) THEN 'loop' WHEN step >= 199 THEN 'capped' ELSE 'edge' END END AS how FROM walk)"""
+WHEN step >= 199 THEN 'capped' WHEN list_contains(path, (ix + {NEXT_X}) * 100 + iy + {NEXT_Y}) THEN 'loop' ELSE 'edge' END END AS how FROM walk)"""
 
 
 def _traced(spark: SparkSession) -> DataFrame:
