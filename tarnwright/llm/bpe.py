@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import map_batches, texts
+from .common import cached_as, map_batches, texts
 
 NONE = np.int64(1) << 62
 #: Words up to so many symbols are merged in lockstep.
@@ -285,6 +285,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(vocabulary(path))
 
 
+cached_as("bpe", encoder.cache_clear)
+
+
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and decoded text, for every row of docs. No shuffle."""
 
@@ -297,7 +300,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), make, SCHEMA, "bpe")
 
 
 def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
@@ -316,4 +319,4 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
 
         return each
 
-    return map_batches(docs.select("doc_id", "text"), make, SCHEMA + ", token_ids array<int>")
+    return map_batches(docs.select("doc_id", "text"), make, SCHEMA + ", token_ids array<int>", "bpe")

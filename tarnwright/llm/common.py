@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -14,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 _shipped: set[str] = set()
+_caches: dict[str, Callable[[], object]] = {}
+_holder: list[str] = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,18 +69,40 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(out)
 
 
+def cached_as(name: str, clear: Callable[[], object]) -> None:
+    """Says how to empty a cache that outlives a task."""
+    _caches[name] = clear
+
+
+def hold(name: str = "") -> None:
+    """Called by a task in its worker: caches of other operators that ran there before are emptied."""
+    if _holder[0] == name:
+        return
+    _holder[0] = name
+    for other, clear in _caches.items():
+        if other != name:
+            clear()
+    gc.collect()
+    try:  # gives what is free back to the system, where the C library can
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        return
+
+
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | Iterable[dict[str, object]]]], schema: str
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | Iterable[dict[str, object]]]], schema: str, cache: str = ""
 ) -> DataFrame:
     """mapInArrow with one state object a task: make() is called in the worker and turns each batch into columns.
 
-    The function may give a dict of columns or several of them (to bound what is held at once).
+    The function may give a dict of columns or several of them (to bound what is held at once). cache names the
+    cache that it uses, if any.
     """
     spark = df.sparkSession
     ship(spark)
     arrow = pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in spark.createDataFrame([], schema).schema.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold(cache)
         each = make()
         for batch in batches:
             made = each(batch)

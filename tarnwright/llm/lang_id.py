@@ -30,13 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, texts
+from .common import cached_as, hold, map_batches, ship, texts
 
 FOLDS = 5
 MOST_DOCS, MOST_CHARS, MOST_WORDS = 3_000, 20_000, 6_000
 HIDDEN, PIECE = 16, 32
 ROUNDS, BATCH, RATE = 5, 256, 0.02
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 
 LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
@@ -228,6 +228,7 @@ def learned(docs: DataFrame) -> Network | None:
 
 
 _labellers: dict[int, Labeller] = {}
+cached_as("lang_id", _labellers.clear)
 
 
 def labeller(net: Network) -> Labeller:
@@ -255,7 +256,7 @@ def identify(docs: DataFrame, net: Network | None = None) -> DataFrame:
 
         return each
 
-    return map_batches(rows, make, SCHEMA)
+    return map_batches(rows, make, SCHEMA, "lang_id")
 
 
 def accepted(docs: DataFrame, least: float = 0.35) -> DataFrame:
@@ -266,11 +267,10 @@ def accepted(docs: DataFrame, least: float = 0.35) -> DataFrame:
 
     @F.arrow_udf("struct<lang: string, score: double>")
     def guess(column: pa.Array) -> pa.Array:
+        hold("lang_id")
         langs, scores = labeller(net).predict([t or "" for t in column.to_pylist()])
         return pa.StructArray.from_arrays([pa.array(langs), pa.array(scores, pa.float64())], ["lang", "score"])
 
-    from .common import ship
-
     ship(docs.sparkSession)
     made = guess(F.col("text"))
     return docs.where((made["lang"] != "und") & (made["score"] >= least))

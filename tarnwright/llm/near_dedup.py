@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, ship, utf8
+from .common import hold, map_batches, materialise, ship, utf8
 
 WORDS = 5
 BINS, BAND = 128, 4
@@ -134,6 +134,7 @@ def _streamed(df: DataFrame, keys: list[str], order: list[str], each: Callable,
     sorted_rows = df.repartition(*keys).sortWithinPartitions(*keys, *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
         names = [f.strip().split()[0] for f in schema.split(",")]
         out = pa.schema([(n, pa.int64()) for n in names])
 

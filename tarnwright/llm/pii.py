@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, ship, texts
+from .common import hold, map_batches, ship, texts
 
 KINDS = ("email", "ip", "card", "phone")
 ORDER = {k: i for i, k in enumerate(KINDS)}
@@ -366,6 +366,7 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     @F.arrow_udf("string")
     def clean(column: pa.Array) -> pa.Array:
+        hold()
         whole = column.to_pylist()
         found = all_spans([t or "" for t in whole], trees)
         return pa.array([None if t is None else redact(t, every) for t, (_, every) in zip(whole, found, strict=True)], pa.string())
