@@ -61,7 +61,7 @@ def tankers(volume: Column) -> Column:
 
 def shortfall(required: Column, stored: Column) -> Column:
     """What is still to be stored; null where nothing was stated."""
-    return F.greatest(required - stored, F.lit(0.0))
+    return F.when(stored.isNotNull(), F.greatest(required - stored, F.lit(0.0)))
 
 
 def error_budget(terms: tuple[float, ...] = ERROR_TERMS) -> float:
