@@ -241,7 +241,7 @@ def _written(rng: random.Random, letters: str) -> tuple[str, list[Span]]:
     plain = "".join(c for c in letters if c.isascii()) or "ab"
     local = lambda: "".join(rng.choice(plain) for _ in range(rng.randint(2, 8)))
     true = [
-        ("email", rng.choice(("", "email ", "write to ")), local() + at + local() + dot + rng.choice(("com", "org", "net"))),
+        ("email", rng.choice(("email ", "write to ") if at == " at " else ("", "email ", "write to ")), local() + at + local() + dot + rng.choice(("com", "org", "net"))),
         ("email", "", word() + rng.choice((".", "")) + num(2) + "@" + domain(".")),
         ("phone", rng.choice(("phone ", "tel. ", "call ", "fax: ", "mobile ")), rng.choice((f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(7)}", f"{num(3)} {num(3)} {num(4)}", f"0{num(3)}/{num(6)}"))),
         ("phone", "", f"({num(3)}) {num(3)}-{num(4)}"),
@@ -253,7 +253,7 @@ def _written(rng: random.Random, letters: str) -> tuple[str, list[Span]]:
         f"{num(1)}.{num(2)}.{num(1)}.{num(4)}", "order " + num(10), "invoice no " + f"{num(3)}-{num(4)}", "id " + num(12), "isbn 978-" + f"{num(1)}-{num(3)}-{num(5)}-{num(1)}",
         "total " + f"{num(3)} {num(3)} {num(3)}", "version " + quad("-"), f"{word()} at {word()}.{word()}", f"{word()}@{word()}", f"{num(3)} {num(4)} {num(2)}", f"page {num(3)}-{num(4)}",
         '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"', f"{num(4)} {num(4)} {num(4)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}", f"{num(3)}-{num(2)}-{num(4)}",
-        f"{num(4)}-{num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", num(10), num(11), f"{num(16)} {num(16)}", f"look at this {word()} dot com",
+        f"{num(4)}-{num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", num(10), num(11), f"{num(16)} {num(16)}", f"{local()} at {local()} dot com",
     ]
     text, spans = "", []
     for _ in range(rng.randint(1, 3)):
