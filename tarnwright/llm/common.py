@@ -52,9 +52,18 @@ def _remove_all() -> None:
             return
 
 
+#: Rows of documents that are handed to a worker at once. With Spark's 10000, long texts take hundreds of megabytes.
+BATCH_ROWS = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Gives the workers this package, once a session: a cluster's machines need not have it installed."""
+    """Gives the workers this package, once a session: a cluster's machines need not have it installed.
+
+    Also bounds Arrow batches, unless the session says otherwise.
+    """
     context = spark.sparkContext
+    if context.getConf().get("spark.sql.execution.arrow.maxRecordsPerBatch") is None:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
@@ -83,6 +92,7 @@ def hold(name: str = "") -> None:
         if other != name:
             clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:  # gives what is free back to the system, where the C library can
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):
