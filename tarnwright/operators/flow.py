@@ -106,3 +106,10 @@ def route_length(traced: DataFrame, cell_m: float = CELL_M) -> DataFrame:
     """Metres of each route; diagonal steps are longer by the square root of two."""
     step = F.when(F.col("how").isNotNull(), 0.0).when(F.col("d8") % 2 == 0, cell_m * 2**0.5).otherwise(F.lit(float(cell_m)))
     return traced.groupBy("trace_id").agg(F.sum(step).alias("metres"))
+
+
+def receiving(traced: DataFrame, upstream: DataFrame, k: int = 3) -> DataFrame:
+    """The k cells of each route with most upstream area (ix, iy, upa), the nearer first on a tie."""
+    rank = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.col("upa").desc(), "step"))
+    rows = traced.join(upstream.select("ix", "iy", "upa"), ["ix", "iy"]).withColumn("rank", rank)
+    return rows.where(F.col("rank") <= k).select("trace_id", "rank", "ix", "iy", "upa")

@@ -156,12 +156,11 @@ def chunk_faults(chunks: DataFrame) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """Eight hexadecimal digits of all rows' digests in order of key.
+    """Eight hexadecimal digits that depend on the rows' keys and bodies, not on their order.
 
-    Rows are digested where they are; what is gathered is 64 characters a row, for corpora of authored texts.
+    Each row is digested where it is; the digests' halves are summed, so partial sums are all that is shuffled.
     """
-    each = rows.select(F.struct(F.col(key), F.sha2(F.concat_ws("\n", key, body), 256).alias("d")).alias("s"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["d"]), "")
-    return each.agg(F.substring(F.sha2(joined, 256), 1, 8).alias("version"))
-
-
+    digest = F.sha2(F.concat_ws("\n", F.col(key).cast("string"), body), 256)
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)"))
+    sums = rows.agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b"))
+    return sums.select(F.substring(F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")), 256), 1, 8).alias("version"))

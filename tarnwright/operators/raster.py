@@ -136,3 +136,15 @@ def resample(target: DataFrame, source: DataFrame, factor: int, bands: list[str]
 def classify(pixels: DataFrame, bands: dict[str, Column]) -> DataFrame:
     """Overlay of co-registered layers: the bands are columns of one wide table."""
     return pixels.withColumns(bands)
+
+
+def select_bands(pixels: DataFrame, pattern: str, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """The keys and the bands whose whole name fits the pattern."""
+    return pixels.select(*keys, pixels.colRegex(f"`(?!(?:{'|'.join(keys)})$){pattern}`"))
+
+
+def above_minimum(pixels: DataFrame, band: str, ceiling: int = 255) -> DataFrame:
+    """Whole units of a band above its least value in the table, clamped to a byte. The minimum is one broadcast row."""
+    least = pixels.agg(F.min(band).alias("_least"))
+    above = F.least(F.greatest(F.col(band) - F.col("_least"), F.lit(0)), F.lit(ceiling))
+    return pixels.join(F.broadcast(least)).withColumn("above_min", F.floor(above + 0.5).cast("smallint")).drop("_least")

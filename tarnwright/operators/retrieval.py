@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwright.functions.text import tokenize
+from tarnwright.sources.tables import numbered
 
 #: Saturation and length normalisation of BM25, share of the trigger channel, chunks of a pack.
 K1, B, TRIGGER_SHARE, PACK_CHUNKS = 1.2, 0.75, 0.65, 12
@@ -112,3 +113,15 @@ def intent(question: Column) -> Column:
     for name, words in reversed(INTENT_WORDS.items()):
         out = F.when(F.arrays_overlap(found, F.array(*map(F.lit, words.split()))), name).otherwise(out)
     return out
+
+
+def build_index(chunks: DataFrame, order: tuple[str, ...] = ("kind", "file")) -> dict[str, DataFrame]:
+    """Tables of an index over chunks (id, title, tags, body and the order columns): docs (doc, id, dl), postings, df, stats.
+
+    Documents are numbered from 0 in order.
+    """
+    rows = chunks.select(*order, "id", weighted_tokens(F.col("title"), F.col("tags"), F.col("body")).alias("tokens"))
+    rows = numbered(rows, list(order), "doc")
+    docs = rows.select("doc", "id", F.size("tokens").alias("dl"))
+    found = postings(rows, "doc", "tokens")
+    return {"docs": docs, "postings": found, "df": found.groupBy("term").agg(F.count("*").alias("df")), "stats": docs.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), F.lit(K1).alias("k1"), F.lit(B).alias("b"))}

@@ -81,3 +81,10 @@ def holdout_spread(rows: DataFrame, splits: DataFrame, predicted: str, truth: st
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """n rows without replacement: those with the smallest hash of key and seed, the smaller key on a tie."""
     return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+
+
+def hold_out(spark, blocks: int, k: int, seeds: list[int]) -> DataFrame:
+    """seed, block: k of the blocks a seed, those with the smallest hash of both."""
+    rows = spark.range(blocks * len(seeds)).select(F.get(F.array(*map(F.lit, seeds)), (F.col("id") % len(seeds)).cast("int")).alias("seed"), F.floor(F.col("id") / len(seeds)).cast("int").alias("block"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.xxhash64("seed", "block"), "block"))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("seed", "block")

@@ -17,3 +17,9 @@ def write_features(rows: DataFrame, geometry: str, properties: list[str], path:
 
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
+
+
+def write_index(index: dict[str, DataFrame], folder: str) -> None:
+    """The tables of an index, a folder each."""
+    for name, table in index.items():
+        table.write.mode("overwrite").parquet(f"{folder}/{name}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,12 @@ def swap_in(df: DataFrame, path: str, least_rows: int = 1) -> bool:
     fs.rename(hadoop(staging), hadoop(path))
     fs.delete(hadoop(old), True)
     return True
+
+
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """rows with their place from 0 in the given (total) order. Sorted by ranges in parallel; only the ranges' counts are summed in one place."""
+    ranged = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
+    return ranged.join(F.broadcast(counts.select("_part", before.alias("_before"))), "_part").withColumn(name, place).drop("_part", "_before")

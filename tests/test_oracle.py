@@ -2,6 +2,7 @@
 
 import pytest
 
+from tarnwright.plans import more  # noqa: F401
 from tarnwright.plans.catalogue import ORACLES, QUERIES
 
 from .conftest import DATA
