@@ -279,7 +279,9 @@ def _within_families(docs: DataFrame, families: DataFrame, found: DataFrame) ->
     families: node, component (the family). One link between two components is enough; within a group of rows,
     components that were linked there are not compared again.
     """
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / FAMILY_BLOCK).cast("int").alias("blocks"))
+    # larger families have larger blocks, so that members are sent to fewer of them
+    width = F.least(F.greatest(F.count("*") / 64, F.lit(float(FAMILY_BLOCK))), F.lit(float(BLOCK)))
+    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / width).cast("int").alias("blocks"))
     members = _labelled(families.join(sizes, "component").withColumnRenamed("component", "family"), found)
     rows = _with_text(docs, members)
     rows = _blocked(rows).select("family", "p", "q", "block", "node", "component", "text")
@@ -315,9 +317,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     drawn = materialise(sketches(docs), "sketches")
     full = drawn.where("hi is not null and doc_id is not null")
-    classes = full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"))
+    # a table of its own: its joins then deal both sides anew, and a hot class's rows can be split
+    classes = materialise(full.groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "classes")
     reps = full.join(classes.withColumnRenamed("node", "doc_id"), ["hi", "lo", "doc_id"], "left_semi").select(F.col("doc_id").alias("node"), "n_shingles", "bands").dropDuplicates(["node"])
-    reps = materialise(reps, "classes")
+    reps = materialise(reps, "representatives")
 
     rows = reps.select("node", F.posexplode("bands").alias("band", "value")).select("node", F.xxhash64("band", "value").alias("bucket"))
     stars = rows.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("members")).where("members > 1")
