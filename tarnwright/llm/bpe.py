@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
@@ -265,18 +266,23 @@ class Encoder:
         """As the library decodes without a decoder: the tokens, a space between them; unknown ids are skipped."""
         return " ".join(self.v.tokens[i] for i in ids if i in self.v.tokens)
 
-    def digests(self, docs: list[str]) -> tuple[list[int], list[str], list[str]]:
-        """Of each text: number of tokens, SHA-256 of the ids, SHA-256 of what they decode to."""
-        counts, ids_hash, text_hash = [], [], []
+    def strings(self, docs: list[str]) -> Iterator[tuple[int, str, str]]:
+        """Of each text: number of tokens, ids and what they decode to, both joined by spaces."""
         for at in range(0, len(docs), 200):
             cut = [self.split(t) for t in docs[at : at + 200]]
             self.learn({p for pieces in cut for p in pieces})
             for pieces in cut:
                 ids, n, shown = zip(*map(self.pieces.__getitem__, pieces), strict=True) if pieces else ((), (), ())
-                counts.append(sum(n))
-                ids_hash.append(hashlib.sha256(" ".join(filter(None, ids)).encode()).hexdigest())
-                text_hash.append(hashlib.sha256(" ".join(filter(None, shown)).encode()).hexdigest())
-        return counts, ids_hash, text_hash
+                yield sum(n), " ".join(filter(None, ids)), " ".join(filter(None, shown))
+
+    def digests(self, docs: list[str]) -> tuple[list[int], list[str], list[str]]:
+        """Of each text: number of tokens, SHA-256 of the ids, SHA-256 of what they decode to."""
+        found = [(n, sha256(ids), sha256(shown)) for n, ids, shown in self.strings(docs)]
+        return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
+
+
+def sha256(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
 
 
 @cache
@@ -310,12 +316,13 @@ def bpe_encode(docs: DataFrame, path: str) -> DataFrame:
         enc = encoder(path)
 
         def each(batch: pa.RecordBatch):
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                docs = texts(part)
-                n, ids, decoded = enc.digests(docs)
-                tokens = [np.array(enc.encode(t), np.int32) for t in docs]
-                yield {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": ids, "decoded_sha256": decoded, "token_ids": tokens}
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                found = list(enc.strings(texts(part)))
+                yield {
+                    "doc_id": part.column("doc_id"), "n_tokens": [f[0] for f in found], "ids_sha256": [sha256(f[1]) for f in found], "decoded_sha256": [sha256(f[2]) for f in found],
+                    "token_ids": [np.array(f[1].split(), np.int32) for f in found],
+                }
 
         return each
 
