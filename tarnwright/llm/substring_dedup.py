@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, utf8
+from .common import map_batches, materialise, utf8
 
 WINDOW, LEAST, MOST = 16, 12, 256
 #: A cut where the 16-bit hash is below this: one position in 22.
@@ -108,6 +108,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start_byte, end_byte, n_words, n_chunks, owner_id, redundant: a row a repeated passage and document."""
     made = chunks(docs)
     repeated = made.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner <> other").select("digest", "owner")
+    repeated = materialise(repeated, "repeated")  # a table of its own: its join deals both sides anew, and a hot digest's rows can be split
     high = lambda c: F.shiftright(c, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
     rows = made.join(repeated, "digest").select(
