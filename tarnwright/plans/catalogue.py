@@ -82,7 +82,7 @@ def bm25_topk(spark, d):
     return retrieval.top(_bm25(spark, d), "doc_id", 20)
 
 
-TRIGGERED_SQL = "trig AS (SELECT query, doc_id, doc_id % 2 = 0 AS always FROM (SELECT doc_id FROM documents WHERE doc_id % 97 = 0), (SELECT DISTINCT query FROM qs))"
+TRIGGERED_SQL = "trig AS (SELECT query, doc_id, source = 'src1' AS always FROM (SELECT doc_id, source FROM documents WHERE lang = 'fr'), (SELECT DISTINCT query FROM qs))"
 
 
 @query(
@@ -92,7 +92,7 @@ f AS (SELECT query, doc_id, CASE WHEN always IS NOT NULL THEN 0.65 ELSE 0 END +
 SELECT query, doc_id, round(CASE WHEN always THEN GREATEST(s, 0.2) ELSE s END, 6) AS score FROM f"""
 )
 def fused_scores(spark, d):
-    fired = read(spark, d, "documents").where("doc_id % 97 = 0").select("doc_id", (F.col("doc_id") % 2 == 0).alias("always"))
+    fired = read(spark, d, "documents").where("lang = 'fr'").select("doc_id", (F.col("source") == "src1").alias("always"))
     triggered = fired.withColumn("query", F.explode(F.array(*map(F.lit, QUESTIONS))))
     return retrieval.fuse(_bm25(spark, d), triggered, "doc_id").select("query", "doc_id", r6("score"))
 
@@ -318,7 +318,7 @@ def flip_diagnosis(spark, d):
 
 NEXT_X = "CASE d8 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 4 THEN -1 WHEN 5 THEN -1 WHEN 6 THEN -1 WHEN 8 THEN 1 WHEN 3 THEN 0 WHEN 7 THEN 0 END"
 NEXT_Y = "CASE d8 WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN -1 WHEN 4 THEN -1 WHEN 5 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 1 END"
-TRACE_SQL = f"""{fx.CELL_SQL}, walk AS (SELECT ix * 40 + iy AS trace_id, 0 AS step, ix, iy, d8, [ix * 100 + iy] AS path FROM cells WHERE inside AND (ix * 40 + iy) % 7 = 0
+TRACE_SQL = f"""{fx.CELL_SQL}, walk AS (SELECT ix * 40 + iy AS trace_id, 0 AS step, ix, iy, d8, [ix * 100 + iy] AS path FROM cells WHERE inside
 UNION ALL SELECT trace_id, step + 1, c.ix, c.iy, c.d8, list_append(path, c.ix * 100 + c.iy) FROM (SELECT *, ix + {NEXT_X} AS nx, iy + {NEXT_Y} AS ny FROM walk) w JOIN cells c ON c.ix = w.nx AND c.iy = w.ny
 WHERE c.inside AND step < 199 AND NOT list_contains(path, c.ix * 100 + c.iy)),
 told AS (SELECT trace_id, step, ix, iy, d8, CASE WHEN step = max(step) OVER (PARTITION BY trace_id) THEN CASE WHEN d8 = 9 THEN 'mouth' WHEN d8 = 10 THEN 'depression' WHEN d8 NOT BETWEEN 1 AND 8 THEN 'nodata'
@@ -327,7 +327,7 @@ WHEN step >= 199 THEN 'capped' WHEN list_contains(path, (ix + {NEXT_X}) * 100 +
 
 def _traced(spark: SparkSession) -> DataFrame:
     cells = fx.cells(spark)
-    starts = cells.select((F.col("ix") * 40 + F.col("iy")).alias("trace_id"), "ix", "iy").where("trace_id % 7 = 0")
+    starts = cells.select((F.col("ix") * 40 + F.col("iy")).alias("trace_id"), "ix", "iy")
     return flow.trace(cells, starts)
 
 

@@ -308,3 +308,13 @@ def test_fingerprint_depends_on_content_only(spark):
     two = quality.fingerprint(spark.createDataFrame(rows[::-1], "id string, body string").repartition(2), "id", "body").first()[0]
     other = quality.fingerprint(spark.createDataFrame([("a", "one"), ("b", "three")], "id string, body string"), "id", "body").first()[0]
     assert one == two != other and len(one) == 8
+
+
+def test_held_out_blocks(spark):
+    rows = stats.hold_out(spark, 24, 8, [0, 1, 2]).collect()
+    by = {s: sorted(r["block"] for r in rows if r["seed"] == s) for s in (0, 1, 2)}
+    assert all(len(set(b)) == 8 and set(b) <= set(range(24)) for b in by.values()) and by[0] != by[1]
+
+
+def test_bands_by_name(spark):
+    assert raster.select_bands(fx.pixels(spark), "(upa|hand)").columns == ["y", "x", "hand", "upa"]

@@ -95,3 +95,26 @@ def test_stream_screens_as_a_batch_does(spark, tmp_path):
     key = lambda df: sorted((r["site_id"], r["code"]) for r in df.select("site_id", "code").collect())
     assert key(spark.table("screened")) == key(batch)
     assert batch.where(F.col("verdict") == "APPROVE").count() == 0
+
+
+def test_places_in_order(spark):
+    rows = spark.range(1000).selectExpr("(id * 7919) % 1000 AS v").repartition(7)
+    got = tables.numbered(rows, ["v"], "place")
+    assert got.where("v <> place").count() == 0 and got.count() == 1000
+
+
+def test_lines_are_counted(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "f.md").write_text("1\n2\n3\n")
+    assert [tuple(r) for r in corpus.line_counts(spark, str(tmp_path)).collect()] == [("a/f.md", 3)]
+
+
+def test_index_tables(spark, tmp_path):
+    from tarnwright.operators.retrieval import build_index
+
+    chunks = spark.createDataFrame([("b.two", "b", "2", "Lake", ["flood"], "lake lake"), ("a.one", "a", "1", "Drain", [], "water")], "id string, kind string, file string, title string, tags array<string>, body string")
+    index = build_index(chunks)
+    assert [(r["doc"], r["id"], r["dl"]) for r in index["docs"].orderBy("doc").collect()] == [(0, "a.one", 2), (1, "b.two", 6)]
+    assert {(r["term"], r["doc"]): r["tf"] for r in index["postings"].collect()} == {("drain", 0): 1, ("water", 0): 1, ("lake", 1): 3, ("flood", 1): 3}
+    sinks.write_index(index, f"file://{tmp_path}/index")
+    assert spark.read.parquet(f"file://{tmp_path}/index/stats").first()["n"] == 2
