@@ -5,8 +5,13 @@ only and fall into step again after an insertion. Chunks have LEAST to MOST byte
 shorter). A chunk whose digest occurs in at least two documents is repeated; repeated chunks that follow one another
 in a document form a passage, reported if it has CORE_WORDS words or more. The chunks at both ends of a copied
 stretch usually reach beyond it and are not part of the core, so a stretch of over 50 words has a core of at least
-CORE_WORDS with probability above 0.99. A passage belongs to the document with the smallest doc_id that holds any of
-its chunks; there it is kept, in the others it is redundant.
+CORE_WORDS with probability above 0.99.
+
+A chunk belongs to the document with the smallest doc_id that holds it; there it is kept, in the others it is
+redundant, so every repeated digest survives. A passage is reported in pieces, a row each: a piece ends where the
+owner changes or where the chunks no longer follow one another in the owner as they do here, so the owner holds each
+piece as it stands. A chunk's place in its owner is the first one there; where an owner repeats a chunk, pieces may
+be shorter than they could be.
 
 Counting is by digest with partial sums before the shuffle; what is joined back is one row a chunk, and a digest is
 one row on the other side, so no group of equal chunks is ever expanded or gathered.
@@ -72,21 +77,25 @@ def cuts(docs: list[bytes]) -> list[list[int]]:
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, place (start and end), words (word starts before start and before end); a row a chunk."""
+    """digest, doc_id, place (start and end), words (word starts before start and before end), first (the start of
+    the text's first chunk of that digest); a row a chunk."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             ids, raw = batch.column("doc_id").to_numpy(), utf8(batch)
             for at in range(0, len(raw), 200):
                 part = raw[at : at + 200]
-                digest, doc, start, end, word = [], [], [], [], []
+                digest, doc, start, end, word, first = [], [], [], [], [], []
                 for d, ends, i in zip(part, cuts(part), ids[at : at + 200], strict=True):
                     if not ends:
                         continue
                     space = _SPACE[np.frombuffer(d, np.uint8)]
                     begun = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
                     begins = [0, *ends[:-1]]
-                    digest += [xxhash.xxh3_64_intdigest(d[a:b]) for a, b in zip(begins, ends, strict=True)]
+                    made = [xxhash.xxh3_64_intdigest(d[a:b]) for a, b in zip(begins, ends, strict=True)]
+                    met: dict[int, int] = {}
+                    first += [met.setdefault(x, a) for x, a in zip(made, begins, strict=True)]
+                    digest += made
                     doc.append(np.full(len(ends), i, np.int64))
                     start.append(np.array(begins, np.int64))
                     end.append(np.array(ends, np.int64))
@@ -97,40 +106,52 @@ def chunks(docs: DataFrame) -> DataFrame:
                         "doc_id": np.concatenate(doc),
                         "place": np.concatenate(start) << 32 | np.concatenate(end),
                         "words": np.concatenate(word),
+                        "first": np.array(first, np.int64),
                     }
 
         return each
 
-    return map_batches(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), make, "digest bigint, doc_id bigint, place bigint, words bigint")
+    return map_batches(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), make, "digest bigint, doc_id bigint, place bigint, words bigint, first bigint")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start_byte, end_byte, n_words, n_chunks, owner_id, redundant: a row a repeated passage and document."""
+    """doc_id, start_byte, end_byte, n_words, n_chunks, owner_id, redundant: a row a piece of a repeated passage and document."""
     made = chunks(docs)
-    repeated = made.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other")).where("owner <> other").select("digest", "owner")
+    repeated = made.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.min_by("first", "doc_id").alias("held"))
+    repeated = repeated.where("owner <> other").select("digest", "owner", "held")
     repeated = materialise(repeated, "repeated")  # a table of its own: its join deals both sides anew, and a hot digest's rows can be split
     high = lambda c: F.shiftright(c, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    start = high("place")
+    shift = F.when(F.col("doc_id") == F.col("owner"), 0).otherwise(F.col("held") - start)
     rows = made.join(repeated, "digest").select(
-        "doc_id", "owner", high("place").alias("start"), low("place").alias("end"), high("words").alias("w0"), low("words").alias("w1")
+        "doc_id", "owner", shift.alias("shift"), start.alias("start"), low("place").alias("end"), high("words").alias("w0"), low("words").alias("w1")
     )
     by_place = Window.partitionBy("doc_id").orderBy("start", "end")
+    so_far = by_place.rowsBetween(Window.unboundedPreceding, 0)
     reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1))
-    rows = rows.withColumn("passage", F.sum("new").over(by_place.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = rows.groupBy("doc_id", "passage").agg(
+    goes_on = (F.lag("owner").over(by_place) == F.col("owner")) & (F.lag("shift").over(by_place) == F.col("shift"))
+    rows = rows.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1)).withColumn("turn", F.when((F.col("new") == 0) & goes_on, 0).otherwise(1))
+    rows = rows.withColumn("passage", F.sum("new").over(so_far)).withColumn("piece", F.sum("turn").over(so_far))
+    pieces = rows.groupBy("doc_id", "passage", "piece").agg(
         F.min("start").alias("start_byte"),
         F.max("end").alias("end_byte"),
-        (F.max("w1") - F.min("w0")).alias("n_words"),
+        F.min("w0").alias("w0"),
+        F.max("w1").alias("w1"),
         F.count("*").alias("n_chunks"),
         F.min("owner").alias("owner_id"),
     )
-    whole = whole.where(F.col("n_words") >= CORE_WORDS)
-    return whole.select("doc_id", "start_byte", "end_byte", "n_words", "n_chunks", "owner_id", (F.col("owner_id") != F.col("doc_id")).alias("redundant"))
+    passage = Window.partitionBy("doc_id", "passage")
+    pieces = pieces.withColumn("core", F.max("w1").over(passage) - F.min("w0").over(passage)).where(F.col("core") >= CORE_WORDS)
+    n_words = (F.col("w1") - F.col("w0")).alias("n_words")
+    return pieces.select("doc_id", "start_byte", "end_byte", n_words, "n_chunks", "owner_id", (F.col("owner_id") != F.col("doc_id")).alias("redundant"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with redundant passages cut out of their texts; rows, columns and other texts stay as they are."""
+    """docs with redundant pieces cut out of their texts; rows, columns and other texts stay as they are.
+
+    A character that reaches into a kept chunk is kept.
+    """
     spans = repeated_passages(docs).where("redundant").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_cuts"))
 
     @F.arrow_udf("string")
@@ -138,10 +159,18 @@ def without_repeats(docs: DataFrame) -> DataFrame:
         out = []
         for t, spans in zip(text.to_pylist(), found.to_pylist(), strict=True):
             if t is not None and spans:
-                raw, kept, at = t.encode(), [], 0
-                for s in spans:
-                    kept.append(raw[at : s["start_byte"]])
-                    at = s["end_byte"]
+                raw, kept, at, i = t.encode(), [], 0, 0
+                while i < len(spans):
+                    start, end = spans[i]["start_byte"], spans[i]["end_byte"]
+                    while i + 1 < len(spans) and spans[i + 1]["start_byte"] <= end:  # neighbours are one cut
+                        i, end = i + 1, max(end, spans[i + 1]["end_byte"])
+                    i += 1
+                    while start < end and raw[start : start + 1] and raw[start] & 0xC0 == 0x80:
+                        start += 1
+                    while end > start and raw[end : end + 1] and raw[end] & 0xC0 == 0x80:
+                        end -= 1
+                    kept.append(raw[at:start])
+                    at = end
                 t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
             out.append(t)
         return pa.array(out, pa.string())

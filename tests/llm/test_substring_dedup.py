@@ -73,6 +73,44 @@ def test_cutting_leaves_the_owner_whole(spark):
     assert out[1] == rows[0][1] and len(out[2]) < 120 and out[2].startswith("fin") and out[2].endswith("ñ")
 
 
+def test_one_shared_chunk_does_not_give_a_passage_away(spark):
+    """Documents 2 and 3 are copies; document 1 holds one chunk of theirs, and all of them letters of two bytes."""
+    copy = words(random.Random(5), 400).replace("a", "é")
+    raw = copy.encode()
+    ends = substring_dedup.cuts([raw])[0]
+    at = next(i for i in range(60, len(ends)) if ends[i] - ends[i - 1] >= 40)
+    # from the chunk before on, so that cuts fall into step
+    rows = [(1, words(random.Random(6), 60) + " " + raw[ends[at - 3] : ends[at] + 3].decode("utf-8", "ignore") + " " + words(random.Random(7), 60)), (2, copy), (3, copy)]
+    rows += [(i, words(random.Random(i), 60)) for i in (4, 5)]
+    frame = spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)
+    text = {i: t.encode() for i, t in rows}
+    held = defaultdict(set)
+    for d, b in text.items():
+        found = substring_dedup.cuts([b])[0]
+        for x, y in zip([0, *found], found, strict=False):
+            held[b[x:y]].add(d)
+    repeated = {c for c, ds in held.items() if len(ds) > 1}
+    assert any(held[c] == {1, 2, 3} for c in repeated)
+    got = substring_dedup.repeated_passages(frame).collect()
+    assert {2, 3} <= {r["doc_id"] for r in got}
+    for r in got:
+        assert text[r["doc_id"]][r["start_byte"] : r["end_byte"]] in text[r["owner_id"]]
+        assert r["redundant"] == (r["owner_id"] != r["doc_id"])
+    out = {r["doc_id"]: r["text"].encode() for r in substring_dedup.without_repeats(frame).collect()}
+    assert all(any(c in b for b in out.values()) for c in repeated)
+    assert out[1] == text[1] and len(out[3]) < 60
+
+
+def test_owners_hold_what_is_reported_in_the_order_reported(spark):
+    a, b = (words(random.Random(i), 100) for i in (8, 9))
+    rows = [(1, a + " . " + b), (2, b + " . " + a), (3, b + " . " + a)]
+    text = {i: t.encode() for i, t in rows}
+    got = substring_dedup.repeated_passages(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)).collect()
+    assert {r["doc_id"] for r in got} == {1, 2, 3}
+    for r in got:
+        assert text[r["doc_id"]][r["start_byte"] : r["end_byte"]] in text[r["owner_id"]]
+
+
 def test_edges(odd_docs, no_docs):
     assert substring_dedup.repeated_passages(odd_docs).count() == 0
     assert substring_dedup.repeated_passages(no_docs).count() == 0
