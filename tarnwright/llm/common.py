@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import itertools
 import os
 import tempfile
 import uuid
@@ -100,12 +101,12 @@ def hold(name: str = "") -> None:
 
 
 def map_batches(
-    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | Iterable[dict[str, object]]]], schema: str, cache: str = ""
+    df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict[str, object] | Iterable[dict[str, object]]]], schema: str, cache: str = "", ends: bool = False
 ) -> DataFrame:
     """mapInArrow with one state object a task: make() is called in the worker and turns each batch into columns.
 
     The function may give a dict of columns or several of them (to bound what is held at once). cache names the
-    cache that it uses, if any.
+    cache that it uses, if any. With ends, it is called with None after the last batch.
     """
     spark = df.sparkSession
     ship(spark)
@@ -114,7 +115,7 @@ def map_batches(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold(cache)
         each = make()
-        for batch in batches:
+        for batch in itertools.chain(batches, [None] if ends else []):
             made = each(batch)
             for columns in [made] if isinstance(made, dict) else made:
                 yield pa.RecordBatch.from_arrays([_as_array(columns[f.name], f.type) for f in arrow], schema=arrow)

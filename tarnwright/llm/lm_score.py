@@ -6,9 +6,11 @@ documents are those whose crc32 of doc_id (as text) leaves a remainder by 10; a
 Counting covers every token and every pair of neighbours of all training documents (the end stands before the first
 token as well); n-grams are known by 63-bit hashes. The filter stores a count's level on a logarithmic scale: an
 n-gram of level q is entered q times, once a level. Reading probes level after level until one is missing, so a
-count is overestimated by a level with the filter's false-positive rate and never underestimated. The filter's size
-follows the number of entries up to MOST_BITS, the proven bound of what is broadcast; pairs seen once are not
-entered, and where the bound is reached the least counts that are entered rise (pairs first). A token's probability is
+count is overestimated by a level with the filter's false-positive rate and never underestimated. The filter grows
+with what is entered and is never in one place: n-grams are dealt into groups, about one to GROUP_BYTES of text, and
+the task that has a group counts its n-grams, makes its part of the filter and answers what the documents ask of it.
+Documents go in blocks, which send each group their n-grams with their counts once and get levels back, so the same
+holds for inputs of every size. Pairs seen once are not entered. A token's probability is
 
     p(w | h) = a * c(h, w) / c(h) + (1 - a) * p(w),    p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
@@ -24,23 +26,29 @@ Repeated rows are scored each and, as training rows, counted each.
 
 from __future__ import annotations
 
+import pickle
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, utf8
+from .common import hold, map_batches, materialise, utf8
 
 FOLDS = 10
-#: Bits of the filter a stored level, probes a level, bits of a segment, and the bound of all segments (128 MB).
+#: Bits of the filter a stored level, probes a level, bits of a segment, and the bound that _cutoffs keeps.
 BITS_A_LEVEL, PROBES, SEGMENT, MOST_BITS = 8, 5, 1 << 19, 1 << 30
 #: Words with exact counts that are broadcast (16 bytes each).
 MOST_WORDS = 1 << 20
 RATIO = 1.5
-CHUNK = 1_000_000
+#: Bytes of text that are tokenised together, and for which there is one group of n-grams.
+BLOCK_BYTES, GROUP_BYTES = 1 << 21, 1 << 23
+#: The least level entered, of words and of pairs.
+CUT = (0, 1)
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line feed
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -89,31 +97,59 @@ def held_out(column: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(column).cast("string")) % FOLDS == 0, F.lit(True))
 
 
-def counted(docs: DataFrame) -> DataFrame:
-    """key, n over all training documents; partly summed before the shuffle."""
+def groups_for(size: int) -> int:
+    """The number of groups for so many bytes of text."""
+    return max(1, -(-size // GROUP_BYTES))
+
+
+def group_of(key: np.ndarray, groups: int) -> np.ndarray:
+    return (_mixed(key * _FACTOR + _ONE) % np.uint64(groups)).astype(np.int64)
+
+
+def dealt(docs: DataFrame, groups: int) -> DataFrame:
+    """block, group, keys, counts, docs: a row a block and group, and one with docs alone a block.
+
+    keys are the block's n-grams of that group, ascending, counts how often training documents have them.
+    """
 
     def make():
+        block = TaskContext.get().partitionId() << 32
+
         def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            held: list[np.ndarray] = []
-            size = 0
+            nonlocal block
             raw = utf8(batch)
-            for at in range(0, len(raw), 100):
-                words, _ = tokens(raw[at : at + 100])
-                held += keys(words)
-                size += 2 * len(words)
-                if size >= CHUNK or at + 100 >= len(raw):
-                    key, n = np.unique(np.concatenate(held), return_counts=True)
-                    yield {"key": key.view(np.int64), "n": n}
-                    held, size = [], 0
+            filled = np.cumsum([0, *map(len, raw)])[:-1] // BLOCK_BYTES
+            ends = [*(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(raw)] if raw else []
+            for at, end in zip([0, *ends], ends, strict=False):
+                part = batch.slice(at, end - at)
+                words, length = tokens(raw[at:end])
+                both = np.concatenate(keys(words))
+                key, where = np.unique(both, return_inverse=True)
+                trains = np.repeat(~np.array(part.column("held_out").to_pylist(), bool), length)
+                n = np.bincount(where[np.concatenate([trains, trains])], minlength=len(key))
+                group = group_of(key, groups)
+                order = np.argsort(group, kind="stable")
+                starts = np.flatnonzero(np.diff(group[order], prepend=-1))
+                rows = np.split(order, starts[1:])
+                vocabulary, places = np.unique(words, return_inverse=True)
+                told = (vocabulary, places.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32), length, *(part.column(c).to_pylist() for c in ("row", "doc_id", "held_out")))
+                yield {
+                    "block": [block] * (len(rows) + 1),
+                    "group": [*group[order][starts].tolist(), block % groups],
+                    "keys": [*(key[r].tobytes() for r in rows), None],
+                    "counts": [*(n[r].astype(np.uint8 if n[r].max() < 256 else np.uint32).tobytes() for r in rows), None],
+                    "docs": [*[None] * len(rows), pickle.dumps(told)],
+                }
+                block += 1
 
         return each
 
-    found = map_batches(docs.where(~held_out()).select("text"), make, "key bigint, n bigint")
-    return found.groupBy("key").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
+    return map_batches(rows, make, "block bigint, group bigint, keys binary, counts binary, docs binary")
 
 
 def _cutoffs(levels: dict[tuple[bool, int], int]) -> tuple[int, int]:
-    """The least level entered, of words and of pairs, that keeps the filter within its bound."""
+    """The least level entered, of words and of pairs, that keeps a filter within MOST_BITS. Scores do not use it."""
     word, pair = 0, 1
     entries = lambda w, p: sum(n * max(0, q - (p if is_pair else w) + 1) for (is_pair, q), n in levels.items())
     while entries(word, pair) * BITS_A_LEVEL > MOST_BITS:
@@ -172,97 +208,90 @@ class Filter:
             level += 1
         return out
 
-    def counts(self, key: np.ndarray, pair: bool) -> np.ndarray:
-        found = self.levels(key)
-        return np.where(found > 0, MIDDLES[np.minimum(self.cut[pair] + np.maximum(found, 1) - 1, len(MIDDLES) - 1)], 0.0)
-
-
-def build(counts: DataFrame) -> Filter:
-    """The filter of a table of key, n. Each task makes whole segments; only the bounded bits reach the driver."""
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(RATIO)))
-    is_pair = F.pmod("key", F.lit(2)) == 1
-    told = counts.groupBy(is_pair.alias("pair"), level.cast("int").alias("level")).count().collect()
-    # the scale's first levels are whole counts, so their logarithmic level is translated by its least count
-    levels: dict[tuple[bool, int], int] = {}
-    for r in told:
-        q = int(np.searchsorted(LOWS, max(1, round(RATIO ** r["level"])), side="right")) - 1
-        levels[r["pair"], q] = levels.get((r["pair"], q), 0) + r["count"]
-    cut = _cutoffs(levels)
-    entries = sum(n * max(0, q - cut[p] + 1) for (p, q), n in levels.items())
-    made = Filter(max(1, -(-entries * BITS_A_LEVEL // SEGMENT)), cut, np.zeros(0, np.uint8))
-    segments = made.segments
-
-    def make_segments():
-        def each(batch: pa.RecordBatch) -> dict[str, object]:
-            key = batch.column("key").to_numpy().view(np.uint64)
-            return {"key": batch.column("key"), "n": batch.column("n"), "segment": made.segment(key)}
 
-        return each
+def read_as(levels: np.ndarray, is_pair: np.ndarray) -> np.ndarray:
+    """The counts that levels found stand for."""
+    least = np.where(is_pair, CUT[1], CUT[0])
+    return np.where(levels > 0, MIDDLES[np.minimum(least + np.maximum(levels, 1) - 1, len(MIDDLES) - 1)], 0.0)
 
-    chosen = counts.where(F.col("n") >= F.when(is_pair, int(LOWS[cut[1]])).otherwise(int(LOWS[cut[0]])))
-    dealt = map_batches(chosen, make_segments, "key bigint, n bigint, segment bigint").repartition("segment")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, Filter] = {}
-        held: list[list[np.ndarray]] = []
+ANSWERS = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("levels", pa.binary()), ("docs", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("again", pa.int64())])
 
-        def enter() -> None:
-            if not held:
-                return
-            key, n, segment = (np.concatenate(c) for c in zip(*held, strict=True))
-            held.clear()
-            order = np.argsort(segment, kind="stable")
-            starts = np.flatnonzero(np.diff(segment[order], prepend=-1))
-            for rows in np.split(order, starts[1:]):
-                f = own.setdefault(int(segment[rows[0]]), Filter(1, cut))
-                f.enter(key[rows], n[rows], np.zeros(len(rows), np.int64))
-
-        size = 0
-        for b in batches:  # many batches at a time, as each segment costs a few calls
-            held.append([b.column("key").to_numpy().view(np.uint64), b.column("n").to_numpy(), b.column("segment").to_numpy()])
-            size += b.num_rows
-            if size >= CHUNK // 4:
-                enter()
-                size = 0
-        enter()
-        for s, f in own.items():
-            yield pa.RecordBatch.from_pydict({"segment": [s], "bits": [f.bits.tobytes()]}, pa.schema([("segment", pa.int64()), ("bits", pa.binary())]))
-
-    bits = np.zeros(segments * SEGMENT // 8, np.uint8).reshape(segments, -1)
-    # made in parallel and written first; read one part after the other, so that the driver holds the filter once
-    for r in materialise(dealt.mapInArrow(run, "segment bigint, bits binary"), "segments").toLocalIterator():
-        bits[r["segment"]] = np.frombuffer(r["bits"], np.uint8)
-    return Filter(segments, cut, bits.reshape(-1))
+
+def answered(asked: DataFrame, groups: int) -> DataFrame:
+    """What blocks asked, answered by filters made of what they told, a group at a time.
+
+    Rows have block, group and levels (a byte a key), or docs as they came, or a training word's key and n, or again:
+    the pairs of a group that had occurred before.
+    """
+
+    def rows(**columns: object) -> pa.RecordBatch:
+        n = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in ANSWERS], schema=ANSWERS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        held: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
+        for b in batches:
+            for block, group, key, n, docs in zip(*(b.column(c).to_pylist() for c in ("block", "group", "keys", "counts", "docs")), strict=True):
+                if docs is None:
+                    held[group].append((block, key, n))
+                else:
+                    yield rows(block=[block], docs=[docs])
+        while held:
+            group, parts = held.popitem()
+            length = [len(k) // 8 for _, k, _ in parts]
+            key, where = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in parts]), return_inverse=True)
+            told = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == m else np.uint32) for (_, _, c), m in zip(parts, length, strict=True)])
+            n = np.bincount(where, weights=told, minlength=len(key)).astype(np.int64)  # exact below 2 ** 53
+            trained = n > 0
+            own = Filter(1, CUT, np.zeros(0, np.uint8))
+            own = Filter(max(1, -(-int(own.entries(key[trained], n[trained]).sum()) * BITS_A_LEVEL // SEGMENT)), CUT)
+            own.enter(key[trained], n[trained], own.segment(key[trained]) * SEGMENT)
+            levels = own.levels(key).astype(np.uint8)[where]
+            ends = np.cumsum(length)
+            yield rows(block=[b for b, _, _ in parts], group=[group] * len(parts), levels=[levels[e - m : e].tobytes() for e, m in zip(ends.tolist(), length, strict=True)])
+            pair = (key & _ONE).astype(bool)
+            words = trained & ~pair
+            yield rows(key=key[words].view(np.int64), n=n[words])
+            yield rows(again=[int((n[trained & pair] - 1).sum())])
+
+    schema = "block bigint, group bigint, levels binary, docs binary, key bigint, n bigint, again bigint"
+    return asked.repartition(groups, "group").mapInArrow(run, schema)
 
 
 class Scorer:
-    def __init__(self, f: Filter, known: np.ndarray, n: np.ndarray, total: int, distinct: int, weight: float) -> None:
-        self.filter, self.known, self.n, self.weight = f, known, n, weight
+    def __init__(self, groups: int, known: np.ndarray, n: np.ndarray, total: int, distinct: int, weight: float) -> None:
+        self.groups, self.known, self.n, self.weight = groups, known, n, weight
         self.whole = total + 0.1 * (distinct + 1)
 
-    def score(self, docs: list[bytes]) -> dict[str, list]:
-        words, length = tokens(docs)
+    def score(self, words: np.ndarray, length: np.ndarray, levels: np.ndarray) -> dict[str, list]:
+        """levels: those of the block's n-grams, by group and key."""
         starts = np.cumsum(length) - length
         one, two = keys(words)
-        unique, where = np.unique(one, return_inverse=True)
+        unique, where = np.unique(np.concatenate([one, two]), return_inverse=True)
+        pair = (unique & _ONE).astype(bool)
         # exact counts of frequent words
-        at = np.minimum(np.searchsorted(self.known, unique), max(0, len(self.known) - 1))
-        frequent = self.known[at] == unique if len(self.known) else np.zeros(len(unique), bool)
-        exact = np.where(frequent, np.log10((np.where(frequent, self.n[at], 0) + 0.1) / self.whole) if len(self.known) else 0.0, 0.0)
-        base = np.add.reduceat(exact[where], starts)
-        seen = np.add.reduceat(frequent[where].astype(np.int64), starts)
+        frequent, exact = np.zeros(len(unique), bool), np.zeros(len(unique))
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, unique[~pair]), len(self.known) - 1)
+            frequent[~pair] = self.known[at] == unique[~pair]
+            exact[~pair] = np.where(frequent[~pair], np.log10((self.n[at] + 0.1) / self.whole), 0.0)
+        base = np.add.reduceat(exact[where[: len(words)]], starts)
+        often = frequent[where[: len(words)]]
+        seen = np.add.reduceat(often.astype(np.int64), starts)
         # the model
-        count = self.filter.counts(unique, False)
-        pairs, of = np.unique(two, return_inverse=True)
-        joint = self.filter.counts(pairs, True)[of]
-        now = (count[where] + 0.1) / self.whole
-        history = np.concatenate([count[where[starts[0] + length[0] - 1 : starts[0] + length[0]]], count[where[:-1]]])
+        found = np.empty(len(unique), np.int64)
+        found[np.argsort(group_of(unique, self.groups), kind="stable")] = levels
+        count = read_as(found, pair)[where]
+        count, joint = count[: len(words)], count[len(words) :]
+        now = (count + 0.1) / self.whole
+        history = np.concatenate([count[length[0] - 1 : length[0]], count[:-1]])
         p = self.weight * np.minimum(joint, history) / np.maximum(history, 1) + (1 - self.weight) * now
         score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-        rare = ~frequent[where]
         rare_words, rare_counts = [], []
         for a, n in zip(starts.tolist(), length.tolist(), strict=True):
-            k, c = np.unique(one[a : a + n][rare[a : a + n]], return_counts=True)
+            k, c = np.unique(one[a : a + n][~often[a : a + n]], return_counts=True)
             rare_words.append(k.view(np.int64))
             rare_counts.append(c)
         return {"n_tokens": length, "base": base, "seen": seen, "score": score, "rare": rare_words, "times": rare_counts}
@@ -272,12 +301,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, for every row of docs."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    is_word = F.pmod("key", F.lit(2)) == 0
-    counts = materialise(counted(docs).where(is_word | (F.col("n") > 1)), "counts")
-    words = counts.where(is_word)
-    total, distinct, again = counts.agg(
-        F.coalesce(F.sum(F.when(is_word, F.col("n"))), F.lit(0)), F.count_if(is_word), F.coalesce(F.sum(F.when(~is_word, F.col("n") - 1)), F.lit(0))
-    ).first()
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    groups = groups_for(size)
+    answers = materialise(answered(dealt(docs, groups), groups), "answers")
+    words = answers.where("key is not null").select("key", "n")
+    total, distinct, again = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key"), F.coalesce(F.sum("again"), F.lit(0))).first()
     weight = again / total / 2 if total else 0.0
     by_size = words.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
     least, reached = 1 << 62, 0
@@ -288,23 +316,33 @@ def score_documents(docs: DataFrame) -> DataFrame:
     frequent = words.where(F.col("n") >= F.lit(least)).toArrow() if reached else words.limit(0).toArrow()
     known, n = (frequent.column(c).to_numpy() for c in ("key", "n"))
     order = np.argsort(known.view(np.uint64))
-    f = build(counts)
-    sent = spark.sparkContext.broadcast((f.segments, f.cut, f.bits, known.view(np.uint64)[order], n[order]))
+    sent = spark.sparkContext.broadcast((known.view(np.uint64)[order], n[order]))
 
     def make():
-        segments, cut, bits, known, n = sent.value
-        scorer = Scorer(Filter(segments, cut, bits), known, n, total, distinct, weight)
-
-        def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                yield scorer.score(utf8(part)) | {c: part.column(c) for c in ("row", "doc_id", "held_out")}
+        scorer = Scorer(groups, *sent.value, total, distinct, weight)
+        levels: dict[int, dict[int, bytes]] = defaultdict(dict)
+        told: dict[int, bytes] = {}
+
+        def each(batch: pa.RecordBatch | None) -> Iterator[dict[str, object]]:
+            if batch is not None:
+                for block, group, some, docs in zip(*(batch.column(c).to_pylist() for c in ("block", "group", "levels", "docs")), strict=True):
+                    if docs is None:
+                        levels[block][group] = some
+                    else:
+                        told[block] = docs
+                return
+            while told:
+                block, docs = told.popitem()
+                vocabulary, places, length, *rest = pickle.loads(docs)
+                found = levels.pop(block)
+                found = np.frombuffer(b"".join(found[g] for g in sorted(found)), np.uint8)
+                yield scorer.score(vocabulary[places], length, found) | dict(zip(("row", "doc_id", "held_out"), rest, strict=True))
 
         return each
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
     schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, base double, seen bigint, score double, rare array<bigint>, times array<bigint>"
-    scored = materialise(map_batches(rows, make, schema), "scored")
+    asks = answers.where("block is not null").select("block", "group", "levels", "docs").repartition(groups, "block")
+    scored = materialise(map_batches(asks, make, schema, ends=True), "scored")
     rest = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     whole = total + 0.1 * (distinct + 1)
     rest = rest.join(words.where(F.col("n") < F.lit(least)), "key", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))

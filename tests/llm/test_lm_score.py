@@ -71,6 +71,18 @@ def test_the_bound_raises_the_cutoffs(monkeypatch):
     assert pair > 1 and sum(n * max(0, q - (pair if p else word) + 1) for (p, q), n in levels.items()) * 8 <= 8 * 20_000
 
 
+def test_no_bound_changes_scores(spark, texts, documents, monkeypatch):
+    """Neither the size that a filter once was held to nor the number of groups changes what is counted."""
+    whole = {r["doc_id"]: r for r in lm_score.score_documents(documents).collect()}
+    monkeypatch.setattr(lm_score, "MOST_BITS", 8 * 2000)
+    bounded = {r["doc_id"]: r for r in check(lm_score.score_documents(documents), texts)}
+    assert all(abs(whole[d]["score"] - r["score"]) <= 1e-9 * abs(r["score"]) for d, r in bounded.items())
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 10_000)
+    parted = {r["doc_id"]: r for r in check(lm_score.score_documents(documents), texts)}
+    assert parted.keys() == whole.keys()
+    assert abs(sum(r["score"] for r in parted.values()) / sum(r["score"] for r in whole.values()) - 1) < 0.02
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = lm_score.score_documents(odd_docs).collect()
     assert len(rows) == 9
