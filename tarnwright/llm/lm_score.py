@@ -10,7 +10,7 @@ count is overestimated by a level with the filter's false-positive rate and neve
 with what is entered and is never in one place: n-grams are dealt into groups, about one to GROUP_BYTES of text, and
 the task that has a group counts its n-grams, makes its part of the filter and answers what the documents ask of it.
 Documents go in blocks, which send each group their n-grams with their counts once and get levels back, so the same
-holds for inputs of every size. Pairs seen once are not entered. A token's probability is
+holds for inputs of every size. Words and pairs are entered from count 1 on. A token's probability is
 
     p(w | h) = a * c(h, w) / c(h) + (1 - a) * p(w),    p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
@@ -48,7 +48,7 @@ RATIO = 1.5
 #: Bytes of text that are tokenised together, and for which there is one group of n-grams.
 BLOCK_BYTES, GROUP_BYTES = 1 << 21, 1 << 23
 #: The least level entered, of words and of pairs.
-CUT = (0, 1)
+CUT = (0, 0)
 
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line feed
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)

@@ -1,6 +1,7 @@
 """Language-model scores: exact base, the filter's one-sided error, held-out gain, edge cases."""
 
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 from tarnwright.llm import lm_score
 from tarnwright.llm.queries import op10_lmscore
 
-from .conftest import DATA
+from .conftest import DATA, DOCS, doc
 
 
 def counts_of(rows):
@@ -83,6 +84,24 @@ def test_no_bound_changes_scores(spark, texts, documents, monkeypatch):
     assert abs(sum(r["score"] for r in parted.values()) / sum(r["score"] for r in whole.values()) - 1) < 0.02
 
 
+def test_scores_follow_the_counts_of_all_pairs(spark):
+    """Against the formula with exact counts on the filter's scale; the filter is all but empty, so that nothing collides."""
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", f"w{rng.randrange(300)}"]) for _ in range(30))) for i in range(60)]
+    trained = [["\n", *t.split(), "\n"] for d, t in rows if zlib.crc32(str(d).encode()) % 10]
+    word = Counter(w for ws in trained for w in ws[1:])
+    pair = Counter(p for ws in trained for p in zip(ws, ws[1:], strict=False))
+    n, v = sum(word.values()), len(word)
+    a = sum(c - 1 for c in pair.values()) / n / 2
+    scale = lambda c: float(lm_score.MIDDLES[np.searchsorted(lm_score.LOWS, c, side="right") - 1]) if c else 0.0
+    assert sum(c == 1 for c in pair.values()) > 100
+    got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)).collect()}
+    for d, t in rows:
+        ws = ["\n", *t.split(), "\n"]
+        p = [a * min(scale(pair[h, w]), scale(word[h])) / max(scale(word[h]), 1) + (1 - a) * (scale(word[w]) + 0.1) / (n + 0.1 * (v + 1)) for h, w in zip(ws, ws[1:], strict=False)]
+        assert abs(got[d] - sum(math.log10(min(x, 1)) for x in p)) < 1e-6, d
+
+
 def test_edges(spark, odd_docs, no_docs):
     rows = lm_score.score_documents(odd_docs).collect()
     assert len(rows) == 9
