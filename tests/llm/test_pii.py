@@ -60,6 +60,13 @@ def test_the_trees_add(text, span):
     assert span in {text[a:b] for a, _, b in every} and set(base) <= set(every)
 
 
+@pytest.mark.parametrize("text", ["JOHN [AT] EXAMPLE [DOT] COM", "jane [ at ] example.com", "Jane ( At ) example ( Dot ) com", "{at} jane{AT}example.com", "JANE AT EXAMPLE DOT COM", "jane at example.com"])
+def test_no_spelt_address_is_passed_over(text):
+    for t in (text, text.swapcase(), f"so write to {text} today"):
+        spelt = {m.span() for m in pii._SPELT.finditer(t)}
+        assert spelt and spelt <= {(a, b) for a, k, b in pii.candidates(t) if k == "email"}
+
+
 @pytest.mark.parametrize("text", ["order 8123456789 went out", "version 1-2-3-4", "look at this dot com", "on 2021-03-04 they met", 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "sum 4444 4444 4444 now", "id 908076543211"])
 def test_the_trees_leave_alone(text):
     assert pii.all_spans([text], pii.model())[0][1] == pii.base_spans(text)
