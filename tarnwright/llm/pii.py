@@ -26,7 +26,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_right
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,7 @@ ORDER = {k: i for i, k in enumerate(KINDS)}
 TREES, DEPTH, RATE = 40, 3, 0.3
 LEAST_PRECISION = 0.995
 
-SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_spans bigint"
 
 Span = tuple[int, str, int]  # start, kind, end
 
@@ -99,16 +101,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 # Generators: wide patterns, a kind each; what they propose may overlap.
-_WIDE_DOMAIN = re.compile(r"@[^\W_]+(?:[.-][^\W_]+)+")
-_WIDE_LOCAL = re.compile(r"(?:[^\W_]|[._%+-]){1,64}\Z")
+#: Spans have no greatest length: an address starts where its first letter is. Runs are taken whole (++), as what may
+#: follow one is never part of it, so no text takes more than a few passes.
+_WIDE_DOMAIN = re.compile(r"@[^\W_]++(?:[.-][^\W_]++)+")
+_WIDE_LOCAL = re.compile(r"[^\W_]|[._%+-]")
 _SPELT = re.compile(
-    r"(?<![\w.%+-])[\w.%+-]{1,64}(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]{1,63}"
-    r"(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]{1,63}){1,4}(?![\w-])",
+    r"(?<![\w.%+-])[\w.%+-]++(?:\x20?[\[({]\x20?at\x20?[\])}]\x20?|\x20at\x20)[A-Za-z0-9-]++"
+    r"(?:(?:\x20?[\[({]\x20?dot\x20?[\])}]\x20?|\x20dot\x20|\.)[A-Za-z0-9-]++)+(?![\w-])",
     re.I,
 )
 #: The part of _SPELT that texts seldom have: without it there is nothing to find.
-_SPELT_AT = re.compile(r"[\[({]\x20?at\x20?[\])}]|\x20at\x20[a-z0-9-]{1,63}(?:\x20?[\[({]\x20?dot|\x20dot\x20|\.[a-z0-9-])", re.I)
-_NUMBERS = re.compile(r"(?<![\w+])(?:\(?[0-9](?:[\x20()./-]{0,3}[0-9]){5,24})(?!\w)")
+_SPELT_AT = re.compile(r"[\[({]\x20?at\x20?[\])}]|\x20at\x20[a-z0-9-]++(?:\x20?[\[({]\x20?dot|\x20dot\x20|\.[a-z0-9-])", re.I)
+_NUMBERS = re.compile(r"(?<![\w+])(?:\(?[0-9](?:[\x20()./-]{0,3}[0-9]){5,})(?!\w)")
+_GROUP = re.compile(r"\(?[0-9]+")
+MOST_DIGITS, MOST_GROUPS = 19, 5
 _CUES = {
     "email": re.compile(r"(?:e-?mail|mail|contact|write|reach|address|kontakt|correo|courriel)\W*(?:\w+\W+)?\Z", re.I),
     "ip": re.compile(r"(?:\bip|address|host|server|ping|login from|logged in from)\W*(?:\w+\W+)?\Z", re.I),
@@ -118,33 +124,58 @@ _CUES = {
 _OTHER_CUE = re.compile(r"(?:order|invoice|version|isbn|ref|no|nr|id|code|serial|total|sum|page|item|date|build|ticket)\W*(?:\w+\W+)?\Z", re.I)
 
 
+def _number_spans(text: str, start: int, end: int) -> list[Span]:
+    """What a run of digits and separators may be: as a whole, or, with too many digits for that, up to MOST_GROUPS
+    neighbouring groups of it (an address with the same sign between its four)."""
+    out: list[Span] = []
+    n = len(digits_of(text[start:end]))
+    if n <= MOST_DIGITS:
+        if 7 <= n <= 15:
+            out.append((start, "phone", end))
+        if 12 <= n:
+            out.append((start, "card", end))
+        if 4 <= n <= 12 and len(re.split(r"[^0-9]+", text[start:end].strip("()"))) == 4:
+            out.append((start, "ip", end))
+        return out
+    groups = [(m.start(), m.end(), len(digits_of(m[0]))) for m in _GROUP.finditer(text, start, end)]
+    for i, (a, _, _) in enumerate(groups):
+        n, some = 0, groups[i : i + MOST_GROUPS]
+        for j, (_, b, more) in enumerate(some):
+            n += more
+            if 7 <= n <= 15:
+                out.append((a, "phone", b))
+            if 12 <= n <= MOST_DIGITS:
+                out.append((a, "card", b))
+            if j == 3 and all(g[2] <= 3 for g in some[:4]):
+                between = {text[x[1] : y[0]] for x, y in zip(some[:3], some[1:4], strict=True)}
+                if len(between) == 1 and not between.pop().isspace():
+                    out.append((a, "ip", b))
+    return out
+
+
 def candidates(text: str) -> list[Span]:
     """Overlapping proposals beyond the base patterns."""
     out: list[Span] = []
     at = text.find("@")
     while at >= 0:
-        m, name = _WIDE_DOMAIN.match(text, at), _WIDE_LOCAL.search(text, max(0, at - 64), at)
-        if m and name:
-            out.append((name.start(), "email", m.end()))
+        m, start = _WIDE_DOMAIN.match(text, at), at
+        while m and start and _WIDE_LOCAL.match(text, start - 1):  # ends at the @ before, so no letter is seen twice
+            start -= 1
+        if m and start < at:
+            out.append((start, "email", m.end()))
         at = text.find("@", at + 1)
     if _SPELT_AT.search(text):
         out += [(m.start(), "email", m.end()) for m in _SPELT.finditer(text)]
     if _DIGIT.search(text):
         for m in _NUMBERS.finditer(text):
-            n = len(digits_of(m[0]))
-            if 7 <= n <= 15:
-                out.append((m.start(), "phone", m.end()))
-            if 12 <= n <= 19:
-                out.append((m.start(), "card", m.end()))
-            if 4 <= n <= 12 and len(re.split(r"[^0-9]+", m[0].strip("()"))) == 4:
-                out.append((m.start(), "ip", m.end()))
+            out += _number_spans(text, m.start(), m.end())
     return out
 
 
 def features(text: str, span: Span) -> list[float]:
     """Format and context of a candidate, as numbers."""
     start, kind, end = span
-    s, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 3]
+    s, before, after = text[start:end], text[max(0, start - 40) : start], text[end : end + 4]
     digits = digits_of(s)
     groups = [g for g in re.split(r"[^0-9]+", s) if g]
     signs = {c: s.count(c) for c in " -./()@"}
@@ -175,6 +206,8 @@ def features(text: str, span: Span) -> list[float]:
         float(before[-1:] in "-./_+"),
         float(s[:1] in "0"),
         float(s[-3:].isalpha()),
+        float(before.rstrip("\x20()./-")[-1:].isdigit()),
+        float(after.lstrip("\x20()./-")[:1].isdigit()),
     ]
 
 
@@ -254,7 +287,7 @@ def _written(rng: random.Random, letters: str) -> tuple[str, list[Span]]:
         f"{num(1)}.{num(2)}.{num(1)}.{num(4)}", "order " + num(10), "invoice no " + f"{num(3)}-{num(4)}", "id " + num(12), "isbn 978-" + f"{num(1)}-{num(3)}-{num(5)}-{num(1)}",
         "total " + f"{num(3)} {num(3)} {num(3)}", "version " + quad("-"), f"{word()} at {word()}.{word()}", f"{word()}@{word()}", f"{num(3)} {num(4)} {num(2)}", f"page {num(3)}-{num(4)}",
         '"' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"', f"{num(4)} {num(4)} {num(4)}", f"{num(2)}/{num(2)}/{num(4)} {num(2)}", f"{num(3)}-{num(2)}-{num(4)}",
-        f"{num(4)}-{num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", num(10), num(11), f"{num(16)} {num(16)}", f"{local()} at {local()} dot com",
+        " ".join(num(rng.randint(2, 5)) for _ in range(rng.randint(6, 12))), f"{num(4)}-{num(4)}", f"{num(2)} {num(2)} {num(2)} {num(2)}", num(10), num(11), f"{num(16)} {num(16)}", f"{local()} at {local()} dot com",
     ]
     text, spans = "", []
     for _ in range(rng.randint(1, 3)):
@@ -263,6 +296,10 @@ def _written(rng: random.Random, letters: str) -> tuple[str, list[Span]]:
             kind, cue, s = rng.choice(true)
             spans.append((len(text) + len(cue), kind, len(text) + len(cue) + len(s)))
             text += cue + s
+            if kind == "phone" and rng.random() < 0.1:  # another of the same form
+                s = "".join(rng.choice("0123456789") if c.isdigit() else c for c in s)
+                spans.append((len(text) + 1, kind, len(text) + 1 + len(s)))
+                text += " " + s
         else:
             text += rng.choice(false)
         text += rng.choice((" ", ". ", ", ", "\n"))
@@ -308,8 +345,11 @@ def all_spans(docs: list[str], trees: Boosted) -> list[tuple[list[Span], list[Sp
     base, owner, rows, spans = [], [], [], []
     for i, text in enumerate(docs):
         base.append(sorted(base_spans(text), key=lambda s: (s[0], ORDER[s[1]], s[2])))
+        begins = [s[0] for s in base[i]]
+        reach = list(accumulate((s[2] for s in base[i]), max))  # of the base spans up to each
         for c in candidates(text):
-            if not any(a <= c[0] and c[2] <= b for a, _, b in base[i]):  # nothing to add within a base span
+            before = bisect_right(begins, c[0])
+            if not before or reach[before - 1] < c[2]:  # nothing to add within a base span
                 owner.append(i)
                 spans.append(c)
                 rows.append(features(text, c))
@@ -339,7 +379,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, counts of base spans, their digest, and all spans, for every row of docs. No shuffle."""
+    """doc_id, counts of base spans, their digest, all spans and their number, for every row of docs. No shuffle."""
     trees = model()
 
     def make():
@@ -350,6 +390,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
                 "doc_id": batch.column("doc_id"),
                 "base_sha256": [hashlib.sha256(listed(base).encode()).hexdigest() for base, _ in found],
                 "spans": [listed(every) for _, every in found],
+                "n_spans": [len(every) for _, every in found],
             }
 
         return each

@@ -44,6 +44,13 @@ def test_whole_table(spark, texts):
         assert [got[d][f"n_{k}"] for k in pii.KINDS] == [sum(s[1] == k for s in spans) for k in pii.KINDS]
         assert got[d]["base_sha256"] == hashlib.sha256(pii.listed(spans).encode()).hexdigest()
         assert {f"{k}:{a}:{b}" for a, k, b in spans} <= set(got[d]["spans"].split(","))  | {""}
+    # what the trees add, against every candidate judged by itself
+    trees = pii.model()
+    for d, t in texts:
+        base = pii.base_spans(t)
+        more = [c for c in pii.candidates(t) if not any(a <= c[0] and c[2] <= b for a, _, b in base) and trees.margin(pii.np.array([pii.features(t, c)]))[0] > trees.bound[c[1]]]
+        every = sorted({*base, *more}, key=lambda s: (s[0], pii.ORDER[s[1]], s[2]))
+        assert (got[d]["spans"], got[d]["n_spans"]) == (pii.listed(every), len(every))
 
 
 @pytest.mark.parametrize(
@@ -82,6 +89,49 @@ def test_written_data_held_out():
     assert wrong <= 0.02 * right and missed <= 0.1 * right
 
 
+def test_spans_start_where_the_address_starts():
+    for text, start, end in (
+        ("see " + "é" * 100 + "@mail.example.com now", 4, 121),
+        ("see " + "é.x" * 60 + "@mail9.example.com", 4, 202),
+        ("to " + "a" * 90 + " [at] mail [dot] org", 3, 113),
+        ("to anna [at] " + "m" * 80 + " [dot] x [dot] y [dot] z [dot] u [dot] org", 3, 135),
+    ):
+        found = [c for c in pii.candidates(text) if c[1] == "email"]
+        assert (start, "email", end) in found, text
+        every = pii.all_spans([text], pii.model())[0][1]
+        assert "é" not in pii.redact(text, every)
+
+
+def test_numbers_in_a_row_are_proposed_one_by_one():
+    for text in ("phone 555-123-4567 555-987-6543 ok", "call (017) 555-7713 (017) 555-7714 now"):
+        spans = pii.all_spans([text], pii.model())[0][1]
+        assert [k for _, k, _ in spans] == ["phone", "phone"]
+    long = " ".join(["1234 5678 90"] * 40)
+    assert pii.all_spans([long], pii.model())[0][1] == []
+
+
+def test_work_grows_with_the_text_only():
+    import time
+
+    def took(text):
+        began = time.process_time()
+        pii.all_spans([text], pii.model())
+        return time.process_time() - began
+
+    pii.model()
+    address = lambda n: " ".join(f"a{i}@mail.example.com (555) 555-{i:04d}" for i in range(n))
+    assert took(address(8000)) < 8 * took(address(2000)) + 1
+    for text in ("1 " * 100_000, "1.2.3.4 " * 20_000, "a at b." * 20_000, "é@é." * 20_000, "a@" * 100_000, "x at " + "a.b." * 50_000):
+        assert took(text) < 10
+
+
+def test_spans_within_longer_base_spans_are_not_added():
+    text = "x 10.0.0.1.5 y +1 (443) 555-5793 z"
+    base, every = pii.all_spans([text], pii.model())[0]
+    plain = [c for c in pii.candidates(text) if not any(a <= c[0] and c[2] <= b for a, _, b in base)]
+    assert set(every) <= set(base) | set(plain)
+
+
 def test_redaction_merges_overlaps():
     assert pii.redact("abcdefgh", [(1, "email", 4), (3, "phone", 6)]) == "a[email]gh"
     assert pii.redact("abc", []) == "abc"
