@@ -30,14 +30,14 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back: lineage ends there, lost executors cost nothing.
 
     Tables stay until the driver's process ends, since lazy results read them.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))

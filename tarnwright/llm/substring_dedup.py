@@ -2,10 +2,11 @@
 
 A text's UTF-8 bytes are cut where the gear hash of the last WINDOW bytes is small, so boundaries depend on content
 only and fall into step again after an insertion. Chunks have LEAST to MOST bytes (the last one of a text may be
-shorter). A chunk whose digest occurs in at least two documents is repeated; repeated chunks that follow one another
-in a document form a passage, reported if it has CORE_WORDS words or more. The chunks at both ends of a copied
-stretch usually reach beyond it and are not part of the core, so a stretch of over 50 words has a core of at least
-CORE_WORDS with probability above 0.99.
+shorter); where no hash is small for MOST bytes, the cut is where it is smallest, the first place if there are
+several, so that words repeated over and over fall into step as well. A chunk whose digest occurs in at least two
+documents is repeated; repeated chunks that follow one another in a text form a passage, reported if it has
+CORE_WORDS words or more. The chunks at both ends of a copied stretch usually reach beyond it and are not part of
+the core: of stretches of over 50 words on the tables, 99 % have a core of at least CORE_WORDS.
 
 A chunk belongs to the document with the smallest doc_id that holds it; there it is kept, in the others it is
 redundant, so every repeated digest survives. A passage is reported in pieces, a row each: a piece ends where the
@@ -13,11 +14,14 @@ owner changes or where the chunks no longer follow one another in the owner as t
 piece as it stands. A chunk's place in its owner is the first one there; where an owner repeats a chunk, pieces may
 be shorter than they could be.
 
-Counting is by digest with partial sums before the shuffle; what is joined back is one row a chunk, and a digest is
-one row on the other side, so no group of equal chunks is ever expanded or gathered.
+Texts are read and cut once; a row a text is written, with arrays of its chunks. Counting is by digest with partial
+sums before the shuffle; what is joined back is one row a chunk, and a digest is one row on the other side, so no
+group of equal chunks is ever expanded or gathered. Passages are put together text by text.
 
-Defined results: null and empty texts have no chunk. Rows that share a doc_id are one document; rows without doc_id
-take no part, as no result could name them. Offsets are in bytes, end exclusive.
+Defined results: null and empty texts have no chunk. Rows that share a doc_id are one document, so what only they
+share is not repeated; but each of their texts has passages and cuts of its own, told apart by text_key, a hash of
+the text. Rows equal in both are reported once. Rows without doc_id take no part, as no result could name them.
+Offsets are in bytes, end exclusive.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, materialise, utf8
@@ -35,7 +39,7 @@ from .common import map_batches, materialise, utf8
 WINDOW, LEAST, MOST = 16, 12, 256
 #: A cut where the 16-bit hash is below this: one position in 22.
 BELOW = 65_536 // 22
-CORE_WORDS = 16
+CORE_WORDS = 28
 
 GEAR = np.random.default_rng(20_240_229).integers(0, 65_536, 256).astype(np.uint16)
 _SPACE = np.zeros(256, bool)
@@ -60,80 +64,89 @@ def cuts(docs: list[bytes]) -> list[list[int]]:
     out = []
     for s, n, a, b in zip(starts.tolist(), length.tolist(), first, last, strict=True):
         ends, at = [], 0
-        for c in (found[a:b] - s).tolist():
+        for c in [*(found[a:b] - s).tolist(), n]:
             while c - at > MOST:
-                at += MOST
+                at += LEAST + int(h[s + at + LEAST - 1 : s + at + MOST].argmin())
                 ends.append(at)
-            if c - at >= LEAST:
+            if c - at >= LEAST and c < n:
                 ends.append(c)
                 at = c
-        while n - at > MOST:
-            at += MOST
-            ends.append(at)
         if n > at:
             ends.append(n)
         out.append(ends)
     return out
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """digest, doc_id, place (start and end), words (word starts before start and before end), first (the start of
-    the text's first chunk of that digest); a row a chunk."""
+def chunked(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key and, a value a chunk, digest, place (start and end), words (word starts before start and before
+    end), first (the start of the text's first chunk of that digest); a row a text."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            ids, raw = batch.column("doc_id").to_numpy(), utf8(batch)
+            raw = utf8(batch)
             for at in range(0, len(raw), 200):
                 part = raw[at : at + 200]
-                digest, doc, start, end, word, first = [], [], [], [], [], []
-                for d, ends, i in zip(part, cuts(part), ids[at : at + 200], strict=True):
-                    if not ends:
-                        continue
+                digest, place, word, first = [], [], [], []
+                for d, ends in zip(part, cuts(part), strict=True):
                     space = _SPACE[np.frombuffer(d, np.uint8)]
                     begun = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
-                    begins = [0, *ends[:-1]]
+                    begins = [0, *ends[:-1]] if ends else []
                     made = [xxhash.xxh3_64_intdigest(d[a:b]) for a, b in zip(begins, ends, strict=True)]
                     met: dict[int, int] = {}
-                    first += [met.setdefault(x, a) for x, a in zip(made, begins, strict=True)]
-                    digest += made
-                    doc.append(np.full(len(ends), i, np.int64))
-                    start.append(np.array(begins, np.int64))
-                    end.append(np.array(ends, np.int64))
-                    word.append(begun[start[-1]] << 32 | begun[end[-1]])
-                if doc:
-                    yield {
-                        "digest": np.array(digest, np.uint64).view(np.int64),
-                        "doc_id": np.concatenate(doc),
-                        "place": np.concatenate(start) << 32 | np.concatenate(end),
-                        "words": np.concatenate(word),
-                        "first": np.array(first, np.int64),
-                    }
+                    first.append([met.setdefault(x, a) for x, a in zip(made, begins, strict=True)])
+                    digest.append(np.array(made, np.uint64).view(np.int64))
+                    start, end = np.array(begins, np.int64), np.array(ends, np.int64)
+                    place.append(start << 32 | end)
+                    word.append(begun[start] << 32 | begun[end])
+                own = batch.slice(at, 200)
+                yield {"doc_id": own.column("doc_id"), "text_key": own.column("text_key"), "digest": digest, "place": place, "words": word, "first": first}
 
         return each
 
-    return map_batches(docs.where("doc_id is not null and text is not null").select("doc_id", "text"), make, "digest bigint, doc_id bigint, place bigint, words bigint, first bigint")
+    rows = docs.where("doc_id is not null and text <> ''").select("doc_id", text_key().alias("text_key"), "text")
+    return map_batches(rows, make, "doc_id bigint, text_key bigint, digest array<bigint>, place array<bigint>, words array<bigint>, first array<bigint>")
+
+
+def text_key() -> Column:
+    return F.xxhash64("text")
+
+
+def _once(texts: DataFrame) -> DataFrame:
+    """One row for each doc_id and text; rows that stand alone are not moved."""
+    twice = texts.groupBy("doc_id", "text_key").count().where("count > 1").select("doc_id", "text_key")
+    if twice.isEmpty():
+        return texts
+    twice = materialise(twice, "twice")
+    key = ["doc_id", "text_key"]
+    return texts.join(twice, key, "left_anti").unionByName(texts.join(twice, key, "left_semi").dropDuplicates(key))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """doc_id, start_byte, end_byte, n_words, n_chunks, owner_id, redundant: a row a piece of a repeated passage and document."""
-    made = chunks(docs)
-    repeated = made.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.min_by("first", "doc_id").alias("held"))
-    repeated = repeated.where("owner <> other").select("digest", "owner", "held")
-    repeated = materialise(repeated, "repeated")  # a table of its own: its join deals both sides anew, and a hot digest's rows can be split
+    """doc_id, start_byte, end_byte, n_words, n_chunks, owner_id, redundant, text_key: a row a piece of a repeated
+    passage and text."""
+    texts = _once(materialise(chunked(docs), "chunks", "zstd"))
     high = lambda c: F.shiftright(c, 32)
     low = lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))
+    held = F.shiftleft(F.col("text_key").bitwiseAND(F.lit(0x7FFFFFFF)), 32).bitwiseOR(F.col("x.first"))
+    told = texts.select("doc_id", "text_key", F.explode(F.arrays_zip("digest", "first")).alias("x")).select("doc_id", F.col("x.digest").alias("digest"), held.alias("held"))
+    repeated = told.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"), F.min_by("held", "doc_id").alias("held"))
+    repeated = repeated.where("owner <> other").select("digest", "owner", "held")
+    repeated = materialise(repeated, "repeated")  # a table of its own: its join deals both sides anew, and a hot digest's rows can be split
+    made = texts.select("doc_id", "text_key", F.explode(F.arrays_zip("digest", "place", "words")).alias("x")).select("doc_id", "text_key", "x.*")
     start = high("place")
+    # where the piece is in its owner, and in which of its texts: as long as this stays the same, chunks follow one another there
     shift = F.when(F.col("doc_id") == F.col("owner"), 0).otherwise(F.col("held") - start)
     rows = made.join(repeated, "digest").select(
-        "doc_id", "owner", shift.alias("shift"), start.alias("start"), low("place").alias("end"), high("words").alias("w0"), low("words").alias("w1")
+        "doc_id", "text_key", "owner", shift.alias("shift"), start.alias("start"), low("place").alias("end"), high("words").alias("w0"), low("words").alias("w1")
     )
-    by_place = Window.partitionBy("doc_id").orderBy("start", "end")
+    text = ["doc_id", "text_key"]
+    by_place = Window.partitionBy(*text).orderBy("start", "end")
     so_far = by_place.rowsBetween(Window.unboundedPreceding, 0)
-    reached = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
-    goes_on = (F.lag("owner").over(by_place) == F.col("owner")) & (F.lag("shift").over(by_place) == F.col("shift"))
-    rows = rows.withColumn("new", F.when(F.col("start") <= reached, 0).otherwise(1)).withColumn("turn", F.when((F.col("new") == 0) & goes_on, 0).otherwise(1))
+    follows = F.lag("end").over(by_place) == F.col("start")
+    goes_on = follows & (F.lag("owner").over(by_place) == F.col("owner")) & (F.lag("shift").over(by_place) == F.col("shift"))
+    rows = rows.withColumn("new", F.when(follows, 0).otherwise(1)).withColumn("turn", F.when(goes_on, 0).otherwise(1))
     rows = rows.withColumn("passage", F.sum("new").over(so_far)).withColumn("piece", F.sum("turn").over(so_far))
-    pieces = rows.groupBy("doc_id", "passage", "piece").agg(
+    pieces = rows.groupBy(*text, "passage", "piece").agg(
         F.min("start").alias("start_byte"),
         F.max("end").alias("end_byte"),
         F.min("w0").alias("w0"),
@@ -141,10 +154,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.count("*").alias("n_chunks"),
         F.min("owner").alias("owner_id"),
     )
-    passage = Window.partitionBy("doc_id", "passage")
+    passage = Window.partitionBy(*text, "passage")
     pieces = pieces.withColumn("core", F.max("w1").over(passage) - F.min("w0").over(passage)).where(F.col("core") >= CORE_WORDS)
     n_words = (F.col("w1") - F.col("w0")).alias("n_words")
-    return pieces.select("doc_id", "start_byte", "end_byte", n_words, "n_chunks", "owner_id", (F.col("owner_id") != F.col("doc_id")).alias("redundant"))
+    return pieces.select("doc_id", "start_byte", "end_byte", n_words, "n_chunks", "owner_id", (F.col("owner_id") != F.col("doc_id")).alias("redundant"), "text_key")
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
@@ -152,7 +165,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that reaches into a kept chunk is kept.
     """
-    spans = repeated_passages(docs).where("redundant").groupBy(F.col("doc_id").alias("_cut_id")).agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_cuts"))
+    cuts_of = repeated_passages(docs).where("redundant").groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"))
+    spans = cuts_of.agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_cuts"))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, found: pa.Array) -> pa.Array:
@@ -171,9 +185,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                         end -= 1
                     kept.append(raw[at:start])
                     at = end
-                t = b"".join([*kept, raw[at:]]).decode("utf-8", "ignore")
+                t = b"".join([*kept, raw[at:]]).decode()
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, docs["doc_id"] == spans["_cut_id"], "left")
+    joined = docs.join(spans, (docs["doc_id"] == spans["_cut_id"]) & (F.xxhash64(docs["text"]) == spans["_cut_key"]), "left")
     return joined.withColumn("text", cut("text", "_cuts")).select(*docs.columns)

@@ -52,8 +52,7 @@ def test_whole_table_against_word_windows(spark, texts):
     for d, t in texts:
         w = t.split()
         for i in range(len(w) - 49):
-            if len(set(w[i : i + 50])) > 10:
-                held[tuple(w[i : i + 50])].add(d)
+            held[tuple(w[i : i + 50])].add(d)
     true = {d for ds in held.values() if len(ds) > 1 for d in ds}
     shared = defaultdict(set)
     for d, t in texts:
@@ -65,6 +64,69 @@ def test_whole_table_against_word_windows(spark, texts):
     assert len(true - got) <= 0.02 * len(true) and not got & clean
 
 
+def merged(rows):
+    """Pieces by plain code: chunks, owners, runs."""
+    import xxhash
+
+    cut = {}
+    for d, t in dict.fromkeys(rows):
+        raw = t.encode()
+        ends = substring_dedup.cuts([raw])[0]
+        cut[d, t] = [(a, b, xxhash.xxh3_64_intdigest(raw[a:b])) for a, b in zip([0, *ends], ends, strict=False)]
+    held, first = defaultdict(set), {}
+    for (d, t), cs in sorted(cut.items()):
+        for a, _, x in cs:
+            held[x].add(d)
+            first.setdefault((x, d), a)
+    out = set()
+    for (d, t), cs in cut.items():
+        raw, passages = t.encode(), []
+        n_words = lambda a, b: len((raw[a:b] if a == 0 or raw[a - 1 : a].isspace() else b"x" + raw[a:b]).split()) - (a > 0 and not raw[a - 1 : a].isspace())  # noqa: B023, E731
+        for a, b, x in cs:
+            if len(held[x]) < 2:
+                continue
+            owner = min(held[x])
+            shift = 0 if owner == d else first[x, owner] - a
+            if passages and passages[-1][-1][1] == a:
+                if passages[-1][-1][2:4] == [owner, shift]:
+                    passages[-1][-1][1] = b
+                    passages[-1][-1][4] += 1
+                else:
+                    passages[-1].append([a, b, owner, shift, 1])
+            else:
+                passages.append([[a, b, owner, shift, 1]])
+        for p in passages:
+            if n_words(p[0][0], p[-1][1]) >= substring_dedup.CORE_WORDS:
+                out |= {(d, a, b, n_words(a, b), n, owner, owner != d) for a, b, owner, _, n in p}
+    return out
+
+
+def test_whole_table_equals_plain_merging(spark, texts):
+    got = [tuple(r)[:7] for r in op4_substrings(spark, DATA).collect()]
+    assert len(got) == len(set(got)) and set(got) == merged(texts)
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    """Two texts under one id: cuts are those of the text they were found in, and nothing unrepeated is lost."""
+    rng = random.Random(11)
+    passage, other = words(rng, 120), words(rng, 150)
+    plain = words(rng, 300)
+    rows = [(1, words(rng, 40) + " " + passage), (2, plain), (2, other[:50] + " " + passage), (2, plain), (3, plain + " x")]
+    frame = spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)
+    got = substring_dedup.repeated_passages(frame).collect()
+    assert {tuple(r)[:7] for r in got} == merged(rows) and len(got) == len(merged(rows))
+    out = sorted((r["doc_id"], r["text"]) for r in substring_dedup.without_repeats(frame).collect())
+    assert len(out) == 5 and out.count((2, plain)) == 2 and (1, rows[0][1]) in out
+    cut = next(t for d, t in out if d == 2 and t != plain)
+    assert cut.startswith(other[:50]) and len(cut) < 150
+
+
+def test_words_repeated_over_and_over_fall_into_step(spark):
+    rows = [(1, words(random.Random(1), 30) + " " + "Ononea " * 90), (2, words(random.Random(2), 33) + "! " + "Ononea " * 70 + "end"), (3, words(random.Random(3), 90))]
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)).collect()}
+    assert got == {1, 2}
+
+
 def test_cutting_leaves_the_owner_whole(spark):
     rng = random.Random(4)
     passage = words(rng, 100)
