@@ -53,8 +53,9 @@ def _remove_all() -> None:
             return
 
 
-#: Rows of documents that are handed to a worker at once. With Spark's 10000, long texts take hundreds of megabytes.
-BATCH_ROWS = 1000
+#: Rows of documents that are handed to a worker at once, and bytes: with Spark's 10000, or its 64 MB, long texts take
+#: hundreds of megabytes in the JVM, in the worker and between them. A single longer row still is one batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -63,8 +64,9 @@ def ship(spark: SparkSession) -> None:
     Also bounds Arrow batches, unless the session says otherwise.
     """
     context = spark.sparkContext
-    if context.getConf().get("spark.sql.execution.arrow.maxRecordsPerBatch") is None:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    for name, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        if context.getConf().get(f"spark.sql.execution.arrow.{name}") is None:
+            spark.conf.set(f"spark.sql.execution.arrow.{name}", str(value))
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)

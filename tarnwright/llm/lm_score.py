@@ -4,35 +4,37 @@ Tokens are runs of other than space and the characters 9 to 13, after A-Z is low
 documents are those whose crc32 of doc_id (as text) leaves a remainder by 10; a null doc_id is held out.
 
 Counting covers every token and every pair of neighbours of all training documents (the end stands before the first
-token as well); n-grams are known by 63-bit hashes. The filter stores a count's level on a logarithmic scale: an
-n-gram of level q is entered q times, once a level. Reading probes level after level until one is missing, so a
-count is overestimated by a level with the filter's false-positive rate and never underestimated. The filter grows
-with what is entered and is never in one place: n-grams are dealt into groups, about one to GROUP_BYTES of text, and
-the task that has a group counts its n-grams, makes its part of the filter and answers what the documents ask of it.
-Documents go in blocks, which send each group their n-grams with their counts once and get levels back, so the same
-holds for inputs of every size. Words and pairs are entered from count 1 on. A token's probability is
+token as well), from count 1 on; n-grams are known by 54-bit hashes. The filter stores a count's level on a
+logarithmic scale: an n-gram of level q is entered q times, once a level. Reading probes level after level until one
+is missing, so a count is overestimated by a level with the filter's false-positive rate and never underestimated.
 
-    p(w | h) = a * c(h, w) / c(h) + (1 - a) * p(w),    p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+The filter has no bound. n-grams are dealt by hash into groups, one to GROUP_BYTES of text, and a group's into
+SEGMENTS segments; the task that has a group counts its n-grams and makes its segments, each of a size that follows
+what is entered. If all segments together have at most BROADCAST_BYTES, they are broadcast and each document's
+n-grams are probed where the document is. Beyond that, documents go in blocks, which send each group the n-grams they
+have, once, and get levels back; the answers are the same bit for bit (tested). A token's probability is
 
-with all c read from the filter, c(h, w) at most c(h), and p at most 1; `score` is the sum of log10 p(w | h). The
-weight a is half the share of training tokens whose pair had occurred before, sum (c(h, w) - 1) / N over all pairs.
+    p(w | h) = (c(h, w) + PRIOR * p(w)) / (c(h) + PRIOR),    p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
+
+with all c read from the filter and c(h, w) at most c(h): a history seen often is trusted more, and a pair seen twice
+counts more than one seen once. `score` is the sum of log10 p(w | h); gain_per_token is how much it is above
+base_score, by token.
 
 base_score and n_known use exact counts instead: those of the most frequent words (at most MOST_WORDS) are broadcast,
 the other words of each document are joined with the counts by a shuffle.
 
 Defined results: null and empty texts are the end alone. Without training documents all counts, N and V are 0.
-Repeated rows are scored each and, as training rows, counted each.
+Repeated rows are scored each and, as training rows, counted each. A worker holds a few times the longest text.
 """
 
 from __future__ import annotations
 
 import pickle
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,19 +42,32 @@ from pyspark.sql import functions as F
 from .common import hold, map_batches, materialise, utf8
 
 FOLDS = 10
-#: Bits of the filter a stored level, probes a level, bits of a segment, and the bound that _cutoffs keeps.
-BITS_A_LEVEL, PROBES, SEGMENT, MOST_BITS = 8, 5, 1 << 19, 1 << 30
+#: Bits of the filter a stored level, probes a level, bits of a line (all probes of a level are in one), segments a group.
+BITS_A_LEVEL, PROBES, LINE, SEGMENTS = 8, 5, 512, 32
+#: The greatest filter that is broadcast; larger ones are asked by group.
+BROADCAST_BYTES = 1 << 27
 #: Words with exact counts that are broadcast (16 bytes each).
-MOST_WORDS = 1 << 20
+MOST_WORDS = 1 << 21
 RATIO = 1.5
+#: What the unigram share weighs against the counts after a history, in occurrences.
+PRIOR = 32.0
 #: Bytes of text that are tokenised together, and for which there is one group of n-grams.
-BLOCK_BYTES, GROUP_BYTES = 1 << 21, 1 << 23
-#: The least level entered, of words and of pairs.
-CUT = (0, 0)
+BLOCK_BYTES, GROUP_BYTES = 1 << 22, 1 << 25
 
-END = np.uint64(xxhash.xxh3_64_intdigest(b"\n"))  # no word holds a line feed
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
-_ONE = np.uint64(1)
+_KINDS = np.uint64(3)
+END = np.uint64(0xD1B54A32D192ED03)
+
+# Words are hashed as sums of byte values times powers, all at once: what a word adds to the running sum, divided by
+# the power at its start, depends on the word alone.
+_SLAB = 1 << 18
+_STEP = 0x9E3779B97F4A7C13
+_ONE = np.ones(1, np.uint64)
+_POWER = np.cumprod(np.concatenate([_ONE, np.full(_SLAB - 1, _STEP, np.uint64)]))
+_INVERSE = np.cumprod(np.concatenate([_ONE, np.full(_SLAB - 1, pow(_STEP, -1, 1 << 64), np.uint64)]))
+_BYTE = np.random.default_rng(20_240_415).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
 def _lows() -> np.ndarray:
@@ -66,6 +81,7 @@ def _lows() -> np.ndarray:
 LOWS = _lows()
 #: The count that a level stands for: the middle of its range, on the logarithmic scale.
 MIDDLES = np.sqrt(LOWS[:-1].astype(float) * (LOWS[1:] - 1))
+_COUNT = np.concatenate([[0.0], MIDDLES])
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -74,23 +90,50 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _word_hashes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    out, at = np.empty(len(start), np.uint64), 0
+    while at < len(start):
+        base = int(start[at])
+        end = int(np.searchsorted(stop, base + _SLAB, side="right"))
+        if end == at:  # a word longer than a slab: its parts' sums, moved to their places
+            total, place = 0, 1
+            for part in range(base, int(stop[at]), _SLAB):
+                piece = _BYTE[text[part : min(part + _SLAB, int(stop[at]))]]
+                total += int((piece * _POWER[: len(piece)]).sum()) * place
+                place = place * pow(_STEP, _SLAB, 1 << 64) % (1 << 64)
+            out[at] = total % (1 << 64)
+            at += 1
+            continue
+        piece = _BYTE[text[base : int(stop[end - 1])]]
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(piece * _POWER[: len(piece)])])
+        first = start[at:end] - base
+        out[at:end] = (total[stop[at:end] - base] - total[first]) * _INVERSE[first]
+        at = end
+    return _mixed(out)
+
+
 def tokens(docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all tokens of all documents, and each document's number of tokens."""
-    cut = [d.lower().split() for d in docs]
-    length = np.fromiter((len(ws) + 1 for ws in cut), np.int64, len(cut))
+    text = np.frombuffer(b"\n".join([*docs, b""]), np.uint8)
+    if not len(docs):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    edge = np.diff(_SPACE[text].view(np.int8), prepend=1)
+    start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    closes = np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)) + 1)
+    length = np.diff(np.searchsorted(start, closes), prepend=0) + 1
     out = np.empty(int(length.sum()), np.uint64)
-    ends = np.cumsum(length) - 1
     inside = np.ones(len(out), bool)
+    ends = np.cumsum(length) - 1
     inside[ends] = False
-    out[inside] = np.fromiter((xxhash.xxh3_64_intdigest(w) for ws in cut for w in ws), np.uint64, int(length.sum()) - len(cut))
-    out[ends] = END
+    out[inside], out[ends] = _word_hashes(text, start, stop), END
     return out, length
 
 
 def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the words (even) and of the pairs with the token before (odd); documents follow one another, each after an end."""
+    """56-bit keys of the words (kind 0) and of the pairs with the token before (kind 1); documents follow one another, each after an end."""
     before = np.concatenate([[END], words[:-1]])
-    return words & ~_ONE, _mixed(before * _FACTOR + words) | _ONE
+    kept = lambda h: h >> np.uint64(8) & ~_KINDS
+    return kept(words), kept(_mixed(before * _FACTOR + words)) | np.uint64(1)
 
 
 def held_out(column: str = "doc_id"):
@@ -102,247 +145,355 @@ def groups_for(size: int) -> int:
     return max(1, -(-size // GROUP_BYTES))
 
 
-def group_of(key: np.ndarray, groups: int) -> np.ndarray:
-    return (_mixed(key * _FACTOR + _ONE) % np.uint64(groups)).astype(np.int64)
+def part_of(key: np.ndarray, parts: int) -> np.ndarray:
+    """Which of so many equal ranges of keys each is in: groups and segments are such, so sorted keys are in their order."""
+    return ((key >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def dealt(docs: DataFrame, groups: int) -> DataFrame:
-    """block, group, keys, counts, docs: a row a block and group, and one with docs alone a block.
+def packed(key: np.ndarray) -> bytes:
+    """Ascending keys as gaps, byte by byte of all gaps: the upper bytes are all but empty, and compress so."""
+    gap = np.diff(key, prepend=np.uint64(0))
+    return np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
 
-    keys are the block's n-grams of that group, ascending, counts how often training documents have them.
-    """
 
-    def make():
-        block = TaskContext.get().partitionId() << 32
+def unpacked(data: bytes) -> np.ndarray:
+    gap = np.zeros((len(data) // 7, 8), np.uint8)
+    gap[:, :7] = np.frombuffer(data, np.uint8).reshape(7, -1).T
+    return np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64)
 
-        def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
-            nonlocal block
-            raw = utf8(batch)
-            filled = np.cumsum([0, *map(len, raw)])[:-1] // BLOCK_BYTES
-            ends = [*(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(raw)] if raw else []
-            for at, end in zip([0, *ends], ends, strict=False):
-                part = batch.slice(at, end - at)
-                words, length = tokens(raw[at:end])
-                both = np.concatenate(keys(words))
-                key, where = np.unique(both, return_inverse=True)
-                trains = np.repeat(~np.array(part.column("held_out").to_pylist(), bool), length)
-                n = np.bincount(where[np.concatenate([trains, trains])], minlength=len(key))
-                group = group_of(key, groups)
-                order = np.argsort(group, kind="stable")
-                starts = np.flatnonzero(np.diff(group[order], prepend=-1))
-                rows = np.split(order, starts[1:])
-                vocabulary, places = np.unique(words, return_inverse=True)
-                told = (vocabulary, places.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32), length, *(part.column(c).to_pylist() for c in ("row", "doc_id", "held_out")))
-                yield {
-                    "block": [block] * (len(rows) + 1),
-                    "group": [*group[order][starts].tolist(), block % groups],
-                    "keys": [*(key[r].tobytes() for r in rows), None],
-                    "counts": [*(n[r].astype(np.uint8 if n[r].max() < 256 else np.uint32).tobytes() for r in rows), None],
-                    "docs": [*[None] * len(rows), pickle.dumps(told)],
-                }
-                block += 1
 
-        return each
+def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each run of equal values starts, and its length."""
+    first = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
+    return first, np.diff(first, append=len(sorted_values))
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    return map_batches(rows, make, "block bigint, group bigint, keys binary, counts binary, docs binary")
 
+def _blocks(raw: list[bytes]) -> Iterator[tuple[int, int]]:
+    """Ranges of documents that are tokenised together."""
+    filled = np.cumsum([0, *map(len, raw)])[:-1] // BLOCK_BYTES
+    ends = [*(np.flatnonzero(np.diff(filled)) + 1).tolist(), len(raw)] if raw else []
+    return zip([0, *ends], ends, strict=False)
 
-def _cutoffs(levels: dict[tuple[bool, int], int]) -> tuple[int, int]:
-    """The least level entered, of words and of pairs, that keeps a filter within MOST_BITS. Scores do not use it."""
-    word, pair = 0, 1
-    entries = lambda w, p: sum(n * max(0, q - (p if is_pair else w) + 1) for (is_pair, q), n in levels.items())
-    while entries(word, pair) * BITS_A_LEVEL > MOST_BITS:
-        if pair > word + 6:
-            word += 1
-        else:
-            pair += 1
-    return word, pair
+
+def told(docs: DataFrame, groups: int) -> DataFrame:
+    """group, keys, counts: the n-grams of training documents, counted by block; a row a block and group."""
+
+    def make():
+        held: list[bytes] = []
+
+        def counted() -> dict[str, object]:
+            key = np.concatenate(keys(tokens(held)[0]))
+            held.clear()
+            key.sort()
+            first, n = _runs(key)
+            key = key[first]
+            first, many = _runs(part_of(key, groups))
+            ends = (first + many).tolist()
+            parts = list(zip(first.tolist(), ends, strict=True))
+            return {
+                "group": part_of(key[first], groups),
+                "keys": [packed(key[a:b]) for a, b in parts],
+                "counts": [n[a:b].astype(np.uint8 if n[a:b].max() < 256 else np.uint32).tobytes() for a, b in parts],
+            }
+
+        def each(batch: pa.RecordBatch | None) -> Iterator[dict[str, object]]:
+            for text in utf8(batch) if batch is not None else ():
+                held.append(text)
+                if sum(map(len, held[-1:])) >= BLOCK_BYTES or len(held) % 256 == 0 and sum(map(len, held)) >= BLOCK_BYTES:
+                    yield counted()
+            if held and (batch is None or sum(map(len, held)) >= BLOCK_BYTES):
+                yield counted()
+
+        return each
+
+    return map_batches(docs.where(~held_out()).select("text"), make, "group bigint, keys binary, counts binary", ends=True)
 
 
 class Filter:
-    """Segments of bits; all probes of an n-gram fall in the segment that its key chooses."""
+    """Segments of lines; all probes of an n-gram's level are in one line of the segment that its key chooses."""
 
-    def __init__(self, segments: int, cut: tuple[int, int], bits: np.ndarray | None = None) -> None:
-        self.segments, self.cut = segments, cut
-        self.bits = np.zeros(segments * SEGMENT // 8, np.uint8) if bits is None else bits
+    def __init__(self, lines: np.ndarray, bits: np.ndarray | None = None) -> None:
+        self.lines = lines.astype(np.uint64)
+        self.first = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.lines)])
+        self.bits = np.zeros(int(self.first[-1]) * (LINE // 64), np.uint64) if bits is None else bits
 
-    def segment(self, key: np.ndarray) -> np.ndarray:
-        return (_mixed(key ^ _FACTOR) % np.uint64(self.segments)).astype(np.int64)
+    @staticmethod
+    def lines_for(n: np.ndarray, bits: int = BITS_A_LEVEL) -> int:
+        """Lines for n-grams of these counts, with so many bits a level."""
+        return max(1, -(-int(Filter.entries(n).sum()) * bits // LINE))
 
     @staticmethod
-    def _places(key: np.ndarray, level: int) -> Iterator[np.ndarray]:
+    def entries(n: np.ndarray) -> np.ndarray:
+        """The number of levels to enter."""
+        return np.searchsorted(LOWS, n, side="right")
+
+    def _lines(self, key: np.ndarray, segment: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key the first bit of its line at this level, and a hash that says which bits of it."""
         h = _mixed(key + np.uint64((2 * level + 1) * int(_FACTOR) % 2**64))
-        a, b = h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | _ONE
-        for i in range(PROBES):
-            yield ((a + np.uint64(i) * b) % np.uint64(SEGMENT)).astype(np.int64)
-
-    def entries(self, key: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """The number of levels to enter; 0 below the cutoff."""
-        level = np.searchsorted(LOWS, n, side="right") - 1
-        return np.maximum(0, level - np.where(key & _ONE, self.cut[1], self.cut[0]) + 1)
-
-    def enter(self, key: np.ndarray, n: np.ndarray, base: np.ndarray) -> None:
-        """Sets the bits of all levels; base: the first bit of each key's segment."""
-        levels, level = self.entries(key, n), 0
+        line = self.first[segment] + ((h >> np.uint64(32)) * self.lines[segment] >> np.uint64(32))
+        return line * np.uint64(LINE), h
+
+    def enter(self, key: np.ndarray, n: np.ndarray, segment: np.ndarray) -> None:
+        """Sets the bits of all levels."""
+        flags = np.zeros(len(self.bits) * 64, bool)
+        levels, level = self.entries(n), 0
         while (some := levels > level).any():
-            key, base, levels = key[some], base[some], levels[some]
-            for place in self._places(key, level):
-                place = base + place
-                np.bitwise_or.at(self.bits, place >> 3, (1 << (place & 7)).astype(np.uint8))
+            key, segment, levels = key[some], segment[some], levels[some]
+            base, h = self._lines(key, segment, level)
+            for i in range(PROBES):
+                flags[(base + (h >> np.uint64(9 * i) & np.uint64(LINE - 1))).astype(np.int64)] = True
             level += 1
+        self.bits |= np.packbits(flags, bitorder="little").view(np.uint64)
 
-    def levels(self, key: np.ndarray) -> np.ndarray:
+    def levels(self, key: np.ndarray, segment: np.ndarray) -> np.ndarray:
         """How many levels of each key are present, one after the other."""
-        out = np.zeros(len(key), np.int64)
-        live, base, level = np.arange(len(key)), self.segment(key) * SEGMENT, 0
+        out = np.zeros(len(key), np.uint8)
+        live, level = np.arange(len(key)), 0
         while live.size and level < len(MIDDLES):
-            left = np.arange(len(live))
-            for place in self._places(key[live], level):
-                place = base[live[left]] + place[left]
-                left = left[(self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)]
-                if not left.size:
+            base, h = self._lines(key[live], segment[live], level)
+            for i in range(PROBES):
+                place = base + (h >> np.uint64(9 * i) & np.uint64(LINE - 1))
+                there = (self.bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+                if i in (0, 1, PROBES - 1):
+                    base, h, live = base[there], h[there], live[there]
+                else:
+                    base, h, live = (base, h, live) if there.all() else (base[there], h[there], live[there])
+                if not live.size:
                     break
-            live = live[left]
             out[live] += 1
             level += 1
         return out
 
 
-def read_as(levels: np.ndarray, is_pair: np.ndarray) -> np.ndarray:
-    """The counts that levels found stand for."""
-    least = np.where(is_pair, CUT[1], CUT[0])
-    return np.where(levels > 0, MIDDLES[np.minimum(least + np.maximum(levels, 1) - 1, len(MIDDLES) - 1)], 0.0)
+def _batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in schema], schema=schema)
 
 
-ANSWERS = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("levels", pa.binary()), ("docs", pa.binary()), ("key", pa.int64()), ("n", pa.int64()), ("again", pa.int64())])
+def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows in order of key, as groups of rows; one row is held at a time."""
+
+    def rows() -> Iterator[dict]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield b.slice(i, 1).to_pylist()[0]
 
+    return groupby(rows(), key=lambda r: r[key])
 
-def answered(asked: DataFrame, groups: int) -> DataFrame:
-    """What blocks asked, answered by filters made of what they told, a group at a time.
 
-    Rows have block, group and levels (a byte a key), or docs as they came, or a training word's key and n, or again:
-    the pairs of a group that had occurred before.
-    """
+BUILT = pa.schema([("segment", pa.int64()), ("lines", pa.int64()), ("bits", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
-    def rows(**columns: object) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in ANSWERS], schema=ANSWERS)
+
+def built(parts: DataFrame, groups: int) -> DataFrame:
+    """The filter, a row (segment, lines, bits) each segment with n-grams, and a row (key, n) a training word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
-        held: dict[int, list[tuple[int, bytes, bytes]]] = defaultdict(list)
-        for b in batches:
-            for block, group, key, n, docs in zip(*(b.column(c).to_pylist() for c in ("block", "group", "keys", "counts", "docs")), strict=True):
-                if docs is None:
-                    held[group].append((block, key, n))
-                else:
-                    yield rows(block=[block], docs=[docs])
-        while held:
-            group, parts = held.popitem()
-            length = [len(k) // 8 for _, k, _ in parts]
-            key, where = np.unique(np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in parts]), return_inverse=True)
-            told = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == m else np.uint32) for (_, _, c), m in zip(parts, length, strict=True)])
-            n = np.bincount(where, weights=told, minlength=len(key)).astype(np.int64)  # exact below 2 ** 53
-            trained = n > 0
-            own = Filter(1, CUT, np.zeros(0, np.uint8))
-            own = Filter(max(1, -(-int(own.entries(key[trained], n[trained]).sum()) * BITS_A_LEVEL // SEGMENT)), CUT)
-            own.enter(key[trained], n[trained], own.segment(key[trained]) * SEGMENT)
-            levels = own.levels(key).astype(np.uint8)[where]
-            ends = np.cumsum(length)
-            yield rows(block=[b for b, _, _ in parts], group=[group] * len(parts), levels=[levels[e - m : e].tobytes() for e, m in zip(ends.tolist(), length, strict=True)])
-            pair = (key & _ONE).astype(bool)
-            words = trained & ~pair
-            yield rows(key=key[words].view(np.int64), n=n[words])
-            yield rows(again=[int((n[trained & pair] - 1).sum())])
-
-    schema = "block bigint, group bigint, levels binary, docs binary, key bigint, n bigint, again bigint"
-    return asked.repartition(groups, "group").mapInArrow(run, schema)
+        for group, rows in _streamed(batches, "group"):
+            key, n = [], []
+            for r in rows:
+                key.append(unpacked(r["keys"]))
+                n.append(np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == len(key[-1]) else np.uint32))
+            first = group * SEGMENTS
+            edges = np.array([(-(-(i << 32) // (groups * SEGMENTS))) << 24 for i in range(first, first + SEGMENTS + 1)], np.uint64)
+            cut = [np.searchsorted(k, edges) for k in key]
+            for s in range(SEGMENTS):
+                k = np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(key, cut, strict=True)])
+                if not len(k):
+                    continue
+                order = np.argsort(k, kind="stable")
+                k = k[order]
+                start, _ = _runs(k)
+                total = np.add.reduceat(np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(n, cut, strict=True)])[order].astype(np.int64), start)
+                k = k[start]
+                own = Filter(np.array([Filter.lines_for(total, BITS_A_LEVEL)]))
+                own.enter(k, total, np.zeros(len(k), np.int64))
+                yield _batch(BUILT, segment=[first + s], lines=[int(own.lines[0])], bits=[own.bits.tobytes()])
+                words = k & _KINDS == 0
+                if words.any():
+                    yield _batch(BUILT, key=k[words].view(np.int64), n=total[words])
+
+    dealt = parts.repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group")
+    return dealt.mapInArrow(run, "segment bigint, lines bigint, bits binary, key bigint, n bigint")
+
+
+def whole_filter(rows: pa.Table, segments: int) -> Filter:
+    """Of rows segment, lines, bits; segments without n-grams have one empty line."""
+    lines = np.ones(segments, np.int64)
+    at = rows.column("segment").to_numpy()
+    lines[at] = rows.column("lines").to_numpy()
+    out = Filter(lines)
+    for s, bits in zip(at.tolist(), rows.column("bits"), strict=True):
+        part = np.frombuffer(bits.as_buffer(), np.uint64)
+        begin = int(out.first[s]) * (LINE // 64)
+        out.bits[begin : begin + len(part)] = part
+    return out
 
 
 class Scorer:
-    def __init__(self, groups: int, known: np.ndarray, n: np.ndarray, total: int, distinct: int, weight: float) -> None:
-        self.groups, self.known, self.n, self.weight = groups, known, n, weight
+    def __init__(self, known: np.ndarray, n: np.ndarray, total: int, distinct: int) -> None:
+        self.known, self.n = known, n
         self.whole = total + 0.1 * (distinct + 1)
 
-    def score(self, words: np.ndarray, length: np.ndarray, levels: np.ndarray) -> dict[str, list]:
-        """levels: those of the block's n-grams, by group and key."""
+    def score(self, words: np.ndarray, length: np.ndarray, levels: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> dict[str, object]:
+        """levels gives those of a block's words and pairs, a value a token."""
         starts = np.cumsum(length) - length
         one, two = keys(words)
-        unique, where = np.unique(np.concatenate([one, two]), return_inverse=True)
-        pair = (unique & _ONE).astype(bool)
+        unique, where = np.unique(one, return_inverse=True)
         # exact counts of frequent words
         frequent, exact = np.zeros(len(unique), bool), np.zeros(len(unique))
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, unique[~pair]), len(self.known) - 1)
-            frequent[~pair] = self.known[at] == unique[~pair]
-            exact[~pair] = np.where(frequent[~pair], np.log10((self.n[at] + 0.1) / self.whole), 0.0)
-        base = np.add.reduceat(exact[where[: len(words)]], starts)
-        often = frequent[where[: len(words)]]
-        seen = np.add.reduceat(often.astype(np.int64), starts)
+            at = np.minimum(np.searchsorted(self.known, unique), len(self.known) - 1)
+            frequent = self.known[at] == unique
+            exact = np.where(frequent, np.log10((self.n[at] + 0.1) / self.whole), 0.0)
+        often = frequent[where]
         # the model
-        found = np.empty(len(unique), np.int64)
-        found[np.argsort(group_of(unique, self.groups), kind="stable")] = levels
-        count = read_as(found, pair)[where]
-        count, joint = count[: len(words)], count[len(words) :]
-        now = (count + 0.1) / self.whole
-        history = np.concatenate([count[length[0] - 1 : length[0]], count[:-1]])
-        p = self.weight * np.minimum(joint, history) / np.maximum(history, 1) + (1 - self.weight) * now
-        score = np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts)
-        rare_words, rare_counts = [], []
-        for a, n in zip(starts.tolist(), length.tolist(), strict=True):
-            k, c = np.unique(one[a : a + n][~often[a : a + n]], return_counts=True)
-            rare_words.append(k.view(np.int64))
-            rare_counts.append(c)
-        return {"n_tokens": length, "base": base, "seen": seen, "score": score, "rare": rare_words, "times": rare_counts}
+        of_words, of_pairs = levels(one, two)
+        count, joint = _COUNT[of_words], _COUNT[of_pairs]
+        history = np.concatenate([count[length[0] - 1 : length[0]], count[:-1]])  # the first token comes after an end
+        p = (np.minimum(joint, history) + PRIOR * (count + 0.1) / self.whole) / (history + PRIOR)
+        rest = [np.unique(one[a : a + m][~often[a : a + m]], return_counts=True) for a, m in zip(starts.tolist(), length.tolist(), strict=True)]
+        return {
+            "n_tokens": length,
+            "base": np.add.reduceat(exact[where], starts),
+            "seen": np.add.reduceat(often.astype(np.int64), starts),
+            "score": np.add.reduceat(np.log10(np.minimum(p, 1.0)), starts),
+            "rare": [k.view(np.int64) for k, _ in rest],
+            "times": [c for _, c in rest],
+        }
+
+
+SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, base double, seen bigint, score double, rare array<bigint>, times array<bigint>"
+
+
+def scored_here(rows: DataFrame, found: Filter, segments: int, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> DataFrame:
+    """Scores where the documents are, with the filter broadcast."""
+    sent = rows.sparkSession.sparkContext.broadcast((found.lines, found.bits, frequent))
+
+    def make():
+        lines, bits, frequent = sent.value
+        own, scorer = Filter(lines, bits), Scorer(*frequent, total, distinct)
+
+        def levels(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            unique, where = np.unique(one, return_inverse=True)
+            of_pairs = [own.levels(some, part_of(some, segments)) for some in np.split(two, range(1 << 16, len(two), 1 << 16))]
+            return own.levels(unique, part_of(unique, segments))[where], np.concatenate(of_pairs)
+
+        def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+            raw = utf8(batch)
+            for at, end in _blocks(raw):
+                part = batch.slice(at, end - at)
+                yield scorer.score(*tokens(raw[at:end]), levels) | {c: part.column(c) for c in ("row", "doc_id", "held_out")}
+
+        return each
+
+    return map_batches(rows, make, SCORED)
+
+
+def asking(rows: DataFrame, groups: int) -> DataFrame:
+    """block, group, keys: the n-grams that a block has of a group; and, with group = groups, docs: what the block is."""
+
+    def make():
+        block = TaskContext.get().partitionId() << 32
+
+        def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+            nonlocal block
+            raw = utf8(batch)
+            for at, end in _blocks(raw):
+                part = batch.slice(at, end - at)
+                words, length = tokens(raw[at:end])
+                key = np.unique(np.concatenate(keys(words)))
+                first, many = _runs(part_of(key, groups))
+                vocabulary, places = np.unique(words, return_inverse=True)
+                what = (vocabulary, places.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32), length, *(part.column(c).to_pylist() for c in ("row", "doc_id", "held_out")))
+                yield {
+                    "block": [block] * (len(first) + 1),
+                    "group": [*part_of(key[first], groups).tolist(), groups],
+                    "keys": [*(packed(key[a : a + m]) for a, m in zip(first.tolist(), many.tolist(), strict=True)), None],
+                    "docs": [*[None] * len(first), pickle.dumps(what)],
+                }
+                block += 1
+
+        return each
+
+    return map_batches(rows, make, "block bigint, group bigint, keys binary, docs binary")
+
+
+def scored_by_group(rows: DataFrame, filter_rows: DataFrame, groups: int, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> DataFrame:
+    """The same scores with the filter where it was made: groups answer what blocks ask."""
+    asked = materialise(asking(rows, groups), "asked")
+    answer = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("levels", pa.binary()), ("docs", pa.binary())])
+
+    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        for group, some in _streamed(batches, "group"):
+            parts, own = [], None
+            for r in some:
+                if r["bits"] is not None:  # a group's filter comes before what is asked
+                    parts.append(r)
+                    continue
+                if own is None:
+                    table = pa.Table.from_pylist([{"segment": x["segment"] - group * SEGMENTS, "lines": x["lines"], "bits": x["bits"]} for x in parts], schema=pa.schema([("segment", pa.int64()), ("lines", pa.int64()), ("bits", pa.binary())]))
+                    own, parts = whole_filter(table, SEGMENTS), []
+                key = unpacked(r["keys"])
+                levels = own.levels(key, part_of(key, groups * SEGMENTS) - group * SEGMENTS)
+                yield _batch(answer, block=[r["block"]], group=[group], levels=[levels.tobytes()])
+
+    nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    asks = asked.where("docs is null").select("block", "group", "keys", nothing("segment", "bigint"), nothing("lines", "bigint"), nothing("bits", "binary"))
+    filters = filter_rows.select(F.lit(-1).cast("bigint").alias("block"), F.expr(f"segment div {SEGMENTS}").alias("group"), nothing("keys", "binary"), "segment", "lines", "bits")
+    met = filters.unionByName(asks).repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group", "block")
+    found = met.mapInArrow(answers, "block bigint, group bigint, levels binary, docs binary")
+    back = found.unionByName(asked.where("docs is not null").select("block", "group", nothing("levels", "binary"), "docs"))
+    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+    out = pa.schema([pa.field(n, {"boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}.get(k, pa.int64())) for n, k in (f.split() for f in SCORED.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hold()
+        scorer = Scorer(*sent.value, total, distinct)
+        for _, some in _streamed(batches, "block"):
+            got = []
+            for r in some:
+                if r["docs"] is None:
+                    got.append(np.frombuffer(r["levels"], np.uint8))
+                    continue
+                vocabulary, places, length, *rest = pickle.loads(r["docs"])
+                every = np.concatenate(got)
+
+                def levels(one: np.ndarray, two: np.ndarray, every: np.ndarray = every) -> tuple[np.ndarray, np.ndarray]:
+                    where = np.unique(np.concatenate([one, two]), return_inverse=True)[1]
+                    return every[where[: len(one)]], every[where[len(one) :]]
+
+                columns = scorer.score(vocabulary[places], length, levels) | dict(zip(("row", "doc_id", "held_out"), rest, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
+
+    return back.repartition(groups, "block").sortWithinPartitions("block", "group").mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score, for every row of docs."""
-    spark = docs.sparkSession
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, gain_per_token, for every row of docs."""
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = groups_for(size)
-    answers = materialise(answered(dealt(docs, groups), groups), "answers")
-    words = answers.where("key is not null").select("key", "n")
-    total, distinct, again = answers.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key"), F.coalesce(F.sum("again"), F.lit(0))).first()
-    weight = again / total / 2 if total else 0.0
+    made = materialise(built(told(docs, groups), groups), "counts")
+    filter_rows, words = made.where("segment is not null").select("segment", "lines", "bits"), made.where("key is not null").select("key", "n")
+    total, distinct, lines = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key"), F.coalesce(F.sum("lines"), F.lit(0))).first()
     by_size = words.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
     least, reached = 1 << 62, 0
     for r in by_size:
         if reached + r["count"] > MOST_WORDS:
             break
         least, reached = r["n"], reached + r["count"]
-    frequent = words.where(F.col("n") >= F.lit(least)).toArrow() if reached else words.limit(0).toArrow()
-    known, n = (frequent.column(c).to_numpy() for c in ("key", "n"))
-    order = np.argsort(known.view(np.uint64))
-    sent = spark.sparkContext.broadcast((known.view(np.uint64)[order], n[order]))
-
-    def make():
-        scorer = Scorer(groups, *sent.value, total, distinct, weight)
-        levels: dict[int, dict[int, bytes]] = defaultdict(dict)
-        told: dict[int, bytes] = {}
-
-        def each(batch: pa.RecordBatch | None) -> Iterator[dict[str, object]]:
-            if batch is not None:
-                for block, group, some, docs in zip(*(batch.column(c).to_pylist() for c in ("block", "group", "levels", "docs")), strict=True):
-                    if docs is None:
-                        levels[block][group] = some
-                    else:
-                        told[block] = docs
-                return
-            while told:
-                block, docs = told.popitem()
-                vocabulary, places, length, *rest = pickle.loads(docs)
-                found = levels.pop(block)
-                found = np.frombuffer(b"".join(found[g] for g in sorted(found)), np.uint8)
-                yield scorer.score(vocabulary[places], length, found) | dict(zip(("row", "doc_id", "held_out"), rest, strict=True))
-
-        return each
-
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, base double, seen bigint, score double, rare array<bigint>, times array<bigint>"
-    asks = answers.where("block is not null").select("block", "group", "levels", "docs").repartition(groups, "block")
-    scored = materialise(map_batches(asks, make, schema, ends=True), "scored")
+    got = words.where(F.col("n") >= F.lit(least)).toArrow() if reached else words.limit(0).toArrow()
+    known = got.column("key").to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    frequent = known[order], got.column("n").to_numpy()[order]
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
+    if lines * LINE // 8 <= BROADCAST_BYTES:
+        scored = scored_here(rows, whole_filter(filter_rows.toArrow(), groups * SEGMENTS), groups * SEGMENTS, frequent, total, distinct)
+    else:
+        scored = scored_by_group(rows, filter_rows, groups, frequent, total, distinct)
+    scored = materialise(scored, "scored")
     rest = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     whole = total + 0.1 * (distinct + 1)
     rest = rest.join(words.where(F.col("n") < F.lit(least)), "key", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
@@ -351,12 +502,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met"),
     )
     out = scored.drop("rare", "times").join(added, "row", "left")
+    base = F.col("base") + F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("seen") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"),
+        base.alias("base_score"),
         "score",
+        ((F.col("score") - base) / F.col("n_tokens")).alias("gain_per_token"),
     )

@@ -50,55 +50,85 @@ def test_rare_words_meet_their_counts_by_the_shuffle(spark, texts, documents, mo
     check(lm_score.score_documents(documents), texts)
 
 
+def test_tokens_are_words_and_ends(monkeypatch):
+    rng = random.Random(4)
+    docs = ["".join(rng.choice("ab Zz\t\n\x0b\x1cé ") for _ in range(rng.randrange(60))).encode() for _ in range(300)] + [b"", b"x" * 2000, b"  y"]
+    plain = [w for d in docs for w in [*d.lower().split(), b"\n"]]
+    for slab in (lm_score._SLAB, 64):
+        monkeypatch.setattr(lm_score, "_SLAB", slab)
+        words, length = lm_score.tokens(docs)
+        assert length.tolist() == [len(d.split()) + 1 for d in docs]
+        known = {}
+        assert all(known.setdefault(w, h) == h for w, h in zip(plain, words.tolist(), strict=True)) and len(set(known.values())) == len(known)
+    assert len(lm_score.tokens([])[0]) == 0
+
+
+def test_packing_keeps_keys():
+    key = np.unique(np.random.default_rng(1).integers(0, 1 << 56, 5000).astype(np.uint64))
+    for some in (key, key[:1], key[:0]):
+        assert (lm_score.unpacked(lm_score.packed(some)) == some).all()
+    parts = lm_score.part_of(key, 7)
+    assert (np.diff(parts) >= 0).all() and set(parts.tolist()) == set(range(7))
+    assert (lm_score.part_of(key, 7 * 32) // 32 == parts).all()
+
+
 def test_the_filter_never_underestimates():
     rng = np.random.default_rng(0)
-    key = np.unique(rng.integers(0, 1 << 62, 4000).astype(np.uint64))
+    key = np.unique(rng.integers(0, 1 << 56, 4000).astype(np.uint64))
     n = np.minimum(rng.zipf(1.4, len(key)), 10_000_000)
-    f = lm_score.Filter(2, (0, 1))
-    f.enter(key, n, f.segment(key) * lm_score.SEGMENT)
-    true = f.entries(key, n)
-    levels = f.levels(key)
+    segment = lm_score.part_of(key, 3)
+    f = lm_score.Filter(np.array([lm_score.Filter.lines_for(n[segment == s]) for s in range(3)]))
+    f.enter(key, n, segment)
+    true = f.entries(n)
+    levels = f.levels(key, segment)
     assert (levels >= true).all() and np.mean(levels == true) > 0.9
-    assert np.mean(f.levels(rng.integers(0, 1 << 62, 4000).astype(np.uint64)) == 0) > 0.9
+    other = rng.integers(0, 1 << 56, 4000).astype(np.uint64)
+    assert np.mean(f.levels(other, lm_score.part_of(other, 3)) == 0) > 0.9
     level = np.searchsorted(lm_score.LOWS, n, side="right") - 1
     assert np.all((lm_score.MIDDLES[level] >= lm_score.LOWS[level] * 0.99) & (lm_score.MIDDLES[level] < lm_score.LOWS[level + 1]))
 
 
-def test_the_bound_raises_the_cutoffs(monkeypatch):
-    levels = {(False, q): 1000 for q in range(5)} | {(True, q): 5000 for q in range(5)}
-    assert lm_score._cutoffs(levels) == (0, 1)
-    monkeypatch.setattr(lm_score, "MOST_BITS", 8 * 20_000)
-    word, pair = lm_score._cutoffs(levels)
-    assert pair > 1 and sum(n * max(0, q - (pair if p else word) + 1) for (p, q), n in levels.items()) * 8 <= 8 * 20_000
-
-
-def test_no_bound_changes_scores(spark, texts, documents, monkeypatch):
-    """Neither the size that a filter once was held to nor the number of groups changes what is counted."""
-    whole = {r["doc_id"]: r for r in lm_score.score_documents(documents).collect()}
-    monkeypatch.setattr(lm_score, "MOST_BITS", 8 * 2000)
-    bounded = {r["doc_id"]: r for r in check(lm_score.score_documents(documents), texts)}
-    assert all(abs(whole[d]["score"] - r["score"]) <= 1e-9 * abs(r["score"]) for d, r in bounded.items())
-    monkeypatch.setattr(lm_score, "GROUP_BYTES", 10_000)
-    parted = {r["doc_id"]: r for r in check(lm_score.score_documents(documents), texts)}
-    assert parted.keys() == whole.keys()
-    assert abs(sum(r["score"] for r in parted.values()) / sum(r["score"] for r in whole.values()) - 1) < 0.02
-
-
-def test_scores_follow_the_counts_of_all_pairs(spark):
+def test_filters_too_large_to_broadcast_give_the_same_scores(spark, texts, documents, monkeypatch):
+    for blocks, groups in ((1 << 22, 1 << 25), (30_000, 100_000)):
+        monkeypatch.setattr(lm_score, "BLOCK_BYTES", blocks)
+        monkeypatch.setattr(lm_score, "GROUP_BYTES", groups)
+        monkeypatch.setattr(lm_score, "BROADCAST_BYTES", 1 << 27)
+        here = {tuple(r) for r in check(lm_score.score_documents(documents), texts)}
+        monkeypatch.setattr(lm_score, "BROADCAST_BYTES", 0)
+        there = {tuple(r) for r in check(lm_score.score_documents(documents), texts)}
+        near = lambda rows: sorted((r[:5], round(r[5], 6), r[6]) for r in rows)
+        assert near(here) == near(there)
+
+
+def test_documents_that_occur_twice_gain_more(spark):
+    """Each pair of a repeated text has count 2 at least; the model tells such texts from those that occur once."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(3000)}" for _ in range(120))
+    rows = [(i, text()) for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)]
+    trained = lambda d: zlib.crc32(str(d).encode()) % 10 > 0
+    got = {r["doc_id"]: r["gain_per_token"] for r in lm_score.score_documents(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)).collect()}
+    twice = [got[i] for i in range(40) if trained(i) and trained(1000 + i)]
+    once = [got[i] for i in range(40, 300) if trained(i)]
+    assert min(twice) > max(once)
+
+
+def test_scores_follow_the_counts_of_all_pairs(spark, monkeypatch):
     """Against the formula with exact counts on the filter's scale; the filter is all but empty, so that nothing collides."""
+    monkeypatch.setattr(lm_score, "BITS_A_LEVEL", 4096)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice(["ab", "cd", "ef", "gh", f"w{rng.randrange(300)}"]) for _ in range(30))) for i in range(60)]
     trained = [["\n", *t.split(), "\n"] for d, t in rows if zlib.crc32(str(d).encode()) % 10]
     word = Counter(w for ws in trained for w in ws[1:])
     pair = Counter(p for ws in trained for p in zip(ws, ws[1:], strict=False))
     n, v = sum(word.values()), len(word)
-    a = sum(c - 1 for c in pair.values()) / n / 2
     scale = lambda c: float(lm_score.MIDDLES[np.searchsorted(lm_score.LOWS, c, side="right") - 1]) if c else 0.0
     assert sum(c == 1 for c in pair.values()) > 100
     got = {r["doc_id"]: r["score"] for r in lm_score.score_documents(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)).collect()}
     for d, t in rows:
         ws = ["\n", *t.split(), "\n"]
-        p = [a * min(scale(pair[h, w]), scale(word[h])) / max(scale(word[h]), 1) + (1 - a) * (scale(word[w]) + 0.1) / (n + 0.1 * (v + 1)) for h, w in zip(ws, ws[1:], strict=False)]
+        one = lambda w: (scale(word[w]) + 0.1) / (n + 0.1 * (v + 1))
+        p = [(min(scale(pair[h, w]), scale(word[h])) + lm_score.PRIOR * one(w)) / (scale(word[h]) + lm_score.PRIOR) for h, w in zip(ws, ws[1:], strict=False)]
         assert abs(got[d] - sum(math.log10(min(x, 1)) for x in p)) < 1e-6, d
 
 
