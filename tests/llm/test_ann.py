@@ -30,6 +30,50 @@ def test_estimates_stay_within_their_bounds():
         assert np.mean(np.abs(guess - o @ q.T) <= bound) > 0.999
 
 
+def test_counted_bits_give_the_products_of_codes():
+    """What is counted from packed words equals the product of unpacked codes and rounded queries, and bounds hold with the rounding."""
+    rng = np.random.default_rng(2)
+    o, q = rng.normal(size=(300, 20)), rng.normal(size=(50, 20))
+    search = ann.Search(np.arange(50), q, np.full(50, -np.inf), 5)
+    turn = ann.rotation(20)
+    codes, length, f = ann.encode(o, turn)
+    signs = np.unpackbits(codes, axis=1, count=turn.shape[1]) * 2.0 - 1
+    words = np.ascontiguousarray(codes.view(np.uint64).T)
+    got = search.estimates(np.arange(50), words, np.bitwise_count(words).sum(axis=0))
+    turned = q @ turn
+    level = np.rint((turned - search.low[:, None]) / search.step[:, None])
+    rounded = search.low[:, None] + search.step[:, None] * level
+    true = (signs @ rounded.T + rounded.sum(axis=1) - turned.sum(axis=1)) / turn.shape[1] ** 0.5
+    assert np.abs(got - true).max() < 1e-4
+    bound = (length / f)[:, None] * search.slack(np.arange(50), f)
+    assert np.mean(np.abs((length / f)[:, None] * got - o @ q.T) <= bound) > 0.999
+
+
+def test_clustered_vectors_spare_most_of_the_table(spark, monkeypatch):
+    """Blocks that cannot hold a better neighbour are not looked at; what is found equals brute force."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(20, 16)) * 4
+    v = np.concatenate([c + 0.05 * rng.normal(size=(150, 16)) for c in centres]).astype(np.float32).astype(float)
+    rng.shuffle(v)
+    stored_cells = ann.cells(v)
+    own = ann.nearest_centre(v, stored_cells)
+    order = np.argsort(own, kind="stable")
+    ids = np.arange(len(v))
+    q = np.flatnonzero(ids % 20 == 0)
+    search = ann.Search(q, v[q], ann.floors(q, v[q], ids[:800], v[:800], 20), 20)
+    looked, counted = [], ann.Search.estimates
+    monkeypatch.setattr(ann.Search, "estimates", lambda self, some, codes, ones: looked.append(len(some) * codes.shape[1]) or counted(self, some, codes, ones))
+    codes, length, f = ann.encode(v, ann.rotation(16))
+    for c in np.unique(own):
+        part = order[own[order] == c]
+        search.block(part, v[part], codes[part], length[part], f[part])
+    assert sum(looked) < 0.25 * len(v) * len(q)
+    for i, x in enumerate(q):
+        score = v @ v[x]
+        score[x] = -np.inf
+        assert set(search.found[i].tolist()) == set(np.argsort(-score, kind="stable")[:20].tolist())
+
+
 def test_ties_blocks_and_unusable_vectors(spark, monkeypatch):
     monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(3)
