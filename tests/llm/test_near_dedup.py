@@ -72,6 +72,33 @@ def test_many_blocks_of_one_bucket(spark, monkeypatch):
     compare(near_dedup.near_duplicates(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)), rows)
 
 
+def test_sketches_of_linked_pairs_meet_and_are_alike():
+    """Pairs at exactly 75 %, 2000 at each size: all share a band, and none that asks its sketches is told to be unlike."""
+    np, rng = near_dedup.np, near_dedup.np.random.default_rng(4)
+    for union in (4, 8, 16, 32, 40, 64, 100):
+        for _ in range(2000):
+            x = rng.integers(0, 1 << 63, union, dtype=np.uint64) * np.uint64(2)
+            more = union // 4
+            a, b = np.sort(x[: union - more // 2]), np.sort(np.concatenate([x[: union - more], x[union - more // 2 :]]))
+            assert 100 * (union - more) >= 75 * union
+            one, two = near_dedup.sketch(a), near_dedup.sketch(b)
+            assert (one == two).any(), union
+            if min(len(a), len(b)) > near_dedup.SMALL:
+                assert (one.view(np.uint16) == two.view(np.uint16)).sum() >= near_dedup.LEAST_AGREEING
+
+
+def test_many_small_sets_in_one_bucket(spark):
+    """Short texts that share most words: brute force decides each link, sketches do not."""
+    rng = random.Random(12)
+    rows = []
+    for i in range(250):
+        w = ["a", "b", "c", "d", "e", "f", "g", "h"]
+        for _ in range(rng.choice((0, 1, 1, 2))):
+            w[rng.choice((0, 7, 7))] = f"x{rng.randrange(40)}"
+        rows.append((i, " ".join(w + [f"y{rng.randrange(6)}"] * rng.choice((0, 1)))))
+    compare(near_dedup.near_duplicates(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)), rows)
+
+
 def test_short_texts(spark):
     rows = [(1, "a b c"), (2, "A  b\nc"), (3, "a b"), (4, ""), (5, "."), (6, "a b c d e"), (7, "A B C D E"), (8, " \t ")]
     compare(near_dedup.near_duplicates(spark.createDataFrame([doc(i, t) for i, t in rows], DOCS)), rows)
