@@ -8,7 +8,8 @@ the expected words of each domain meet their targets: r minimises the least squa
     1/2 * sum_k w_k * (sum_d r_d n_d p_dk / N - target_k * budget)^2
 
 by projected gradient steps from r = 1, in the metric that weighs a document by its words; w_k evens the domains'
-scales. A step needs one distributed sum a domain; only these sums and the few classifier figures reach the driver.
+scales. A step needs one distributed sum a domain, and none as long as no rate can have reached 0; only these sums and
+the few classifier figures reach the driver. How far the targets are missed at the end is a column of the result.
 
 The classifier may be fitted on a sample: labelled documents whose crc32 of doc_id is below a threshold that about
 MOST_DOCS meet (twice that at most). All documents are classified, by all their words.
@@ -104,7 +105,9 @@ def _largest(m: list[list[float]]) -> float:
 
 
 def rates(members: DataFrame, targets: list[float], budget: float = 1.0) -> DataFrame:
-    """members (n_words, p0, p1, ...) with the column rate. members must be cheap to read again."""
+    """members (n_words, p0, p1, ...) with the columns rate and target_miss, the same for all rows: by what share of itself
+    a target (of 0.001 at least) is missed at the most when the descent ends, after STEPS steps or below EXACT. Targets
+    that no rates meet, as those of a domain without words, stay missed. members must be cheap to read again."""
     k = range(len(targets))
     total = sum(targets)
     if total <= 0 or min(targets) < 0:
@@ -114,29 +117,41 @@ def rates(members: DataFrame, targets: list[float], budget: float = 1.0) -> Data
     n = float(moments["n"] or 0)
     rated = members.withColumn("rate", F.lit(1.0))
     if not n:
-        return rated
+        return rated.withColumn("target_miss", F.lit(1.0))
     m = [[float(moments[f"m{min(i, j)}_{max(i, j)}"]) / n for j in k] for i in k]
     weight = [1 / max(m[i][i], 1e-9) for i in k]
     step = 1 / _largest([[m[i][j] * math.sqrt(weight[i] * weight[j]) for j in k] for i in k])
-    for s in range(1, STEPS + 1):
-        got = rated.agg(*(F.sum(F.col("rate") * F.col("n_words") * F.col(f"p{i}")).alias(f"g{i}") for i in k)).first()
-        off = [float(got[f"g{i}"]) / n - goal[i] for i in k]
-        if max(abs(x) / max(g, 1e-3) for x, g in zip(off, goal, strict=True)) < EXACT:
+    missed = lambda off: max(abs(x) / max(g, 1e-3) for x, g in zip(off, goal, strict=True))
+    # A rate is 1 - sum_k a_k p_k until one is clipped, which none can be while no a_k is above 1, as probabilities sum
+    # to 1: so far the sums follow from the second moments, and no pass over the documents is made.
+    a, s = [0.0] * len(targets), 0
+    while True:
+        off = [sum(m[i][j] * (1 - a[j]) for j in k) - goal[i] for i in k]
+        moved = [x + step * weight[i] * off[i] for i, x in enumerate(a)]
+        if s == STEPS or missed(off) < EXACT or max(moved) > 1:
             break
+        a, s = moved, s + 1
+    if any(a):
+        rated = members.withColumn("rate", F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(a[i]) * F.col(f"p{i}") for i in k), F.lit(0.0))))
+    passes = 0
+    while s < STEPS and missed(off) >= EXACT:
         change = sum((F.lit(step * weight[i] * off[i]) * F.col(f"p{i}") for i in k), F.lit(0.0))
         rated = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - change))
-        if s % KEEP_EVERY == 0:
+        s, passes = s + 1, passes + 1
+        if passes % KEEP_EVERY == 0:
             rated = materialise(rated, "rates")
-    return rated
+        got = rated.agg(*(F.sum(F.col("rate") * F.col("n_words") * F.col(f"p{i}")).alias(f"g{i}") for i in k)).first()
+        off = [float(got[f"g{i}"]) / n - goal[i] for i in k]
+    return rated.withColumn("target_miss", F.lit(missed(off)))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0) -> DataFrame:
-    """doc_id, n_words, p_<domain> ... and rate for every row of docs; labelled: doc_id, domain."""
+    """doc_id, n_words, p_<domain> ..., rate and target_miss for every row of docs; labelled: doc_id, domain."""
     targets = targets or TARGETS
     domains = list(targets)
     members = materialise(posteriors(docs, labelled, domains), "members")
     rated = rates(members, list(targets.values()), budget)
-    return rated.select("doc_id", "n_words", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate")
+    return rated.select("doc_id", "n_words", *(F.col(f"p{i}").alias(f"p_{d}") for i, d in enumerate(domains)), "rate", "target_miss")
 
 
 def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, budget: float = 1.0, seed: int = 1) -> DataFrame:

@@ -50,6 +50,43 @@ def test_rates_equal_plain_gradients(spark, targets):
     members = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(300)], "doc_id long, n_words long, p0 double, p1 double, p2 double")
     got = mixing.rates(members, targets, 1.5).orderBy("doc_id").toPandas().rate.to_numpy()
     assert (got >= 0).all() and np.allclose(got, reference(n, p, targets, 1.5), atol=1e-6)
+    miss = mixing.rates(members, targets, 1.5).first()["target_miss"]
+    goal = np.array(targets) / sum(targets) * 1.5
+    assert miss == pytest.approx((np.abs((got * n) @ p / n.sum() - goal) / np.maximum(goal, 1e-3)).max(), rel=1e-6, abs=1e-9)
+
+
+def test_posteriors_equal_plain_naive_bayes(spark, documents):
+    """Log-likelihoods of hashed words, tempered, with priors: by plain code over the same buckets."""
+    import math
+    from collections import Counter
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", mixing.quality_domain().alias("domain"))
+    domains = list(mixing.TARGETS)
+    bucket = {r["w"]: r["b"] for r in documents.select(F.explode(mixing.words()).alias("w")).distinct().select("w", mixing._bucket("w").alias("b")).collect()}
+    text = {r["doc_id"]: [w for w in r["w"] if w] for r in documents.select("doc_id", mixing.words().alias("w")).collect()}
+    domain = {r["doc_id"]: r["domain"] for r in labels.collect() if r["domain"] and r["doc_id"] is not None}
+    count, size = {k: Counter() for k in domains}, Counter(domain.values())
+    for d, k in domain.items():
+        count[k].update(bucket[w] for w in text.get(d, ()))
+    met = set().union(*count.values())
+    prior = [math.log((size[k] + 1) / (sum(size.values()) + len(domains))) for k in domains]
+    weight = {b: [math.log((count[k][b] + 0.5) / (sum(count[k].values()) + 0.5 * mixing.BUCKETS)) for k in domains] for b in met}
+    rows = {r["doc_id"]: r for r in mixing.posteriors(documents, labels, domains).collect()}
+    for d, ws in text.items():
+        known = [weight[bucket[w]] for w in ws if bucket[w] in met]
+        score = [p + sum(x[i] for x in known) * mixing.TEMPER / (len(known) + mixing.TEMPER) for i, p in enumerate(prior)]
+        e = [math.exp(x - max(score)) for x in score]
+        assert rows[d]["n_words"] == len(ws)
+        assert np.allclose([rows[d][f"p{i}"] for i in range(len(domains))], np.array(e) / sum(e), atol=1e-9)
+
+
+def test_free_steps_equal_passes(spark, monkeypatch):
+    """While no rate can be clipped no pass is made, and the rates are those of passes."""
+    rng = np.random.default_rng(3)
+    p, n = rng.dirichlet([2, 2, 2], 200), rng.integers(1, 100, 200)
+    members = spark.createDataFrame([(i, int(n[i]), *map(float, p[i])) for i in range(200)], "doc_id long, n_words long, p0 double, p1 double, p2 double")
+    rows = mixing.rates(members, [0.4, 0.3, 0.3]).orderBy("doc_id").toPandas()
+    assert np.allclose(rows.rate, reference(n, p, [0.4, 0.3, 0.3], 1.0), atol=1e-9) and rows.target_miss[0] < 1e-2
 
 
 def test_no_python_in_the_plan(spark, documents):
