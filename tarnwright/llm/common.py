@@ -7,6 +7,7 @@ import ctypes
 import gc
 import itertools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -22,9 +23,12 @@ _holder: list[str] = [""]
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and all run
+    in one process (tests). On a cluster an unset folder is an error, as executors would not find each other's tables."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[0-9*]+(,\s*[0-9]+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tarnwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
