@@ -72,5 +72,5 @@ def parse_synonyms(lines: DataFrame, column: str = "value") -> DataFrame:
 
 def expand(terms: DataFrame, table: DataFrame) -> DataFrame:
     """terms (query, term) with their expansions as further terms, each once a query."""
-    more = terms.join(F.broadcast(table), "term").select("query", F.col("expansion").alias("term"))
+    more = terms.join(table, "term").select("query", F.col("expansion").alias("term"))
     return terms.select("query", "term").unionByName(more).distinct()

@@ -5,6 +5,9 @@ Codes: 0 no data, 1 to 8 clockwise from east, 9 a mouth, 10 a depression.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,14 +30,14 @@ def edges(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("d8").between(1, 8)).select("ix", "iy", (F.col("ix") + target(F.col("d8"), 0)).cast("bigint").alias("tx"), (F.col("iy") + target(F.col("d8"), 1)).cast("bigint").alias("ty"))
 
 
-def _jumps(step: DataFrame, rounds: int) -> list[DataFrame]:
+def _jumps(step: DataFrame, rounds: int) -> Iterator[DataFrame]:
     """Tables of 1, 2, 4, ... steps at once (ix, iy, tx, ty): each is the last one joined with itself."""
-    out = [kept(step, "jumps")]
+    one = kept(step, "jumps")
+    yield one
     for _ in range(rounds - 1):
-        one = out[-1]
         far = one.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("tx").alias("fx"), F.col("ty").alias("fy"))
-        out.append(kept(one.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty")), "jumps"))
-    return out
+        one = kept(one.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty")), "jumps")
+        yield one
 
 
 def _steps(cells: DataFrame) -> DataFrame:
@@ -50,19 +53,24 @@ def trace(cells: DataFrame, starts: DataFrame, most: int = MOST_STEPS, stop_at_t
     9, 10 and other ones as `mouth`, `depression`, `nodata`; after `most` cells as `capped`; with stop_at_trunk (km2,
     column upa) at a trunk channel as `trunk`. Starts outside the study area have no row.
 
-    All routes advance together: the cell at step s is reached by the jumps that make up s, so a few joins give whole
-    routes of any length up to `most`, where following them cell by cell takes a join a step.
+    All routes advance together: the cells at the steps from 2 ** k on are those before, moved by a jump of 2 ** k
+    steps. So a few joins give whole routes of any length up to `most`, a row is made for each cell of a route and no
+    more, and following stops when no route goes on.
     """
     flowing = cells if stop_at_trunk is None else cells.where(~(F.coalesce("upa", F.lit(0.0)) > stop_at_trunk))
     step = edges(flowing.where("inside")).join(cells.where("inside").select(F.col("ix").alias("tx"), F.col("iy").alias("ty")), ["tx", "ty"], "left_semi").select("ix", "iy", "tx", "ty")
     rounds = max(1, (most - 1).bit_length())
     at = starts.select("trace_id", F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"))
     at = at.join(cells.where("inside").select("ix", "iy"), ["ix", "iy"], "left_semi")
-    at = at.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(most - 1))))
-    for k, jump in reversed(list(enumerate(_jumps(step, rounds)))):
-        taken = F.col("step").bitwiseAND(F.lit(1 << k)) != 0
-        moved = at.join(jump, ["ix", "iy"], "left").where(~taken | F.col("tx").isNotNull())
-        at = moved.select("trace_id", "step", F.when(taken, F.col("tx")).otherwise(F.col("ix")).alias("ix"), F.when(taken, F.col("ty")).otherwise(F.col("iy")).alias("iy"))
+    parts = [kept(at.select("trace_id", F.lit(0).alias("step"), "ix", "iy"), "route")]
+    for k, jump in enumerate(_jumps(step, rounds)):
+        before = reduce(DataFrame.unionByName, parts)
+        moved = before.join(jump, ["ix", "iy"]).select("trace_id", (F.col("step") + F.lit(1 << k)).alias("step"), F.col("tx").alias("ix"), F.col("ty").alias("iy"))
+        moved = kept(moved.where(F.col("step") < most), "route")
+        if moved.isEmpty():
+            break
+        parts.append(moved)
+    at = reduce(DataFrame.unionByName, parts)
     first = F.min("step").over(Window.partitionBy("trace_id", "ix", "iy"))
     at = at.withColumn("again", F.when(F.col("step") > first, F.col("step")))
     whole = Window.partitionBy("trace_id")
@@ -84,7 +92,7 @@ def terminals(cells: DataFrame, rounds: int = 8) -> DataFrame:
     """ix, iy, tx, ty: where each cell's flow is after 2 ** rounds steps; it stays where it ends."""
     inside = cells.where("inside").select("ix", "iy")
     at = inside.join(_steps(cells), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("tx", "ix").alias("tx"), F.coalesce("ty", "iy").alias("ty"))
-    return _jumps(at, rounds + 1)[-1]
+    return list(_jumps(at, rounds + 1))[-1]
 
 
 def monotonicity(traced: DataFrame, value: str, tolerance: int = 1, least_cells: int = 3) -> DataFrame:
@@ -113,3 +121,20 @@ def receiving(traced: DataFrame, upstream: DataFrame, k: int = 3) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("trace_id").orderBy(F.col("upa").desc(), "step"))
     rows = traced.join(upstream.select("ix", "iy", "upa"), ["ix", "iy"]).withColumn("rank", rank)
     return rows.where(F.col("rank") <= k).select("trace_id", "rank", "ix", "iy", "upa")
+
+
+def agreement(traced: DataFrame, cells: DataFrame, block: str = "block", mask: str = "on_flow") -> DataFrame:
+    """By seed and block: traced cells (seed, ix, iy), and how many of them lie on the mask; cells: ix, iy, block, mask.
+
+    A cell counts as often as routes pass it.
+    """
+    rows = traced.join(cells.select("ix", "iy", block, mask), ["ix", "iy"])
+    return rows.groupBy("seed", block).agg(F.count("*").alias("cells"), F.count_if(mask).alias("hits"))
+
+
+def agreement_summary(blocks: DataFrame, least_cells: int = 100) -> DataFrame:
+    """A row a seed: blocks with enough traced cells, and the median, least and greatest share on the mask."""
+    live = blocks.where(F.col("cells") >= least_cells).withColumn("share", F.col("hits") / F.col("cells"))
+    return live.groupBy("seed").agg(
+        F.count("*").alias("blocks"), F.sum("cells").alias("cells"), F.median("share").alias("median"), F.min("share").alias("least"), F.max("share").alias("most")
+    )

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarnwright.functions.codecs import YEAR_EPOCH, unpack_area
 from tarnwright.functions.text import numbers, word_count
+from tarnwright.operators.raster import dimensions
 
 #: Kinds, authorities, intents; parameters that the screening computes with; years that need no declaration.
 KINDS = ("error", "hydro", "limit", "method", "option", "outcome", "precedent", "refusal", "rule", "scope")
 INTENTS = ("flood", "feasibility", "consequence", "procedure", "evidence")
 EXTERNAL = ("statute", "court", "agency-survey", "dataset-doc")
+AUTHORITIES = (*EXTERNAL, "repo-derived", "editorial")
 REQUIRED_PARAMETERS = (
     "uncertaintyM", "lakeM_state", "drainM_state", "lakeM_ngt", "drainM_ngt",
     "P_mm", "P_annualMm", "C_pre", "C_post", "dC", "tankerL",
@@ -39,17 +42,45 @@ def share(rows: DataFrame, when: Column, among: Column | None = None) -> DataFra
 
 
 def layer_report(pixels: DataFrame, flow: str = "flow_path", metres: str = "metres") -> DataFrame:
-    """The checks of a packed layer set, as far as one pixel table shows them."""
-    c = F.col
+    """The checks of a packed layer set, as far as one pixel table shows them; checks whose bands are absent are left out."""
+    c, has = F.col, lambda *bands: set(bands) <= set(pixels.columns)
+    checks = [
+        ("graded distance field", pixels.agg(F.count_distinct(metres).alias("v")), 30, ">"),
+        ("distance on own mask at most 10 m", share(pixels, c(metres) <= 10, c(flow)), 0.95, ">"),
+        ("distance grows off the mask", pixels.agg((F.avg(F.when(~c(flow), c(metres))) - F.avg(F.when(c(flow), c(metres)))).alias("v")), 0, ">"),
+        ("occurrence at most 100", pixels.agg(F.max("occurrence").alias("v")), 100, "<="),
+        ("upstream codes are graded", pixels.agg(F.count_distinct("upa_code").alias("v")), 30, ">"),
+        ("legal direction codes", pixels.agg(F.max("d8").alias("v")), 10, "<="),
+        ("most cells flow", share(pixels, c("d8").between(1, 8)), 0.5, ">"),
+    ]
+    if has("alpha"):
+        checks.append(("alpha is opaque or absent", share(pixels, c("alpha").between(1, 254)), 0.01, "<"))
+    if has("year_code"):
+        seen = pixels.where(c("year_code") > 0)
+        checks += [("first year of water", seen.agg((F.min("year_code") + YEAR_EPOCH).alias("v")), 1984, ">="), ("last year of water", seen.agg((F.max("year_code") + YEAR_EPOCH).alias("v")), 2021, "<=")]
+    if has("historic"):
+        checks.append(("median occurrence on former water", pixels.where("historic").agg(F.median("occurrence").alias("v")), 20, ">"))
+    upstream = unpack_area(c("upa_code"))
+    checks.append(("flow path drains over 2 km2", share(pixels, upstream > 2, c(flow)), 0.85, ">"))
+    if has("trunk_m"):
+        checks.append(("trunk channels are near a trunk", share(pixels, c("trunk_m") <= 10, upstream > 10), 0.95, ">"))
+    if has("above_min"):
+        checks.append(("lowest ground is at 0", pixels.agg(F.min("above_min").alias("v")), 0, "="))
+    return report(checks)
+
+
+def size_report(layers: DataFrame) -> DataFrame:
+    """One row: layers (layer, y, x) whose size is not that of the first."""
+    return report([("layers of another size", dimensions(layers).agg(F.count_if(~F.col("same")).alias("v")), 0, "=")])
+
+
+def route_report(endings: DataFrame, falls: DataFrame) -> DataFrame:
+    """The checks of traced routes: endings (how, routes) and monotonicity rows (cells, steps, falls, grew)."""
     return report(
         [
-            ("graded distance field", pixels.agg(F.count_distinct(metres).alias("v")), 30, ">"),
-            ("distance on own mask at most 10 m", share(pixels, c(metres) <= 10, c(flow)), 0.95, ">"),
-            ("distance grows off the mask", pixels.agg((F.avg(F.when(~c(flow), c(metres))) - F.avg(F.when(c(flow), c(metres)))).alias("v")), 0, ">"),
-            ("occurrence at most 100", pixels.agg(F.max("occurrence").alias("v")), 100, "<="),
-            ("upstream codes are graded", pixels.agg(F.count_distinct("upa_code").alias("v")), 30, ">"),
-            ("legal direction codes", pixels.agg(F.max("d8").alias("v")), 10, "<="),
-            ("most cells flow", share(pixels, c("d8").between(1, 8)), 0.5, ">"),
+            ("routes that loop", endings.agg(F.coalesce(F.sum(F.when(F.col("how") == "loop", F.col("routes"))), F.lit(0)).alias("v")), 0, "="),
+            ("steps that lose catchment", falls.agg(F.try_divide(F.sum("falls"), F.sum("steps")).alias("v")), 0.05, "<"),
+            ("routes that gain catchment", share(falls, F.col("grew")), 0.8, ">"),
         ]
     )
 
@@ -63,6 +94,18 @@ def undeclared_numbers(docs: DataFrame, declared: DataFrame, key: str, text: str
     return rest.join(values, "value", "left_anti").select(key, "number")
 
 
+def undeclared_by_chunk(chunks: DataFrame) -> DataFrame:
+    """id, number: literals in the title and body of a chunk (id, title, body, asserts, source, url, repo_ref) that the
+    chunk itself declares neither as text nor as a number: by its asserts (v, pm, rel), by the digits of its source, link
+    and reference, or as one of the years that need no declaration. What another chunk declares does not count."""
+    asserted = F.flatten(F.transform(F.map_values("asserts"), lambda s: F.array(s["v"], s["pm"], s["rel"])))
+    literals = F.array_union(F.array(*map(F.lit, FREE_YEARS)), numbers(F.concat_ws(" ", "source", "url", "repo_ref")))
+    values = F.concat(F.array_compact(asserted), F.array_compact(F.transform(literals, lambda t: t.try_cast("double"))))
+    rows = chunks.select("id", literals.alias("literals"), values.alias("values"), F.explode(F.array_distinct(numbers(F.concat_ws(" ", "title", "body")))).alias("number"))
+    declared = F.array_contains("literals", F.col("number")) | F.coalesce(F.array_contains("values", F.col("number").try_cast("double")), F.lit(False))
+    return rows.where(~declared).select("id", "number")
+
+
 def secrets(files: DataFrame, text: str, marks: tuple[str, ...]) -> DataFrame:
     """The rows whose text holds one of the marks."""
     hit = F.lit(False)
@@ -92,7 +135,7 @@ def drift(one: DataFrame, two: DataFrame, aliases: DataFrame | None = None) -> D
     """key, one, two: values (key, v) that differ between two copies; aliases (alias, key) name the second's keys."""
     other = two.select("key", F.col("v").alias("two"))
     if aliases is not None:
-        named = other.join(F.broadcast(aliases.select(F.col("alias").alias("key"), F.col("key").alias("_key"))), "key", "left")
+        named = other.join(aliases.select(F.col("alias").alias("key"), F.col("key").alias("_key")), "key", "left")
         other = named.select(F.coalesce("_key", "key").alias("key"), "two")
     return one.select("key", F.col("v").alias("one")).join(other, "key").where(~F.col("one").eqNullSafe(F.col("two")))
 
@@ -128,9 +171,15 @@ def provenance(chunks: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def decimals(value: Column) -> Column:
-    """Decimal places of a number in its shortest form of six figures."""
-    shown = F.regexp_replace(F.format_number(value, 5), ",", "")
-    return F.length(F.regexp_extract(F.regexp_replace(shown, "0+$", ""), r"\.(\d*)$", 1))
+    """Characters after the point of a number in its shortest form of six figures: 1234.5678 is 1234.57, 2 of them.
+
+    Below 0.0001 and from a million on that form has an exponent, which counts, if there is a point at all.
+    """
+    shown = F.format_string("%.5e", value.cast("double"))
+    figures = F.length(F.regexp_replace(F.regexp_replace(F.split_part(shown, F.lit("e"), F.lit(1)), r"[-.]", ""), "0+$", ""))
+    power = F.split_part(shown, F.lit("e"), F.lit(2)).try_cast("int")
+    plain = F.greatest(F.lit(0), figures - 1 - power)
+    return F.when(value == 0, 0).when(power.between(-4, 5), plain).otherwise(F.when(figures > 1, figures - 1 + F.greatest(F.lit(4), F.length(F.abs(power).cast("string")) + 2)).otherwise(0))
 
 
 def overprecise(parameters: DataFrame) -> DataFrame:
@@ -152,6 +201,10 @@ def chunk_faults(chunks: DataFrame) -> DataFrame:
         "too long": word_count(c("body")) > MOST_WORDS,
         "unknown intent": F.size(F.array_except("intents", F.array(*map(F.lit, INTENTS)))) > 0,
     }
+    if "authority" in chunks.columns:
+        each["unknown authority"] = ~c("authority").isin(*AUTHORITIES)
+    if "file" in chunks.columns and "errors" in chunks.columns:
+        each["kind is not its folder"] = c("kind") != F.regexp_extract("file", r"([^/]+)/[^/]+\.md$", 1)
     return chunks.select("id", F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(k)) for k, bad in each.items())))).alias("problem"))
 
 
@@ -164,3 +217,57 @@ def fingerprint(rows: DataFrame, key: str, body: str) -> DataFrame:
     part = lambda at: F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)"))
     sums = rows.agg(F.count("*").alias("n"), part(1).alias("a"), part(16).alias("b"))
     return sums.select(F.substring(F.sha2(F.concat_ws(",", F.col("n").cast("string"), F.coalesce("a", F.lit(0)).cast("string"), F.coalesce("b", F.lit(0)).cast("string")), 256), 1, 8).alias("version"))
+
+
+def corpus_report(chunks: DataFrame, fields: list[str], files: DataFrame, required: tuple[str, ...] = REQUIRED_PARAMETERS) -> DataFrame:
+    """check, id, problem: everything that is wrong with a body of knowledge (as read by the corpus source), in one table.
+
+    files: path, lines, for references to lines. No row means that all checks passed.
+    """
+    from tarnwright.operators.triggers import field_faults
+    from tarnwright.sources.corpus import compiled, parameters
+
+    triggers, faults = compiled(chunks)
+    spark, row = chunks.sparkSession, "check string, id string, problem string"
+    words = chunks.select(word_count("body").alias("w")).orderBy(F.col("w").desc()).limit(12).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
+    tokens = F.floor(F.col("w") * 1.4) + 400
+    named = lambda check, df, key, problem: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("id"), problem.alias("problem"))
+    known = parameters(chunks)
+    parts = [
+        named("parsing", chunks.select("file", F.explode("errors").alias("e")), "file", F.col("e")),
+        spark.createDataFrame([("triggers", f, e) for f, e in faults], row),
+        named("fields", field_faults(spark, triggers, spark.createDataFrame([(f,) for f in fields], "field string")), "chunk_id", F.concat(F.lit("no such field: "), "field")),
+        named("chunks", chunk_faults(chunks), "id", F.col("problem")),
+        named("numbers", undeclared_by_chunk(chunks), "id", F.concat(F.lit("undeclared: "), "number")),
+        named("provenance", provenance(chunks, files), "id", F.col("problem")),
+        named("parameters", repeated_parameters(chunks), "key", F.format_string("declared %d times", "declared")),
+        named("parameters", missing_parameters(known, required), "key", F.lit("missing")),
+        named("precision", overprecise(known), "key", F.lit("more digits than its uncertainty supports")),
+        named("budget", words.where(tokens > 3000), "w", F.lit("the worst pack is too long")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def scraped(files: DataFrame, text: str, begin: str, end: str, item: str) -> DataFrame:
+    """The files' other columns and item: what a pattern finds between the first `begin` and the next `end` of each text.
+
+    For holding two copies of a list against each other when one of them is in source code.
+    """
+    after = F.when(F.contains(F.col(text), F.lit(begin)), F.substring_index(F.regexp_replace(text, f"(?s)^.*?{_quoted(begin)}", ""), end, 1))
+    return files.withColumn("item", F.explode(F.regexp_extract_all(after, F.lit(item), 1))).drop(text)
+
+
+def _quoted(literal: str) -> str:
+    return "\\Q" + literal + "\\E"
+
+
+def corpus_version(chunks: DataFrame) -> DataFrame:
+    """version: eight hexadecimal digits of the JSON list of the chunks' ids and bodies, by id.
+
+    One row holds the whole list, as its digest is defined so; for tables of any size see fingerprint().
+    """
+    joined = F.transform(F.array_sort(F.collect_list(F.struct("id", "body"))), lambda c: F.concat(c["id"], c["body"]))
+    return chunks.agg(F.substring(F.sha2(F.to_json(joined), 256), 1, 8).alias("version"))

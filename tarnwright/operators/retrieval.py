@@ -12,6 +12,8 @@ from tarnwright.sources.tables import numbered
 K1, B, TRIGGER_SHARE, PACK_CHUNKS = 1.2, 0.75, 0.65, 12
 #: Weight of tags, tokens a word costs, tokens of the frame around a pack, limit.
 TAG_WEIGHT, TOKENS_A_WORD, FRAME_TOKENS, TOKEN_LIMIT = 3, 1.4, 400, 3000
+#: Terms of all questions together that are looked for within rows.
+MOST_TERMS = 2000
 #: The score of a chunk that is always in a pack.
 ALWAYS_FLOOR = 0.2
 
@@ -38,18 +40,23 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(docs: DataFrame, queries: DataFrame, key: str, tokens: str) -> DataFrame:
     """query, key, score of all documents that hold a term of a query (query, term).
 
-    The query's terms are few; they are sent to the documents, so only their postings are shuffled. Lengths and
-    their sum are one narrow pass.
+    Up to MOST_TERMS terms are sent to the documents and counted within the row, so that no token is a row of its own
+    and only matching rows are shuffled. More terms meet the postings by a join. Lengths and their sum are one narrow pass.
     """
     terms = queries.select("query", "term").distinct()
-    wanted = [r["term"] for r in terms.select("term").distinct().collect()]
-    # term frequencies of the wanted terms are counted within the row, so no token is ever a row of its own
-    rows = docs.select(key, F.size(tokens).alias("dl"), F.filter(tokens, lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("met"))
     whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
-    tf = rows.where(F.size("met") > 0).select(key, "dl", F.explode(F.array_distinct("met")).alias("term"), "met")
-    tf = tf.select(key, "dl", "term", F.size(F.filter("met", lambda t: t == F.col("term"))).alias("tf"))
+    wanted = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(wanted) > MOST_TERMS:
+        found = postings(docs, key, tokens).join(terms.select("term").distinct(), "term", "left_semi")
+        tf = found.join(docs.select(key, F.size(tokens).alias("dl")), key)
+    else:
+        rows = docs.select(key, F.size(tokens).alias("dl"), F.filter(tokens, lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("met"))
+        tf = rows.where(F.size("met") > 0).select(key, "dl", F.explode(F.array_distinct("met")).alias("term"), "met")
+        tf = tf.select(key, "dl", "term", F.size(F.filter("met", lambda t: t == F.col("term"))).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    scored = tf.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(whole))
+    if len(wanted) <= MOST_TERMS:  # a row a term
+        df = F.broadcast(df)
+    scored = tf.join(df, "term").join(terms, "term").join(F.broadcast(whole))  # the last has one row
     part = idf(F.col("n"), F.col("df")) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return scored.groupBy("query", key).agg(F.sum(part).alias("score"))
 
@@ -64,7 +71,7 @@ def top(scored: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
 def fuse(scored: DataFrame, triggered: DataFrame, key: str) -> DataFrame:
     """query, key, score: triggers weigh 0.65, BM25 normalised by the query's best 0.35; `always` has a floor."""
     best = scored.groupBy("query").agg(F.max("score").alias("best"))
-    lexical = scored.join(F.broadcast(best), "query").select("query", key, (F.col("score") / F.col("best")).alias("lexical"))
+    lexical = scored.join(best, "query").select("query", key, (F.col("score") / F.col("best")).alias("lexical"))
     both = lexical.join(triggered.select("query", key, "always"), ["query", key], "full")
     fired = F.when(F.col("always").isNotNull(), 1.0).otherwise(0.0)
     score = TRIGGER_SHARE * fired + (1 - TRIGGER_SHARE) * F.coalesce("lexical", F.lit(0.0))
@@ -75,7 +82,7 @@ def without_conflicts(ranked: DataFrame, conflicts: DataFrame, key: str) -> Data
     """Of two conflicting ids (one, two) in a query's rows (query, key, rank) the better ranked one stays."""
     pairs = conflicts.select(F.col("one").alias("a"), F.col("two").alias("b")).unionByName(conflicts.select(F.col("two").alias("a"), F.col("one").alias("b"))).distinct()
     better = ranked.select("query", F.col(key).alias("b"), F.col("rank").alias("other"))
-    beaten = ranked.join(F.broadcast(pairs), F.col(key) == F.col("a")).join(better, ["query", "b"]).where(F.col("other") < F.col("rank"))
+    beaten = ranked.join(pairs, F.col(key) == F.col("a")).join(better, ["query", "b"]).where(F.col("other") < F.col("rank"))
     return ranked.join(beaten.select("query", key).distinct(), ["query", key], "left_anti")
 
 

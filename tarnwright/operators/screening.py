@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwright.functions.classes import UNCERTAINTY_M, displaced_error, displaced_m3, flow_class, hand_class, retreat, two_figures
+from tarnwright.functions.classes import UNCERTAINTY_M, displaced_error, displaced_m3, flow_class, hand_class, retreat, tankers, two_figures
 
 #: Metres of the lake and drain buffers of each regime.
 RULESETS = {"state": (30, 25), "ngt": (75, 50)}
@@ -44,7 +44,7 @@ def branches() -> list[tuple[str, Column, str]]:
 
 def screen(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """sites (with classes) with code, verdict and measured; outside the study area no measurement is reported."""
-    ruled = sites.join(F.broadcast(rules), "ruleId")
+    ruled = sites.join(F.broadcast(rules), "ruleId")  # a row a regime
     code, verdict = F.lit("none"), F.lit("NO_OBJECTION")
     for name, when, outcome in reversed(branches()):
         code, verdict = F.when(when, name).otherwise(code), F.when(when, outcome).otherwise(verdict)
@@ -55,11 +55,11 @@ def runoff(sites: DataFrame, plot: str = "plotM") -> DataFrame:
     """Displaced volume in m3, its error, both to two figures, and tankers."""
     volume = displaced_m3(F.col(plot))
     return sites.withColumns(
-        {"displaced_m3": volume, "error_m3": displaced_error(volume), "shown_m3": two_figures(volume), "shown_error_m3": two_figures(displaced_error(volume)), "tankers": volume * 1000 / 6000}
+        {"displaced_m3": volume, "error_m3": displaced_error(volume), "shown_m3": two_figures(volume), "shown_error_m3": two_figures(displaced_error(volume)), "tankers": tankers(volume)}
     )
 
 
-#: id, declared rank, whether it says anything of the site, and its trigger.
+#: Ids and triggers of the options. Declared ranks, and whether an option says anything of the site, are ours.
 OPTIONS = (
     ("option.wetland-restoration-tdr", 1, True, [[("distHistoric", "eq", 0), ("occurrence", "gte", 50)], [("distHistoric", "eq", 0)]]),
     ("option.sponge-park-retention", 2, True, [[("handClass", "in", ["AT_DRAINAGE_LEVEL", "DEEP_IN_A_WATER_PATH"]), ("retentionRequiredM3", "notnull", None)], [("handClass", "in", ["AT_DRAINAGE_LEVEL", "DEEP_IN_A_WATER_PATH", "LOW_GROUND"])]]),

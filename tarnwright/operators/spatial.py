@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwright.functions.geometry import Area, bin_lat, bin_lon, bin_of, in_ring, to_segment
+from tarnwright.sources.tables import kept
 
 
 def hotspots(pixels: DataFrame, width: int, height: int, across: int, down: int, k: int, area: Area) -> DataFrame:
@@ -66,11 +67,32 @@ def corridor(points: DataFrame, segments: DataFrame, metres: float, tile: float
     return near.withColumn("metres", d).where(F.col("metres") <= metres).groupBy("route_id", "point_id").agg(F.min("metres").alias("metres"))
 
 
+def corridor_counts(near: DataFrame) -> DataFrame:
+    """How many points are along each route: rows of corridor() counted."""
+    return near.groupBy("route_id").agg(F.count("*").alias("points"), F.min("metres").alias("nearest"))
+
+
+def footprints(buildings: DataFrame, area: Area, least_confidence: float = 0.70, least_m2: float = 40.0) -> DataFrame:
+    """Buildings (xmin, ymin, xmax, ymax, confidence, area_in_meters) whose box meets the area, sure and large enough.
+
+    All conditions are comparisons of columns with constants, so they reach the scan.
+    """
+    c = F.col
+    inside = (c("xmax") >= area.west) & (c("xmin") <= area.east) & (c("ymax") >= area.south) & (c("ymin") <= area.north)
+    return buildings.where(inside & (c("confidence") >= least_confidence) & (c("area_in_meters") >= least_m2))
+
+
+def grid_totals(pixels: DataFrame, width: int, height: int, across: int, down: int) -> DataFrame:
+    """One row: pixels (y, x), and the grid cells that hold any."""
+    cells = pixels.groupBy(bin_of(F.col("x"), across, width).alias("cx"), bin_of(F.col("y"), down, height).alias("cy")).agg(F.count("*").alias("px"))
+    return cells.agg(F.coalesce(F.sum("px"), F.lit(0)).alias("pixels"), F.count("*").alias("occupied"))
+
+
 def nearest_name(sites: DataFrame, places: DataFrame, kinds: tuple[str, ...] = ("settlement", "road"), reach: float = 1.0) -> DataFrame:
     """The nearest place of the kinds to each site (site_id, x, y) within reach, the smaller name on a tie.
 
     Places and sites meet in tiles of the reach's size: a place is sent to its own and the eight tiles around it.
-    Names never come from water.
+    Names never come from water. Sites without a place in reach have nulls; nearest_name_anywhere() has no reach.
     """
     offsets = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
     spread = _tiled(places.where(F.col("kind").isin(*kinds)), "px", "py", reach).withColumn("o", F.explode(offsets))
@@ -81,6 +103,31 @@ def nearest_name(sites: DataFrame, places: DataFrame, kinds: tuple[str, ...] = (
     return sites.select("site_id").join(best, "site_id", "left")
 
 
+def nearest_name_anywhere(sites: DataFrame, places: DataFrame, kinds: tuple[str, ...] = ("settlement", "road"), reach: float = 1.0) -> DataFrame:
+    """nearest_name() however far: the reach grows fourfold for the sites that have found nothing, until all have.
+
+    Null only if there is no place of the kinds at all.
+    """
+    named = places.where(F.col("kind").isin(*kinds))
+    left, out = sites.select("site_id", "x", "y"), None
+    if named.isEmpty():
+        return left.select("site_id", F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("distance"))
+    while True:
+        got = kept(nearest_name(left, named, kinds, reach), "names")
+        found = got.where("name is not null")
+        out = found if out is None else out.unionByName(found)
+        missing = got.where("name is null").select("site_id")
+        if missing.isEmpty():
+            return out
+        left, reach = left.join(missing, "site_id", "left_semi"), 4 * reach
+
+
+def lookup(gazetteer: DataFrame, names: DataFrame) -> DataFrame:
+    """asked, name, lon, lat: the places (name, lon, lat) that have the names asked for, whatever their case. A place
+    moves the map; it never screens anything."""
+    return names.select("asked").join(gazetteer.withColumn("_key", F.lower(F.trim("name"))), F.lower(F.trim("asked")) == F.col("_key")).select("asked", "name", "lon", "lat")
+
+
 def ranked(rows: DataFrame, score: str, tie: str, k: int | None = None) -> DataFrame:
     """Rows by falling score; ranks are given within the k kept."""
     top = rows.orderBy(F.col(score).desc(), tie)

@@ -68,7 +68,7 @@ def holdout_spread(rows: DataFrame, splits: DataFrame, predicted: str, truth: st
     Blocks are counted once; the splits meet these counts, not the pixels.
     """
     counts = confusion(rows, predicted, truth, (block,)).select(block, "tp", "fp", "fn", "tn")
-    held = counts.join(F.broadcast(splits), block)
+    held = counts.join(splits, block)
     iou = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp") + F.col("fn"))
     usable = (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn") >= least) & (F.col("tp") + F.col("fn") > 0)
     return held.groupBy("seed").agg(
@@ -79,12 +79,23 @@ def holdout_spread(rows: DataFrame, splits: DataFrame, predicted: str, truth: st
 
 
 def sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n rows without replacement: those with the smallest hash of key and seed, the smaller key on a tie."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """n rows without replacement: those with the smallest digest of seed and key, the smaller key on a tie."""
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)
 
 
 def hold_out(spark, blocks: int, k: int, seeds: list[int]) -> DataFrame:
-    """seed, block: k of the blocks a seed, those with the smallest hash of both."""
+    """seed, block: k of the blocks a seed, those with the smallest digest of both."""
     rows = spark.range(blocks * len(seeds)).select(F.get(F.array(*map(F.lit, seeds)), (F.col("id") % len(seeds)).cast("int")).alias("seed"), F.floor(F.col("id") / len(seeds)).cast("int").alias("block"))
-    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.xxhash64("seed", "block"), "block"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.md5(F.concat_ws(":", "seed", "block")), "block"))
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("seed", "block")
+
+
+def spread(seeds: DataFrame, columns: list[str]) -> DataFrame:
+    """figure, least, most, median of each column over the seeds: the range is the result, not the best draw."""
+    rows = seeds.select(F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")).select("r.*")
+    return rows.where("v is not null").groupBy("figure").agg(F.min("v").alias("least"), F.max("v").alias("most"), F.median("v").alias("median"), F.count("*").alias("draws"))
+
+
+def moments(rows: DataFrame, column: str) -> DataFrame:
+    """One row: median, mean, population standard deviation and number of the values."""
+    return rows.agg(F.median(column).alias("median"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("sd"), F.count(column).alias("n"))

@@ -54,6 +54,7 @@ def sites(orders: DataFrame) -> DataFrame:
     )
 
 
+#: The grid of site records that is swept.
 GRID = {
     "inAoi": [True, False], "ruleId": ["state", "ngt"], "verdict": ["REJECT", "REFER", "CONDITIONS", "NO_OBJECTION"], "distPresent": [0, 12, 40, 90, 255], "distHistoric": [0, 12, 40, 90, 255],
     "distDrain": [0, 20, 120, 255], "handM": [0, 1, 3, 12], "occurrence": [5, 60], "encroached": [0.0, 0.9], "hasBuildings": [True, False], "plotM": [30, 120],

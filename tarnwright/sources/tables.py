@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,18 +15,40 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def kept(df: DataFrame, label: str) -> DataFrame:
-    """df written to the folder in spark.checkpoint.dir and read again, so that later plans start there."""
-    spark = df.sparkSession
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; where it is unset, a local one, if driver and executors are one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[0-9*]+(,\s*[0-9]+)?\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="tarnwright-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return folder.rstrip("/")
+
+
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """df written to the shared folder and read again, so that later plans start there. It goes when the process ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_all)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove_all() -> None:
+    for spark, path in _written:
+        try:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session may have ended before the process
+            return
+
+
 def with_optional(df: DataFrame, required: list[str], optional: dict[str, str]) -> DataFrame:
     """Raises on a missing required column; a missing optional one is null, so that what needs it is unavailable, not negative."""
     missing = [c for c in required if c not in df.columns]
