@@ -60,9 +60,9 @@ def layer_report(pixels: DataFrame, flow: str = "flow_path", metres: str = "metr
         checks += [("first year of water", seen.agg((F.min("year_code") + YEAR_EPOCH).alias("v")), 1984, ">="), ("last year of water", seen.agg((F.max("year_code") + YEAR_EPOCH).alias("v")), 2021, "<=")]
     if has("historic"):
         checks.append(("median occurrence on former water", pixels.where("historic").agg(F.median("occurrence").alias("v")), 20, ">"))
-    upstream = unpack_area(c("upa_code"))
-    checks.append(("flow path drains over 2 km2", share(pixels, upstream > 2, c(flow)), 0.85, ">"))
     if has("trunk_m"):
+        upstream = unpack_area(c("upa_code"))
+        checks.append(("flow path drains over 2 km2", share(pixels, upstream > 2, c(flow)), 0.85, ">"))
         checks.append(("trunk channels are near a trunk", share(pixels, c("trunk_m") <= 10, upstream > 10), 0.95, ">"))
     if has("above_min"):
         checks.append(("lowest ground is at 0", pixels.agg(F.min("above_min").alias("v")), 0, "="))
@@ -173,7 +173,8 @@ def provenance(chunks: DataFrame, files: DataFrame) -> DataFrame:
 def decimals(value: Column) -> Column:
     """Characters after the point of a number in its shortest form of six figures: 1234.5678 is 1234.57, 2 of them.
 
-    Below 0.0001 and from a million on that form has an exponent, which counts, if there is a point at all.
+    Below 0.0001 and from a million on that form has an exponent, which counts, if there is a point at all. A seventh
+    figure of 5 is rounded up, by the number's shortest decimal form.
     """
     shown = F.format_string("%.5e", value.cast("double"))
     figures = F.length(F.regexp_replace(F.regexp_replace(F.split_part(shown, F.lit("e"), F.lit(1)), r"[-.]", ""), "0+$", ""))

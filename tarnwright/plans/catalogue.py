@@ -143,12 +143,13 @@ def pack_budget(spark, d):
 
 
 @query(
-    r"""WITH m AS (SELECT page_id, 'PNG layer_' || page_id || ': ' || url AS line FROM pages)
-SELECT page_id, CASE WHEN regexp_matches(line, 'https://\S+') THEN 'PNG' END AS kind, nullif(regexp_extract(line, '([A-Za-z0-9_-]+):\s*https://', 1), '') AS name,
+    r"""WITH m AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'GeoJSON' WHEN 1 THEN 'PNG' ELSE '# see' END || ' layer_' || page_id || ': ' || url AS line FROM pages)
+SELECT page_id, CASE WHEN regexp_matches(line, 'https://\S+') THEN CASE WHEN page_id % 3 = 0 THEN 'GEOJSON' ELSE 'PNG' END END AS kind, nullif(regexp_extract(line, '([A-Za-z0-9_-]+):\s*https://', 1), '') AS name,
 nullif(regexp_extract(line, '(https://\S+)', 1), '') AS url FROM m"""
 )
 def manifest_parse(spark, d):
-    lines = read(spark, d, "pages").select("page_id", F.concat(F.lit("PNG layer_"), "page_id", F.lit(": "), "url").alias("line"))
+    kind = F.when(F.col("page_id") % 3 == 0, "GeoJSON").when(F.col("page_id") % 3 == 1, "PNG").otherwise("# see")
+    lines = read(spark, d, "pages").select("page_id", F.concat(kind, F.lit(" layer_"), "page_id", F.lit(": "), "url").alias("line"))
     return lines.select("page_id", *(c.alias(k) for k, c in manifest.fields(F.col("line")).items()))
 
 
@@ -268,7 +269,7 @@ eras2 AS (SELECT *, lost AND landcover = 6 AS encroached FROM eras)"""
 
 @query(f"WITH {ERA_SQL} SELECT y, x, historic, present, lost, encroached FROM eras2")
 def water_eras(spark, d):
-    return raster.water_eras(fx.pixels(spark)).select("y", "x", "historic", "present", "lost", "encroached")
+    return raster.water_eras(fx.pixels(spark, d)).select("y", "x", "historic", "present", "lost", "encroached")
 
 
 @query(
@@ -276,69 +277,72 @@ def water_eras(spark, d):
 ON historic, present, lost, encroached INTO NAME mask VALUE pixels) SELECT mask, pixels, round(pixels * 0.0404496::DOUBLE, 6) AS hectares FROM u"""
 )
 def mask_area(spark, d):
-    return raster.mask_area(raster.water_eras(fx.pixels(spark)), ["historic", "present", "lost", "encroached"], 0.0404496).select("mask", "pixels", r6("hectares"))
+    return raster.mask_area(raster.water_eras(fx.pixels(spark, d)), ["historic", "present", "lost", "encroached"], 0.0404496).select("mask", "pixels", r6("hectares"))
 
 
 @query(
-    f"""WITH RECURSIVE {fx.PIXEL_SQL}, c AS (SELECT y, x FROM pxb WHERE m), w AS (SELECT y, x, y AS ry, x AS rx FROM c
-UNION SELECT w.y, w.x, c.y, c.x FROM w JOIN c ON abs(c.y - w.ry) <= 1 AND abs(c.x - w.rx) <= 1) SELECT y, x FROM w GROUP BY y, x HAVING count(*) >= 4"""
+    f"""WITH RECURSIVE {fx.PIXEL_SQL}, c AS (SELECT y, x FROM pxb WHERE m), o AS (SELECT a.range AS dy, b.range AS dx FROM range(-1, 2) a, range(-1, 2) b), w AS (SELECT y, x, y AS ry, x AS rx FROM c
+UNION SELECT w.y, w.x, c.y, c.x FROM w CROSS JOIN o JOIN c ON c.y = w.ry + o.dy AND c.x = w.rx + o.dx) SELECT y, x FROM w GROUP BY y, x HAVING count(*) >= 4"""
 )
 def min_patch(spark, d):
-    return raster.min_patch(fx.pixels(spark).where("m"))
+    return raster.min_patch(fx.pixels(spark, d).where("m"))
 
 
 @query(
-    f"""WITH {fx.PIXEL_SQL}, c AS (SELECT y, x FROM pxb WHERE m) SELECT y, x FROM c WHERE (SELECT count(*) FROM c AS o WHERE (o.y = c.y AND abs(o.x - c.x) = 1) OR (o.x = c.x AND abs(o.y - c.y) = 1)) < 4"""
+    f"""WITH {fx.PIXEL_SQL}, c AS (SELECT y, x FROM pxb WHERE m), s(dy, dx) AS (VALUES (0, 1), (1, 0), (0, -1), (-1, 0))
+SELECT c.y, c.x FROM c CROSS JOIN s LEFT JOIN c o ON o.y = c.y + s.dy AND o.x = c.x + s.dx GROUP BY c.y, c.x HAVING count(o.y) < 4"""
 )
 def mask_edge(spark, d):
-    return raster.mask_edge(fx.pixels(spark).where("m"))
+    return raster.mask_edge(fx.pixels(spark, d).where("m"))
 
 
 @query(
-    f"""WITH {fx.PIXEL_SQL}, c AS (SELECT y, x FROM pxb WHERE m AND x < 9 AND y < 12)
+    f"""WITH {fx.PIXEL_SQL}, c AS (SELECT y, x FROM pxb WHERE m AND x < 9 AND y % 40 < 12)
 SELECT p.y, p.x, CAST(floor(LEAST(sqrt(min((p.y - c.y) * (p.y - c.y) + (p.x - c.x) * (p.x - c.x))) * 10, 255) + 0.5) AS INTEGER) AS metres FROM px p, c GROUP BY p.y, p.x"""
 )
 def distance_field(spark, d):
-    return raster.distance_field(fx.pixels(spark).withColumn("near", F.col("m") & (F.col("x") < 9) & (F.col("y") < 12)), "near")
+    return raster.distance_field(fx.pixels(spark, d).withColumn("near", F.col("m") & (F.col("x") < 9) & (F.col("y") % 40 < 12)), "near")
 
 
-POSES = ("as_is", "p.y", "p.x"), ("upside_down", "36 - p.y", "p.x"), ("mirrored", "p.y", "63 - p.x"), ("turned", "36 - p.y", "63 - p.x")
+POSES = ("as_is", "p.y", "p.x"), ("upside_down", "h - p.y", "p.x"), ("mirrored", "p.y", "63 - p.x"), ("turned", "h - p.y", "63 - p.x")
 
 
 @query(
-    f"WITH {fx.PIXEL_SQL}, o AS (SELECT y, x, ((x * x * 7 + (36 - y) * (36 - y) * 13 + x * (36 - y) * 5) % 23) < 6 AS m FROM px) "
+    f"WITH {fx.PIXEL_SQL}, s AS (SELECT max(y) AS h FROM px), o AS (SELECT y, x, h, ((x * x * 7 + (h - y) * (h - y) * 13 + x * (h - y) * 5) % 23) < 6 AS m FROM px, s) "
     + " UNION ALL ".join(f"SELECT '{n}' AS pose, round(avg(CASE WHEN p.m = o.m THEN 1.0 ELSE 0.0 END), 6) AS match FROM pxb p JOIN o ON o.y = {y} AND o.x = {x}" for n, y, x in POSES)
 )
 def flip_diagnosis(spark, d):
-    layers = fx.pixels(spark).withColumn("flipped", F.expr("((x * x * 7 + (36 - y) * (36 - y) * 13 + x * (36 - y) * 5) % 23) < 6"))
-    return raster.flip_diagnosis(layers, "m", "flipped", fx.HEIGHT, fx.WIDTH).select("pose", r6("match"))
+    px = fx.pixels(spark, d)
+    h = px.agg(F.max("y")).first()[0]
+    layers = px.withColumn("flipped", F.expr(f"((x * x * 7 + CAST({h} - y AS BIGINT) * ({h} - y) * 13 + x * ({h} - y) * 5) % 23) < 6"))
+    return raster.flip_diagnosis(layers, "m", "flipped", h + 1, fx.WIDTH).select("pose", r6("match"))
 
 
 # Flow
 
 NEXT_X = "CASE d8 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 4 THEN -1 WHEN 5 THEN -1 WHEN 6 THEN -1 WHEN 8 THEN 1 WHEN 3 THEN 0 WHEN 7 THEN 0 END"
 NEXT_Y = "CASE d8 WHEN 1 THEN 0 WHEN 2 THEN -1 WHEN 3 THEN -1 WHEN 4 THEN -1 WHEN 5 THEN 0 WHEN 6 THEN 1 WHEN 7 THEN 1 WHEN 8 THEN 1 END"
-TRACE_SQL = f"""{fx.CELL_SQL}, walk AS (SELECT ix * 40 + iy AS trace_id, 0 AS step, ix, iy, d8, [ix * 100 + iy] AS path FROM cells WHERE inside
-UNION ALL SELECT trace_id, step + 1, c.ix, c.iy, c.d8, list_append(path, c.ix * 100 + c.iy) FROM (SELECT *, ix + {NEXT_X} AS nx, iy + {NEXT_Y} AS ny FROM walk) w JOIN cells c ON c.ix = w.nx AND c.iy = w.ny
-WHERE c.inside AND step < 199 AND NOT list_contains(path, c.ix * 100 + c.iy)),
+TRACE_SQL = f"""{fx.CELL_SQL}, walk AS (SELECT iy * 40 + ix AS trace_id, 0 AS step, ix, iy, d8, [iy * 1000 + ix] AS path FROM cells WHERE inside
+UNION ALL SELECT trace_id, step + 1, c.ix, c.iy, c.d8, list_append(path, c.iy * 1000 + c.ix) FROM (SELECT *, ix + {NEXT_X} AS nx, iy + {NEXT_Y} AS ny FROM walk) w JOIN cells c ON c.ix = w.nx AND c.iy = w.ny
+WHERE c.inside AND step < 199 AND NOT list_contains(path, c.iy * 1000 + c.ix)),
 told AS (SELECT trace_id, step, ix, iy, d8, CASE WHEN step = max(step) OVER (PARTITION BY trace_id) THEN CASE WHEN d8 = 9 THEN 'mouth' WHEN d8 = 10 THEN 'depression' WHEN d8 NOT BETWEEN 1 AND 8 THEN 'nodata'
-WHEN step >= 199 THEN 'capped' WHEN list_contains(path, (ix + {NEXT_X}) * 100 + iy + {NEXT_Y}) THEN 'loop' ELSE 'edge' END END AS how FROM walk)"""
+WHEN step >= 199 THEN 'capped' WHEN list_contains(path, (iy + {NEXT_Y}) * 1000 + ix + {NEXT_X}) THEN 'loop' ELSE 'edge' END END AS how FROM walk)"""
 
 
-def _traced(spark: SparkSession) -> DataFrame:
-    cells = fx.cells(spark)
-    starts = cells.select((F.col("ix") * 40 + F.col("iy")).alias("trace_id"), "ix", "iy")
+def _traced(spark: SparkSession, d: str) -> DataFrame:
+    cells = fx.cells(spark, d)
+    starts = cells.select((F.col("iy") * 40 + F.col("ix")).alias("trace_id"), "ix", "iy")
     return flow.trace(cells, starts)
 
 
 @query(f"WITH RECURSIVE {TRACE_SQL} SELECT trace_id, CAST(step AS INTEGER) AS step, ix, iy, how FROM told")
 def d8_trace(spark, d):
-    return _traced(spark).select("trace_id", "step", "ix", "iy", "how")
+    return _traced(spark, d).select("trace_id", "step", "ix", "iy", "how")
 
 
 @query(f"WITH RECURSIVE {TRACE_SQL} SELECT how, count(*) AS routes, CAST(sum(step + 1) AS BIGINT) AS cells FROM told WHERE how IS NOT NULL GROUP BY how")
 def route_endings(spark, d):
-    return flow.endings(_traced(spark))
+    return flow.endings(_traced(spark, d))
 
 
 @query(
@@ -347,7 +351,7 @@ s AS (SELECT c.ix, c.iy, coalesce(t.ix, c.ix) AS nx, coalesce(t.iy, c.iy) AS ny
 w AS (SELECT ix, iy, ix AS tx, iy AS ty, 0 AS k FROM s UNION ALL SELECT w.ix, w.iy, s.nx, s.ny, k + 1 FROM w JOIN s ON s.ix = w.tx AND s.iy = w.ty WHERE k < 256) SELECT ix, iy, tx, ty FROM w WHERE k = 256"""
 )
 def d8_terminal(spark, d):
-    return flow.terminals(fx.cells(spark))
+    return flow.terminals(fx.cells(spark, d))
 
 
 @query(
@@ -356,7 +360,7 @@ SELECT trace_id, count(*) AS cells, count(b) AS steps, count(*) FILTER (upa_code
 FROM v GROUP BY trace_id HAVING count(*) >= 3"""
 )
 def route_monotonicity(spark, d):
-    valued = _traced(spark).join(fx.cells(spark).select("ix", "iy", "upa_code"), ["ix", "iy"])
+    valued = _traced(spark, d).join(fx.cells(spark, d).select("ix", "iy", "upa_code"), ["ix", "iy"])
     return flow.monotonicity(valued, "upa_code").select("trace_id", "cells", "steps", "falls", "grew", "held")
 
 
@@ -411,7 +415,15 @@ def options_panel(spark, d):
     return screening.options(rows)
 
 
-@query()
+SATURATED = ", ".join(f"CASE WHEN {c} < 255 THEN '\"{c}\":' || {c} END" for c in ("distPresent", "distHistoric", "distDrain"))
+
+
+@query(
+    f"""WITH {CLASSED_SQL}, {RULES_SQL}, s AS (SELECT *, CASE {' '.join(f"WHEN {w} THEN '{c}'" for w, c, _ in CASCADE)} ELSE 'none' END AS code,
+  CASE {' '.join(f"WHEN {w} THEN '{v}'" for w, _, v in CASCADE)} ELSE 'NO_OBJECTION' END AS verdict FROM classed JOIN rules USING (ruleId))
+SELECT site_id, '{{' || concat_ws(',', '"site_id":' || site_id, '"ruleId":"' || ruleId || '"', '"lakeM":' || lakeM, '"drainM":' || drainM, '"plotM":' || plotM, '"verdict":"' || verdict || '"', '"code":"' || code || '"',
+  CASE WHEN inAoi THEN '"measured":{{' || concat_ws(',', {SATURATED}, '"handM":' || handM, '"occurrence":' || occurrence) || '}}' END, '"uncertaintyM":20') || '}}' AS certificate FROM s"""
+)
 def certificates(spark, d):
     return screening.certificate(screening.screen(classed(spark, d), screening.rulesets(spark)))
 
@@ -429,13 +441,14 @@ def trigger_match(spark, d):
     return triggers.match(rows, fx.CHUNKS).select("site_id", "chunk_id", "kind")
 
 
+REFUSED = " OR ".join(fx.chunk_sql(c) for c in fx.CHUNKS if c.id == "refusal.not-a-flood-predictor")
 KIND_OF = {k: " OR ".join(f"({fx.chunk_sql(c)})" for c in fx.CHUNKS if c.kind in k) for k in (("rule",), ("error", "limit"))}
 
 
 @query(
     f"""WITH {fx.sweep_sql()}, k AS ({fx.classes_sql('sweep')}), n AS (SELECT *, {' + '.join(f"CAST({f'({fx.chunk_sql(c)})'} AS INTEGER)" for c in fx.CHUNKS)} AS n FROM k)
 SELECT count(*) AS records, CAST(min(n) AS INTEGER) AS least, CAST(max(n) AS INTEGER) AS most, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n < 3) AS too_few, count(*) FILTER (NOT ({KIND_OF[('rule',)]})) AS no_rule,
-count(*) FILTER (NOT ({KIND_OF[('error', 'limit')]})) AS no_limit, CAST(0 AS BIGINT) AS no_refusal FROM n"""
+count(*) FILTER (NOT ({KIND_OF[('error', 'limit')]})) AS no_limit, count(*) FILTER (intent = 'flood' AND NOT ({REFUSED})) AS no_refusal FROM n"""
 )
 def coverage_sweep(spark, d):
     return triggers.coverage(screening.with_classes(fx.sweep(spark)), fx.CHUNKS)
@@ -469,9 +482,24 @@ def missing_parameters(spark, d):
     return quality.missing_parameters(_parameters(spark))
 
 
-@query("SELECT 'P_mm' AS key, 60.125::DOUBLE AS v, 24.0::DOUBLE AS pm")
+MEASURED_SQL = "m AS (SELECT 'p' || p_partkey AS key, p_retailprice * pow(10.0::DOUBLE, p_partkey % 7 - 5) AS v, (1 + p_size) / 10.0::DOUBLE AS pm FROM part)"
+
+
+def _measured(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").selectExpr("concat('p', p_partkey) AS key", "p_retailprice * pow(10D, p_partkey % 7 - 5) AS v", "(1 + p_size) / 10D AS pm")
+
+
+@query(
+    f"""WITH {MEASURED_SQL}, n AS (SELECT *, length(split_part(printf('%g', v), '.', 2)) AS dv, length(split_part(printf('%g', pm), '.', 2)) AS dp FROM m)
+SELECT key, v, pm FROM n WHERE NOT abs(v) * 1e-3::DOUBLE > abs(pm) AND dv > dp + 1"""
+)
 def overprecise_parameters(spark, d):
-    return quality.overprecise(_parameters(spark))
+    return quality.overprecise(_measured(spark, d))
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(length(split_part(printf('%g', l_extendedprice * 1.4142135623730951::DOUBLE * pow(10.0::DOUBLE, l_orderkey % 13 - 8)), '.', 2)) AS INTEGER) AS decimals FROM lineitem")
+def shown_decimals(spark, d):
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", quality.decimals(F.col("l_extendedprice") * 2**0.5 * F.pow(F.lit(10.0), F.col("l_orderkey") % 13 - 8)).alias("decimals"))
 
 
 # Grids, histograms, scores
@@ -548,19 +576,19 @@ def holdout_spread(spark, d):
     return stats.holdout_spread(_blocks(spark, d), splits, "predicted", "truth").select("seed", r6("pooled_iou"), r6("median_block_iou"), "blocks")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5('0:' || o_orderkey), o_orderkey LIMIT 400")
 def seeded_sample(spark, d):
     return stats.sample(read(spark, d, "orders").select("o_orderkey"), "o_orderkey", 400, 0)
 
 
 # Spatial joins
 
-ZONE_SQL = "z AS (SELECT s_suppkey AS zone_id, (s_suppkey * 7) % 50 AS x0, (s_suppkey * 5) % 30 AS y0, 3 + s_suppkey % 9 AS wd, 2 + s_suppkey % 5 AS hg FROM supplier)"
+ZONE_SQL = "z AS (SELECT s_suppkey AS zone_id, (s_suppkey * 7) % 50 AS x0, s_suppkey * 2 AS y0, 3 + s_suppkey % 9 AS wd, 2 + s_suppkey % 5 AS hg FROM supplier)"
 
 
 def zones(spark: SparkSession, d: str) -> DataFrame:
     """Triangles and rectangles in turn, one a supplier."""
-    rows = read(spark, d, "supplier").selectExpr("s_suppkey AS zone_id", "CAST((s_suppkey * 7) % 50 AS DOUBLE) AS x0", "CAST((s_suppkey * 5) % 30 AS DOUBLE) AS y0", "CAST(3 + s_suppkey % 9 AS DOUBLE) AS wd", "CAST(2 + s_suppkey % 5 AS DOUBLE) AS hg")
+    rows = read(spark, d, "supplier").selectExpr("s_suppkey AS zone_id", "CAST((s_suppkey * 7) % 50 AS DOUBLE) AS x0", "CAST(s_suppkey * 2 AS DOUBLE) AS y0", "CAST(3 + s_suppkey % 9 AS DOUBLE) AS wd", "CAST(2 + s_suppkey % 5 AS DOUBLE) AS hg")
     p = lambda x, y: F.struct(F.expr(x).alias("x"), F.expr(y).alias("y"))
     box = F.array(p("x0", "y0"), p("x0 + wd", "y0"), p("x0 + wd", "y0 + hg"), p("x0", "y0 + hg"))
     return rows.select("zone_id", box.alias("ring"))
@@ -571,21 +599,21 @@ IN_ZONE = "x + 0.5 > x0 AND x + 0.5 < x0 + wd AND y + 0.5 > y0 AND y + 0.5 < y0
 
 @query(f"WITH {fx.PIXEL_SQL}, {ZONE_SQL} SELECT zone_id, count(y) AS pixels, round(avg(hand), 6) AS hand, round(avg(upa), 6) AS upa FROM z LEFT JOIN pxb ON {IN_ZONE} GROUP BY zone_id")
 def zonal_mean(spark, d):
-    return spatial.zonal_mean(fx.pixels(spark), zones(spark, d), ["hand", "upa"]).select("zone_id", "pixels", r6("hand"), r6("upa"))
+    return spatial.zonal_mean(fx.pixels(spark, d), zones(spark, d), ["hand", "upa"]).select("zone_id", "pixels", r6("hand"), r6("upa"))
 
 
 @query(f"WITH {fx.PIXEL_SQL}, {ZONE_SQL} SELECT DISTINCT zone_id FROM z JOIN pxb ON {IN_ZONE} WHERE hand < 0.5")
 def zones_touching(spark, d):
-    return spatial.touching(fx.pixels(spark).where("hand < 0.5"), zones(spark, d)).select("zone_id")
+    return spatial.touching(fx.pixels(spark, d).where("hand < 0.5"), zones(spark, d)).select("zone_id")
 
 
 @query(
-    f"""WITH {fx.PIXEL_SQL}, pl AS (SELECT s_suppkey AS plot_id, (s_suppkey * 13) % 64 AS px, (s_suppkey * 11) % 37 AS py, 1 + s_suppkey % 6 AS radius FROM supplier)
+    f"""WITH {fx.PIXEL_SQL}, pl AS (SELECT s_suppkey AS plot_id, (s_suppkey * 13) % 64 AS px, s_suppkey * 2 AS py, 1 + s_suppkey % 6 AS radius FROM supplier)
 SELECT plot_id, count(*) AS pixels, min(hand) AS min_hand, CAST(max(occurrence) AS INTEGER) AS max_occurrence FROM pl JOIN pxb ON (x - px) * (x - px) + (y - py) * (y - py) <= radius * radius GROUP BY plot_id"""
 )
 def disc_probe(spark, d):
-    plots = read(spark, d, "supplier").selectExpr("s_suppkey AS plot_id", "(s_suppkey * 13) % 64 AS px", "(s_suppkey * 11) % 37 AS py", "1 + s_suppkey % 6 AS radius")
-    return spatial.disc_probe(fx.pixels(spark), plots, ["hand"], ["occurrence"])
+    plots = read(spark, d, "supplier").selectExpr("s_suppkey AS plot_id", "(s_suppkey * 13) % 64 AS px", "s_suppkey * 2 AS py", "1 + s_suppkey % 6 AS radius")
+    return spatial.disc_probe(fx.pixels(spark, d), plots, ["hand"], ["occurrence"])
 
 
 @query(
@@ -675,6 +703,6 @@ SELECT name, round(observed, 6) AS observed, threshold, CASE how WHEN '>' THEN o
 )
 def dq_report(spark, d):
     c = F.col
-    px = raster.flow_masks(fx.pixels(spark))
+    px = raster.flow_masks(fx.pixels(spark, d))
     px = px.withColumns({"metres": F.when(c("flow_path"), (c("x") % 2) * 5).otherwise(10 + (c("x") * 3 + c("y")) % 240), "upa_code": codecs.pack_area(c("upa"))})
     return quality.layer_report(px).select("name", r6("observed"), "threshold", "ok")

@@ -5,34 +5,43 @@ Each comes as a DataFrame and as SQL with the same whole-number arithmetic, so t
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwright.operators.triggers import Chunk
+from tarnwright.sources import corpus
+from tarnwright.sources.tables import read
 
 WIDTH, HEIGHT = 64, 37
 SIDE = 40
 
-PIXEL_SQL = """px AS (SELECT CAST(id // 64 AS INTEGER) AS y, CAST(id % 64 AS INTEGER) AS x FROM (SELECT range AS id FROM range(2368))),
+#: Pixels are the rows of `orders`, 64 to a line, so the picture grows with the tables.
+PIXEL_SQL = """px AS (SELECT CAST(o_orderkey // 64 AS INTEGER) AS y, CAST(o_orderkey % 64 AS INTEGER) AS x FROM orders),
 pxb AS (SELECT y, x, (x * 7 + y * 13) % 11 AS transition, (x * 5 + y * 3) % 9 AS landcover, ((x * 3 + y * 11) % 60) / 10.0 AS hand,
   ((x * 17 + y * 29) % 400) / 10.0 AS upa, ((x * x * 7 + y * y * 13 + x * y * 5) % 23) < 6 AS m, ((x * 3 + y * 7) % 101) AS occurrence, ((x + y * 5) % 11) AS d8 FROM px)"""
 
 
-def pixels(spark: SparkSession) -> DataFrame:
-    px = spark.range(WIDTH * HEIGHT).select(F.expr("CAST(id DIV 64 AS INT)").alias("y"), F.expr("CAST(id % 64 AS INT)").alias("x"))
+def pixels(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """A pixel for each row of `orders`; without a folder a small picture of fixed size."""
+    ids = spark.range(WIDTH * HEIGHT) if folder is None else read(spark, folder, "orders").select(F.col("o_orderkey").alias("id"))
+    px = ids.select(F.expr("CAST(id DIV 64 AS INT)").alias("y"), F.expr("CAST(id % 64 AS INT)").alias("x"))
     return px.selectExpr(
         "y", "x", "(x * 7 + y * 13) % 11 AS transition", "(x * 5 + y * 3) % 9 AS landcover", "CAST((x * 3 + y * 11) % 60 AS DOUBLE) / 10 AS hand", "CAST((x * 17 + y * 29) % 400 AS DOUBLE) / 10 AS upa",
-        "((x * x * 7 + y * y * 13 + x * y * 5) % 23) < 6 AS m", "(x * 3 + y * 7) % 101 AS occurrence", "(x + y * 5) % 11 AS d8",
+        "((x * x * 7 + CAST(y AS BIGINT) * y * 13 + x * y * 5) % 23) < 6 AS m", "(x * 3 + y * 7) % 101 AS occurrence", "(x + y * 5) % 11 AS d8",
     )
 
 
 CELL_SQL = """cells AS (SELECT id % 40 AS ix, id // 40 AS iy, CAST(CASE WHEN id % 40 < 20 THEN CASE WHEN id // 40 = 0 THEN 9 WHEN (id % 40) % 3 = 0 THEN 2 ELSE 3 END
   ELSE ((id % 40) * 7 + (id // 40) * 11 + (id % 40) * (id // 40)) % 11 END AS INTEGER) AS d8, NOT ((id % 40) = 0 AND (id // 40) > 35) AS inside,
-  CAST(255 - (id // 40) * 6 + (id % 3) AS INTEGER) AS upa_code FROM (SELECT range AS id FROM range(1600)))"""
+  CAST(255 - (id // 40) * 6 + (id % 3) AS INTEGER) AS upa_code FROM (SELECT c_custkey AS id FROM customer))"""
 
 
-def cells(spark: SparkSession) -> DataFrame:
-    return spark.range(SIDE * SIDE).selectExpr(
+def cells(spark: SparkSession, folder: str | None = None) -> DataFrame:
+    """A cell for each row of `customer`, 40 to a line; without a folder a square of fixed size."""
+    ids = spark.range(SIDE * SIDE) if folder is None else read(spark, folder, "customer").select(F.col("c_custkey").alias("id"))
+    return ids.selectExpr(
         "id % 40 AS ix", "id DIV 40 AS iy",
         "CAST(CASE WHEN id % 40 < 20 THEN CASE WHEN id DIV 40 = 0 THEN 9 WHEN (id % 40) % 3 = 0 THEN 2 ELSE 3 END ELSE ((id % 40) * 7 + (id DIV 40) * 11 + (id % 40) * (id DIV 40)) % 11 END AS INT) AS d8",
         "NOT ((id % 40) = 0 AND (id DIV 40) > 35) AS inside", "CAST(255 - (id DIV 40) * 6 + (id % 3) AS INT) AS upa_code",
@@ -63,9 +72,9 @@ GRID = {
 
 
 def sweep(spark: SparkSession, grid: dict[str, list] = GRID) -> DataFrame:
-    """The product of the grid's values, as one narrow pass over a range: no join."""
+    """The product of the grid's values (and record, its number), as one narrow pass over a range: no join."""
     size = 1
-    columns = {}
+    columns = {"record": F.col("id")}
     for name, values in grid.items():
         columns[name] = F.get(F.array(*map(F.lit, values)), (F.expr(f"(id DIV {size}) % {len(values)}")).cast("int"))
         size *= len(values)
@@ -74,7 +83,11 @@ def sweep(spark: SparkSession, grid: dict[str, list] = GRID) -> DataFrame:
 
 def sweep_sql(grid: dict[str, list] = GRID) -> str:
     lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
-    return "sweep AS (SELECT * FROM " + ", ".join(f"(SELECT unnest([{', '.join(map(lit, v))}]) AS {k})" for k, v in grid.items()) + ")"
+    size, places = 1, []
+    for k, v in grid.items():
+        places.append(f"(list_position([{', '.join(map(lit, v))}], {k}) - 1) * {size}")
+        size *= len(v)
+    return f"sweep AS (SELECT *, {' + '.join(places)} AS record FROM " + ", ".join(f"(SELECT unnest([{', '.join(map(lit, v))}]) AS {k})" for k, v in grid.items()) + ")"
 
 
 #: A small body of knowledge of our own; ids and triggers as the screening's documentation describes them.
@@ -108,6 +121,8 @@ def condition_sql(c: tuple) -> str:
         return f"{name} IN ({', '.join(map(lit, v))})"
     if op in ("isnull", "notnull"):
         return f"{name} IS {'NOT ' if op == 'notnull' else ''}NULL"
+    if op == "between":
+        return f"{name} BETWEEN {lit(v[0])} AND {lit(v[1])}"
     return f"{name} {({'eq': '=', 'ne': '<>', 'lt': '<', 'lte': '<=', 'gt': '>', 'gte': '>='})[op]} {lit(v)}"
 
 
@@ -120,3 +135,34 @@ def classes_sql(source: str) -> str:
     return f"""SELECT *, GREATEST(0, distPresent - distHistoric) AS retreatM,
   CASE WHEN handM = 0 THEN 'AT_DRAINAGE_LEVEL' WHEN handM <= 1 THEN 'DEEP_IN_A_WATER_PATH' WHEN handM <= 2 THEN 'LOW_GROUND' WHEN handM <= 5 THEN 'MARGINAL' ELSE 'ELEVATED' END AS handClass,
   CASE WHEN distDrain = 0 THEN 'ON_FLOW_PATH' WHEN distDrain <= 10 THEN 'ADJACENT' WHEN distDrain <= 70 THEN 'NEAR' WHEN distDrain >= 255 THEN 'UNRESOLVED' ELSE 'OFF' END AS flowClass FROM {source}"""
+
+
+def corpus_files() -> list[tuple[str, str]]:
+    """(text, path) of the body of knowledge that comes with the package."""
+    root = Path(__file__).parent / "corpus"
+    return [(p.read_text(encoding="utf-8"), f"corpus/{p.relative_to(root)}") for p in sorted(root.rglob("*.md"))]
+
+
+#: Files that have something wrong with them, each in its own way.
+DAMAGED_FILES = [
+    ("id: rule.twice\ntitle: One\ntitle: Two\nkind: rule\nauthority: editorial\nasserts: {\"lakeM_state\": {\"v\": 31}}\n---\nA buffer of 31 metres, or is it 32?\n", "corpus/rule/twice.md"),
+    ("id: rule.unread\ntitle: T\nkind: rule\nauthority: hearsay\nasserts: {broken\nalways: maybe\nno colon here\n---\nBody.\n", "corpus/rule/unread.md"),
+    ("id: limit.fields\ntitle: T\nkind: limit\nauthority: statute\nwhen: [[\"weather\", \"eq\", \"wet\"]]\n---\nBody.\n", "corpus/limit/fields.md"),
+    ("id: limit.trigger\ntitle: T\nkind: limit\nauthority: editorial\nwhen: [[\"handM\", \"like\", 1]]\n---\nBody.\n", "corpus/limit/trigger.md"),
+    ("id: error.exact\ntitle: T\nkind: error\nauthority: repo-derived\nrepo_ref: a.py#L9\nasserts: {\"depthM\": {\"v\": 1.2345, \"pm\": 1}}\n---\n" + "word " * 121 + "\n", "corpus/error/exact.md"),
+]
+
+
+def corpus_table(spark: SparkSession, files: list[tuple[str, str]] | None = None) -> DataFrame:
+    return corpus.parse_chunks(spark.createDataFrame(corpus_files() if files is None else files, "value string, file string"))
+
+
+def corpus_sql(files: list[tuple[str, str]] | None = None) -> str:
+    """The same files as rows (text, file, head, body), with a value by key as a macro would give it."""
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    rows = ", ".join(f"({text(v)}, {text(f)})" for v, f in (corpus_files() if files is None else files))
+    return f"""raw(value, file) AS (VALUES {rows}), halves AS (SELECT file, split_part(value, chr(10) || '---' || chr(10), 1) AS head, trim(split_part(value, chr(10) || '---' || chr(10), 2), ' ' || chr(10)) AS body FROM raw)"""
+
+
+def key_sql(name: str) -> str:
+    return f"regexp_extract(head, '(?m)^{name}: *(.*)$', 1)"

@@ -90,7 +90,7 @@ def pack_rules(spark, d):
 
 @query(f"WITH {fx.PIXEL_SQL} SELECT y, x, CAST(floor(LEAST(upa - (SELECT min(upa) FROM pxb), 255) + 0.5) AS SMALLINT) AS above_min FROM pxb")
 def relief(spark, d):
-    return raster.above_minimum(raster.select_bands(fx.pixels(spark), "up.*"), "upa").select("y", "x", "above_min")
+    return raster.above_minimum(raster.select_bands(fx.pixels(spark, d), "up.*"), "upa").select("y", "x", "above_min")
 
 
 @query(
@@ -98,7 +98,7 @@ def relief(spark, d):
 SELECT trace_id, rank, ix, iy, upa FROM r WHERE rank <= 3"""
 )
 def receiving_ground(spark, d):
-    return flow.receiving(_traced(spark), fx.cells(spark).select("ix", "iy", F.col("upa_code").cast("double").alias("upa")))
+    return flow.receiving(_traced(spark, d), fx.cells(spark, d).select("ix", "iy", F.col("upa_code").cast("double").alias("upa")))
 
 
 @query("SELECT range AS lat, round(1e-4::DOUBLE * 111.320::DOUBLE * 1e-4::DOUBLE * 110.574::DOUBLE * 100 * cos(radians(range)), 12) * 1e6 AS square_cm FROM range(90)")
