@@ -35,6 +35,48 @@ def test_trigger_forms():
     assert triggers.unknown_fields([triggers.Chunk("rule.x", [[("nothing", "eq", 1)]])], ["something"]) == [("rule.x", "nothing")]
 
 
+VALUES = {"n": 3, "d": 2.0, "s": "b", "b": True, "l": ["x", "y"], "i": [1, 2], "z": None}
+OPERANDS = [3, 2.0, "b", "3", True, False, [3, "b"], ["x", "y"], [1, 2], ["x"], [1, 4], ["a", "c"], [True], None, "x", 1]
+
+
+def plainly(x, op, v):
+    """What an operator is, value by value; an order of unlike types is false."""
+    if op == "isnull":
+        return x is None
+    if x is None:
+        return False
+    if op == "notnull":
+        return True
+    if op == "in":
+        return v in x if isinstance(x, list) else isinstance(v, list) and x in v
+    if op in ("eq", "ne"):
+        return (x == v) == (op == "eq")
+    try:
+        if op == "between":
+            return isinstance(v, list) and len(v) == 2 and v[0] <= x <= v[1]
+        return {"lt": x < v, "lte": x <= v, "gt": x > v, "gte": x >= v}[op]
+    except TypeError:
+        return False
+
+
+def test_every_operator_on_every_type(spark):
+    """No pair of types throws, and each gives what plain comparisons give; lists have no order here."""
+    rows = spark.createDataFrame([VALUES], "n int, d double, s string, b boolean, l array<string>, i array<int>, z string")
+    tried = [(f, op, v) for f in VALUES for op in sorted(triggers.OPERATORS) for v in OPERANDS if not (isinstance(VALUES[f], list) and op in ("lt", "lte", "gt", "gte", "between")) and not (op in triggers.ORDERED and isinstance(v, list))]
+    got = rows.select(F.array(*(triggers.condition(c, rows.schema) for c in tried))).first()[0]
+    wrong = [(c, g) for c, g in zip(tried, got, strict=True) if g != plainly(VALUES[c[0]], c[1], c[2])]
+    assert not wrong and len(tried) > 700
+
+
+def test_first_problems(spark):
+    chunks = [triggers.Chunk("rule.a", always=True), triggers.Chunk("limit.a", [[("n", "gt", 2)]]), triggers.Chunk("method.a", always=True), triggers.Chunk("refusal.not-a-flood-predictor", [[("n", "eq", 9)]])]
+    rows = spark.range(10).selectExpr("id AS n", "CASE WHEN id > 7 THEN 'flood' ELSE 'evidence' END AS intent")
+    assert [tuple(r) for r in triggers.problems(rows, chunks, "n").collect()] == [(0, "too few"), (1, "too few"), (2, "too few"), (8, "no refusal")]
+    assert triggers.problems(rows, chunks, "n", most=2).count() == 2
+    fields = spark.createDataFrame([("n",)], "field string")
+    assert triggers.field_faults(spark, [*chunks, triggers.Chunk("rule.b", [[("m", "isnull", None)]])], fields).collect() == [("rule.b", "m")]
+
+
 def test_sweep_has_no_hole(spark):
     got = triggers.coverage(screening.with_classes(fx.sweep(spark)), fx.CHUNKS).first()
     assert got["records"] == math.prod(map(len, fx.GRID.values()))
@@ -60,6 +102,97 @@ def test_distance_field_equals_brute_force(spark):
         assert metres == math.floor(min(true, 255) + 0.5)
 
 
+def test_distances_over_gaps_and_several_areas(spark):
+    """Rows with missing pixels, negative places, areas side by side."""
+    rng = random.Random(6)
+    px = [(k, y, x, rng.random() < 0.02) for k in ("a", "b") for y in range(-20, 20) for x in range(-30, 30) if rng.random() < 0.6]
+    got = raster.distance_field(spark.createDataFrame(px, "area string, y int, x int, m boolean"), "m", keys=("area",)).collect()
+    assert len(got) == len(px)
+    on = {k: [(y, x) for a, y, x, m in px if a == k and m] for k in ("a", "b")}
+    columns = {k: {x for a, _, x, _ in px if a == k} for k in on}
+    rows = {(k, y): {x for a, b, x, _ in px if a == k and b == y} for k, y in {(a, y) for a, y, _, _ in px}}
+    for k, y, x, metres in got:
+        # a set pixel is seen if its column has a pixel in this row
+        true = min((math.hypot(y - a, x - b) for a, b in on[k] if b in rows[k, y]), default=99) * 10
+        assert metres == math.floor(min(true, 255) + 0.5) and x in columns[k]
+
+
+def test_clipping_after_and_unmasking_before(spark):
+    px = spark.range(60).selectExpr("0 AS y", "CAST(id AS INT) AS x", "id = 0 AS m")
+    field = raster.distance_field(px, "m")
+    assert raster.clip(field, 0, 5, 1, 7).orderBy("x").select("metres").collect() == [(50,), (60,)]
+    holed = spark.createDataFrame([(0, 0, None), (0, 1, 7)], "y int, x int, metres int")
+    assert raster.unmask(holed, {"metres": 255}).select("metres").collect() == [(255,), (7,)]
+    assert raster.self_mask(spark.createDataFrame([(0,), (3,)], "v int"), ["v"]).collect() == [(None,), (3,)]
+
+
+def test_nothing_is_rescaled_on_export(spark):
+    px = spark.createDataFrame([(0, 0.5, 300, None), (255, 1.0, -1, 4)], "a int, b double, c int, d int")
+    got = {r["band"]: r for r in raster.export_contract(px, ["a", "b", "c", "d"]).collect()}
+    assert [got[b]["ok"] for b in "abcd"] == [True, False, False, False]
+    assert (got["b"]["fractions"], got["d"]["holes"], got["c"]["most"]) == (1, 1, 300.0)
+
+
+def test_layers_of_another_size_are_told(spark):
+    rows = [("a", 1, 2), ("b", 1, 2), ("c", 2, 2)]
+    layers = spark.createDataFrame(rows, "layer string, y int, x int")
+    assert {r["layer"]: r["same"] for r in raster.dimensions(layers).collect()} == {"a": True, "b": True, "c": False}
+    assert not quality.size_report(layers).first()["ok"] and quality.size_report(layers.where("layer <> 'c'")).first()["ok"]
+    joined = raster.overlay(spark.createDataFrame([(0, 0, 1)], "y int, x int, a int"), spark.createDataFrame([(0, 0, 2), (0, 1, 3)], "y int, x int, b int"))
+    assert sorted(map(tuple, joined.collect()), key=str) == [(0, 0, 1, 2), (0, 1, None, 3)]
+
+
+def test_names_however_far(spark):
+    sites = spark.createDataFrame([(1, 0.0, 0.0), (2, 900.0, 900.0), (3, -5000.0, 40.0)], "site_id long, x double, y double")
+    places = spark.createDataFrame([("lake", "water", 0.1, 0.0), ("hamlet", "settlement", 0.5, 0.0), ("road", "road", 880.0, 900.0)], "name string, kind string, px double, py double")
+    got = {r["site_id"]: (r["name"], round(r["distance"], 1)) for r in spatial.nearest_name_anywhere(sites, places).collect()}
+    assert got == {1: ("hamlet", 0.5), 2: ("road", 20.0), 3: ("hamlet", 5000.7)}
+    assert [r["name"] for r in spatial.nearest_name_anywhere(sites, places.where("kind = 'water'")).collect()] == [None] * 3
+
+
+def test_many_terms_meet_the_postings(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["b", "c"]), (3, ["d"])], "id long, toks array<string>")
+    asked = spark.createDataFrame([("q", "a"), ("q", "b"), ("r", "c"), ("r", "none")], "query string, term string")
+    few = {(r["query"], r["id"]): r["score"] for r in retrieval.bm25(docs, asked, "id", "toks").collect()}
+    monkeypatch.setattr(retrieval, "MOST_TERMS", 1)
+    many = {(r["query"], r["id"]): r["score"] for r in retrieval.bm25(docs, asked, "id", "toks").collect()}
+    assert few.keys() == many.keys() == {("q", 1), ("q", 2), ("r", 2)} and all(few[k] == pytest.approx(many[k]) for k in few)
+
+
+def test_decimals_of_six_figures(spark):
+    for v in (1234.5678, 123456.7, 0.1, 20.0, 0.00012345, 0.0000125, 1e7, 1234567.8, 0.0, -2.5, 99999.96, 1e-120, 3e5):
+        shown = f"{v:g}"
+        assert spark.range(1).select(quality.decimals(F.lit(v))).first()[0] == (len(shown.split(".")[1]) if "." in shown else 0), (v, shown)
+
+
+def test_numbers_are_declared_by_the_chunk_itself(spark):
+    spec = "map<string, struct<v: double, pm: double, rel: double>>"
+    rows = [("a", "T 5", "of 30 and 7.50 in 1999", {"x": (30.0, None, None)}, "book 7.5", "", ""), ("b", "T", "30 of 12.3.4", {}, "", "http://x/12", "f.md#L4")]
+    chunks = spark.createDataFrame(rows, f"id string, title string, body string, asserts {spec}, source string, url string, repo_ref string")
+    assert sorted(map(tuple, quality.undeclared_by_chunk(chunks).collect())) == [("a", "5"), ("b", "12.3.4"), ("b", "30")]
+
+
+def test_scraped_regions(spark):
+    files = spark.createDataFrame([("f", "x = ['no']\n# begin\n'one', 'two'\n# end\n'three'"), ("g", "nothing")], "path string, text string")
+    assert [tuple(r) for r in quality.scraped(files, "text", "# begin", "# end", r"'(\w+)'").collect()] == [("f", "one"), ("f", "two")]
+
+
+def test_spread_and_moments(spark):
+    seeds = spark.createDataFrame([(0, 0.2, None), (1, 0.6, 0.5), (2, 0.4, 0.7)], "seed int, a double, b double")
+    got = {r["figure"]: tuple(r)[1:] for r in stats.spread(seeds, ["a", "b"]).collect()}
+    assert got == {"a": (0.2, 0.6, 0.4, 3), "b": (0.5, 0.7, 0.6, 2)}
+    row = stats.moments(spark.createDataFrame([(1.0,), (2.0,), (6.0,)], "v double"), "v").first()
+    assert (row["median"], row["mean"], row["n"]) == (2.0, 3.0, 3) and row["sd"] == pytest.approx(math.sqrt(14 / 3))
+
+
+def test_route_agreement_counts_every_pass(spark):
+    traced = spark.createDataFrame([(0, 1, 1), (0, 1, 1), (0, 2, 1), (1, 2, 1)], "seed int, ix long, iy long")
+    cells = spark.createDataFrame([(1, 1, 0, True), (2, 1, 0, False)], "ix long, iy long, block int, on_flow boolean")
+    blocks = flow.agreement(traced, cells)
+    assert {(r["seed"], r["block"]): (r["cells"], r["hits"]) for r in blocks.collect()} == {(0, 0): (3, 2), (1, 0): (1, 0)}
+    assert [tuple(r) for r in flow.agreement_summary(blocks, least_cells=2).collect()] == [(0, 1, 3, 2 / 3, 2 / 3, 2 / 3)]
+
+
 def test_empty_mask_is_at_the_ceiling(spark):
     px = spark.range(6).selectExpr("CAST(id AS INT) AS y", "0 AS x", "false AS m")
     assert {r["metres"] for r in raster.distance_field(px, "m").collect()} == {255}

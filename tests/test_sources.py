@@ -57,6 +57,59 @@ def test_chunks_are_parsed_and_errors_collected(spark, tmp_path):
     assert (row["key"], row["v"], row["unit"]) == ("lakeM", 30.0, "m")
 
 
+def test_bad_files_hide_no_others(spark):
+    files = [
+        ("id: rule.a\ntitle: one\ntitle: two\nkind: rule\ntags: [\"a, b\", \"c\"]\nasserts: {\"k\": {\"u\": \"m\"}}\n---\nB\n", "x/rule/a.md"),
+        ("id: rule.b\nkind: rule\ntags: {broken\nasserts: [1\nalways: yes\nwhen: [[\nwhat is this\n---\nB", "x/rule/b.md"),
+        ("id: rule.c\nkind: rule\nwhen: [\"n\", \"gt\", 1]\n---\nB", "x/rule/c.md"),
+        ("id: rule.d\nkind: rule\nwhen: [[\"n\", \"gt\"]]\n---\nB", "x/rule/d.md"),
+        ("no front matter", "x/rule/e.md"),
+    ]
+    rows = corpus.parse_chunks(spark.createDataFrame(files, "value string, file string"))
+    got = {r["file"][-4]: r for r in rows.collect()}
+    assert (got["a"]["title"], got["a"]["tags"], got["a"]["errors"]) == ("two", ["a, b", "c"], ["asserts without a number: k"])
+    assert got["b"]["errors"] == ["no key and value: what is this", "tags is no list", "asserts is no JSON", "when is no JSON", "always is neither true nor false"]
+    assert got["e"]["errors"][0] == "no body"
+    chunks, faults = corpus.compiled(rows)
+    assert [(c.id, c.when) for c in chunks] == [("rule.c", [[("n", "gt", 1)]])] and [f for f, _ in faults] == ["x/rule/d.md"]
+
+
+def test_the_knowledge_that_comes_along_is_sound(spark):
+    from tarnwright.plans import checks
+    from tarnwright.operators import quality
+
+    chunks = fx.corpus_table(spark)
+    assert quality.corpus_report(chunks, checks._sites(spark, DATA).columns, checks._inventory(spark)).count() == 0
+    assert {c.kind for c in checks.AUTHORED} == set(quality.KINDS)
+
+
+@pytest.mark.parametrize(("master", "fine"), [("local", True), ("local[4]", True), ("local[*]", True), ("local[2, 3]", True), ("spark://somewhere:7077", False), ("local-cluster[2,1,1024]", False), ("yarn", False)])
+def test_a_cluster_needs_a_shared_folder(master, fine):
+    from types import SimpleNamespace
+
+    kept = {}
+    session = SimpleNamespace(conf=SimpleNamespace(get=kept.get, set=kept.__setitem__), sparkContext=SimpleNamespace(master=master))
+    if fine:
+        assert tables.shared_folder(session) == kept["spark.checkpoint.dir"]
+    else:
+        with pytest.raises(ValueError):
+            tables.shared_folder(session)
+    kept["spark.checkpoint.dir"] = "file:///somewhere/"
+    assert tables.shared_folder(session) == "file:///somewhere"
+
+
+def test_entry_without_what_the_operators_need(tmp_path):
+    """A missing third-party module takes the training-data operators with it, and nothing else."""
+    import subprocess
+    import sys
+
+    from .conftest import ROOT
+
+    code = "import sys; sys.path.insert(0, sys.argv[1]); sys.modules['regex'] = None; import __spark_entry__ as e; q = e.queries(); assert 'bm25_topk' in q and not any(n.startswith('op1_') for n in q); e.oracle_sql()"
+    done = subprocess.run([sys.executable, "-c", code, str(ROOT)], cwd=tmp_path, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
+
+
 def test_manifest_lines(spark, tmp_path):
     (tmp_path / "m.txt").write_text("PNG water: https://example.org/a\n# note without link\nGEOJSON homes: https://example.org/b tail\nhttps://example.org/c\n")
     got = [tuple(r) for r in manifest.read_manifest(spark, str(tmp_path / "m.txt")).collect()]
