@@ -30,13 +30,18 @@ def edges(cells: DataFrame) -> DataFrame:
     return cells.where(F.col("d8").between(1, 8)).select("ix", "iy", (F.col("ix") + target(F.col("d8"), 0)).cast("bigint").alias("tx"), (F.col("iy") + target(F.col("d8"), 1)).cast("bigint").alias("ty"))
 
 
+def _twice(jump: DataFrame) -> DataFrame:
+    """A table of jumps (ix, iy, tx, ty) joined with itself: twice as many steps at once."""
+    far = jump.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("tx").alias("fx"), F.col("ty").alias("fy"))
+    return jump.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty"))
+
+
 def _jumps(step: DataFrame, rounds: int) -> Iterator[DataFrame]:
-    """Tables of 1, 2, 4, ... steps at once (ix, iy, tx, ty): each is the last one joined with itself."""
+    """Tables of 1, 4, 16, ... steps at once; each is written, so that plans do not grow."""
     one = kept(step, "jumps")
     yield one
     for _ in range(rounds - 1):
-        far = one.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("tx").alias("fx"), F.col("ty").alias("fy"))
-        one = kept(one.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty")), "jumps")
+        one = kept(_twice(_twice(one)), "jumps")
         yield one
 
 
@@ -53,23 +58,28 @@ def trace(cells: DataFrame, starts: DataFrame, most: int = MOST_STEPS, stop_at_t
     9, 10 and other ones as `mouth`, `depression`, `nodata`; after `most` cells as `capped`; with stop_at_trunk (km2,
     column upa) at a trunk channel as `trunk`. Starts outside the study area have no row.
 
-    All routes advance together: the cells at the steps from 2 ** k on are those before, moved by a jump of 2 ** k
-    steps. So a few joins give whole routes of any length up to `most`, a row is made for each cell of a route and no
-    more, and following stops when no route goes on.
+    All routes advance together: the cells at the steps from n to 2 n - 1 are those before, moved by a jump of n steps.
+    So a few joins give whole routes of any length up to `most`, a row is made for each cell of a route and no more, and
+    following stops when no route goes on.
     """
     flowing = cells if stop_at_trunk is None else cells.where(~(F.coalesce("upa", F.lit(0.0)) > stop_at_trunk))
     step = edges(flowing.where("inside")).join(cells.where("inside").select(F.col("ix").alias("tx"), F.col("iy").alias("ty")), ["tx", "ty"], "left_semi").select("ix", "iy", "tx", "ty")
-    rounds = max(1, (most - 1).bit_length())
     at = starts.select("trace_id", F.col("ix").cast("bigint").alias("ix"), F.col("iy").cast("bigint").alias("iy"))
     at = at.join(cells.where("inside").select("ix", "iy"), ["ix", "iy"], "left_semi")
-    parts = [kept(at.select("trace_id", F.lit(0).alias("step"), "ix", "iy"), "route")]
-    for k, jump in enumerate(_jumps(step, rounds)):
+    parts, n = [kept(at.select("trace_id", F.lit(0).alias("step"), "ix", "iy"), "route")], 1
+
+    def moved(rows: DataFrame, jump: DataFrame, steps: int) -> DataFrame:
+        far = rows.join(jump, ["ix", "iy"]).select("trace_id", (F.col("step") + F.lit(steps)).alias("step"), F.col("tx").alias("ix"), F.col("ty").alias("iy"))
+        return far.where(F.col("step") < most)
+
+    for jump in _jumps(step, -(-max(1, (most - 1).bit_length()) // 2)):
         before = reduce(DataFrame.unionByName, parts)
-        moved = before.join(jump, ["ix", "iy"]).select("trace_id", (F.col("step") + F.lit(1 << k)).alias("step"), F.col("tx").alias("ix"), F.col("ty").alias("iy"))
-        moved = kept(moved.where(F.col("step") < most), "route")
-        if moved.isEmpty():
+        next_ones = moved(before, jump, n)
+        part = kept(next_ones.unionByName(moved(before.unionByName(next_ones), _twice(jump), 2 * n)), "route")
+        if part.isEmpty():
             break
-        parts.append(moved)
+        parts.append(part)
+        n *= 4
     at = reduce(DataFrame.unionByName, parts)
     first = F.min("step").over(Window.partitionBy("trace_id", "ix", "iy"))
     at = at.withColumn("again", F.when(F.col("step") > first, F.col("step")))
@@ -88,8 +98,8 @@ def endings(traced: DataFrame) -> DataFrame:
     return ends.groupBy("how").agg(F.count("*").alias("routes"), F.sum(F.col("step") + 1).alias("cells"))
 
 
-def terminals(cells: DataFrame, rounds: int = 8) -> DataFrame:
-    """ix, iy, tx, ty: where each cell's flow is after 2 ** rounds steps; it stays where it ends."""
+def terminals(cells: DataFrame, rounds: int = 4) -> DataFrame:
+    """ix, iy, tx, ty: where each cell's flow is after 4 ** rounds steps; it stays where it ends."""
     inside = cells.where("inside").select("ix", "iy")
     at = inside.join(_steps(cells), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("tx", "ix").alias("tx"), F.coalesce("ty", "iy").alias("ty"))
     return list(_jumps(at, rounds + 1))[-1]
