@@ -15,7 +15,7 @@ counts again.
 In a bucket every member is compared with the smallest one only (a star). Members of a bucket that are in different
 components after that are the rest: their sketches are compared block by block within a task, and each one's
 likeliest partners are confirmed. What may still be linked then (same bucket, different components, sketches alike
-or too few shingles for sketches to tell) hangs together in families, found by spanning forests; full sets of a
+or too few shingles for sketches to tell) hangs together in families, found by stars again; full sets of a
 family are compared block by block within tasks, which give links only. Sketches are alike if half of their bins
 agree: of pairs at 75 % three quarters do, give or take 0.03, more in sets of few shingles, and those of up to
 SMALL shingles are compared whatever their sketches say. No group's pairs are ever listed.
@@ -262,20 +262,25 @@ def _likeliest(node: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
 
 
 def _forest(node: np.ndarray, near: Callable) -> Iterator[tuple[int, int]]:
-    """A spanning forest of the graph of pairs that may reach the threshold: fewer edges than members."""
+    """What hangs together in the graph of pairs that may reach the threshold, as stars around each tree's smallest member.
+
+    Fewer edges than members; and as the same members meet in many buckets, mostly the same edges there.
+    """
     fresh = np.ones(len(node), bool)
     for start in range(len(node)):
         if not fresh[start]:
             continue
-        fresh[start], todo = False, [start]
+        fresh[start], todo, tree = False, [start], [start]
         while todo:
-            i = todo.pop()
-            reached = near(i)
+            reached = near(todo.pop())
             reached = reached[fresh[reached]]
             fresh[reached] = False
             todo += reached.tolist()
-            for j in reached.tolist():
-                yield int(min(node[i], node[j])), int(max(node[i], node[j]))
+            tree += reached.tolist()
+        centre = int(node[tree].min())
+        for j in tree:
+            if node[j] != centre:
+                yield centre, int(node[j])
 
 
 def _within_families(docs: DataFrame, families: DataFrame, found: DataFrame) -> DataFrame:
