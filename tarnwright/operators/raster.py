@@ -31,6 +31,12 @@ def median_composite(images: DataFrame, bands: list[str], keys: tuple[str, ...]
     return images.groupBy(*keys).agg(*(F.median(b).alias(b) for b in bands))
 
 
+def timeline(images: DataFrame, band: str, epochs: dict[str, tuple[str, str]], keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
+    """The median composite of each epoch (name: from, up to) side by side; null where an epoch has no image. One pass."""
+    each = (F.median(F.when(between_dates(F.col("ts"), low, high), F.col(band))).alias(name) for name, (low, high) in epochs.items())
+    return images.groupBy(*keys).agg(*each)
+
+
 def mode_composite(images: DataFrame, band: str, keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Most frequent class; the smallest on a tie. Two partial aggregations, no window."""
     counts = images.where(F.col(band).isNotNull()).groupBy(*keys, band).count()

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarnwright.functions.text import tokenize
-from tarnwright.sources.tables import numbered
+from tarnwright.sources.tables import kept, numbered
 
 #: Saturation and length normalisation of BM25, share of the trigger channel, chunks of a pack.
 K1, B, TRIGGER_SHARE, PACK_CHUNKS = 1.2, 0.75, 0.65, 12
@@ -41,16 +41,18 @@ def bm25(docs: DataFrame, queries: DataFrame, key: str, tokens: str) -> DataFram
     """query, key, score of all documents that hold a term of a query (query, term).
 
     Up to MOST_TERMS terms are sent to the documents and counted within the row, so that no token is a row of its own
-    and only matching rows are shuffled. More terms meet the postings by a join. Lengths and their sum are one narrow pass.
+    and only matching rows are shuffled; texts are tokenised once. More terms meet the postings by a join.
     """
     terms = queries.select("query", "term").distinct()
-    whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
     wanted = [r["term"] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()]
     if len(wanted) > MOST_TERMS:
+        whole = docs.agg(F.count("*").alias("n"), F.avg(F.size(tokens)).alias("avgdl"))
         found = postings(docs, key, tokens).join(terms.select("term").distinct(), "term", "left_semi")
         tf = found.join(docs.select(key, F.size(tokens).alias("dl")), key)
     else:
-        rows = docs.select(key, F.size(tokens).alias("dl"), F.filter(tokens, lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("met"))
+        # read once: what is kept of a document is its length and the terms that were met
+        rows = kept(docs.select(key, F.size(tokens).alias("dl"), F.filter(tokens, lambda t: t.isin(*wanted) if wanted else F.lit(False)).alias("met")), "met")
+        whole = rows.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
         tf = rows.where(F.size("met") > 0).select(key, "dl", F.explode(F.array_distinct("met")).alias("term"), "met")
         tf = tf.select(key, "dl", "term", F.size(F.filter("met", lambda t: t == F.col("term"))).alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))

@@ -374,6 +374,45 @@ def error_budget(spark, d):
     return spark.range(1).select(F.round(F.lit(classes.error_budget()), 6).alias("metres"))
 
 
+ASKED = """CASE conv_id % 7 WHEN 0 THEN '{"pack":{},"contract":1,"tool":"t"}' WHEN 1 THEN '{"pack":{},"tool":"t"}' WHEN 2 THEN 'not json' WHEN 3 THEN '' WHEN 4 THEN '{"contract":1,"tool":null}' WHEN 5 THEN '{"pack":null,"contract":1,"tool":2}' ELSE {} END"""
+
+
+@query(
+    """SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 404 WHEN conv_id % 5 = 0 THEN 503 WHEN conv_id % 7 IN (0, 5) THEN 200 ELSE 400 END AS status, CASE WHEN turn % 3 = 1 THEN 'no such path' WHEN conv_id % 5 = 0 THEN 'no model is configured'
+ELSE CASE conv_id % 7 WHEN 1 THEN 'missing contract' WHEN 2 THEN 'unreadable request' WHEN 3 THEN 'bad request size' WHEN 4 THEN 'missing pack' WHEN 6 THEN 'bad request size' END END AS reason FROM conversations"""
+)
+def request_status(spark, d):
+    body = F.expr(ASKED.replace("ELSE {} END", "ELSE concat('\"', repeat('x', 1048576), '\"') END"))
+    rows = read(spark, d, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 3 == 1, "/other").otherwise("/ask").alias("path"), body.alias("body"), (F.col("conv_id") % 5 != 0).alias("configured"))
+    return answers.request_status(rows).select("conv_id", "turn", "status", "reason")
+
+
+#: Replies of every shape, and what is to be read from each.
+REPLIES = [
+    ('{"choices":[]}', None, "no choices"), ('{"choices":[{"message":{"content":"{\\"a\\":1}"},"finish_reason":"stop"}]}', '{"a":1}', None), ('{"choices":[{"message":{"content":"{\\"a\\":"},"finish_reason":"length"}]}', None, "the reply was cut off"),
+    ('{"choices":[{"message":{"content":"so so"},"finish_reason":"stop"}]}', None, "the reply is no JSON"), ('{"choices":[{"message":{},"finish_reason":"length"}]}', None, "no content, ended by length"),
+    ('{"candidates":[],"promptFeedback":{"blockReason":"SAFETY"}}', None, "blocked: SAFETY"), ('{"candidates":[{"content":{"parts":[{"text":"{\\"b\\":2}"}]}}]}', '{"b":2}', None), ('{"candidates":[{"finishReason":"MAX_TOKENS"}]}', None, "no text, ended by MAX_TOKENS"),
+    ('{"content":[{"type":"text"},{"type":"tool_use","input":{"c":3}}]}', '{"c":3}', None), ('{"content":[{"type":"text"}],"stop_reason":"refusal"}', None, "no call, ended by refusal, with text"), ('{"content":[]}', None, "no call, ended by unknown, with nothing"),
+]
+ERRORS = [('{"error":{"message":"too long"}}', "too long"), ('{"error":{"status":"BUSY"}}', "BUSY"), ('{"error":"plain"}', "plain"), ("<html>\n  no </html>", "blocked before it reached the provider (<html> no </html>)"), ("  ", "no detail"), ('{"a":1}', '{"a":1}')]
+
+
+def _literal(v: str | None) -> str:
+    return "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+
+
+@query(f"WITH r(i, answer, reason) AS (VALUES {', '.join(f'({i}, {_literal(a)}, {_literal(w)})' for i, (_, a, w) in enumerate(REPLIES))}) SELECT conv_id, turn, answer, reason FROM conversations JOIN r ON i = (conv_id * 3 + turn) % {len(REPLIES)}")
+def reply_extraction(spark, d):
+    body = F.get(F.array(*(F.lit(b) for b, _, _ in REPLIES)), ((F.col("conv_id") * 3 + F.col("turn")) % len(REPLIES)).cast("int"))
+    return read(spark, d, "conversations").select("conv_id", "turn", answers.structured(body).alias("r")).select("conv_id", "turn", "r.*")
+
+
+@query(f"WITH r(i, message) AS (VALUES {', '.join(f'({i}, {_literal(m)})' for i, (_, m) in enumerate(ERRORS))}) SELECT conv_id, turn, message FROM conversations JOIN r ON i = (conv_id + turn) % {len(ERRORS)}")
+def provider_errors(spark, d):
+    detail = F.get(F.array(*(F.lit(b) for b, _ in ERRORS)), ((F.col("conv_id") + F.col("turn")) % len(ERRORS)).cast("int"))
+    return read(spark, d, "conversations").select("conv_id", "turn", answers.provider_message(detail).alias("message"))
+
+
 # Sources and sinks
 
 GEOJSON = '{"type":"FeatureCollection","features":[{"type":"Feature"},{"type":"Feature"}]}'

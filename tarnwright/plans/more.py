@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnwright.functions import geometry
 from tarnwright.operators import flow, quality, raster, retrieval, spatial
 from tarnwright.plans import fixtures as fx
-from tarnwright.plans.catalogue import TOKENS, TRACE_SQL, _traced, query
+from tarnwright.plans.catalogue import TOKENS, TRACE_SQL, _traced, images, query
 from tarnwright.sources.tables import read
 
 
@@ -114,3 +114,14 @@ def ranked_list(spark, d):
     return spatial.ranked(rows, "score", "c_custkey", 25)
 
 
+
+
+EPOCHS = {"before": ("2024-01-01", "2024-01-16"), "after": ("2024-01-16", "2024-02-01")}
+
+
+@query(
+    "SELECT CAST(event_id % 37 AS INTEGER) AS y, CAST(user_id % 64 AS INTEGER) AS x, round(median(value) FILTER (ts < TIMESTAMP '2024-01-16'), 6) AS before, round(median(value) FILTER (ts >= TIMESTAMP '2024-01-16'), 6) AS after FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01' GROUP BY 1, 2"
+)
+def timeline(spark, d):
+    got = raster.timeline(images(spark, d), "value", EPOCHS)
+    return got.select("y", "x", F.round("before", 6).alias("before"), F.round("after", 6).alias("after"))

@@ -15,6 +15,14 @@ def write_features(rows: DataFrame, geometry: str, properties: list[str], path:
     features(rows, geometry, properties).write.text(path)
 
 
+def write_pixels(pixels: DataFrame, path: str, layer: str = "layer") -> None:
+    """A pixel table as Parquet, a folder a layer, lines together and in order, so that a reader of some lines reads little.
+
+    Bands are written as they are: nothing is stretched or rescaled.
+    """
+    pixels.repartitionByRange(layer, "y").sortWithinPartitions(layer, "y", "x").write.partitionBy(layer).parquet(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     rows.write.option("header", True).csv(path)
 

@@ -401,6 +401,12 @@ def test_composed_text_and_prompt(spark):
     assert "[rule.a] (unverified) body" in answers.prompt(packs).first()["prompt"]
 
 
+def test_the_provider_that_is_asked():
+    keys = {"one": "", "two": "k", "three": "k"}
+    assert answers.chosen_provider("three", keys) == "three" and answers.chosen_provider("", keys) == "two"
+    assert answers.chosen_provider("other", {"one": " "}) is None
+
+
 def test_answer_schemas():
     schema = {"type": "object", "$id": "x", "properties": {"cited": {"type": "array", "items": {"type": "string", "pattern": "p"}}}}
     tight = answers.tightened(answers.reduced(schema))

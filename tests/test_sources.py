@@ -124,6 +124,14 @@ def test_feature_lines(spark, tmp_path):
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
 
 
+def test_pixel_tables_are_written_as_they_are(spark, tmp_path):
+    px = fx.pixels(spark).selectExpr("CASE WHEN x < 32 THEN 'a' ELSE 'b' END AS layer", "y", "x", "occurrence AS r")
+    sinks.write_pixels(px, f"file://{tmp_path}/px")
+    back = spark.read.parquet(f"file://{tmp_path}/px")
+    assert sorted(map(tuple, back.select("layer", "y", "x", "r").collect())) == sorted(map(tuple, px.collect()))
+    assert {p.name for p in (tmp_path / "px").glob("layer=*")} == {"layer=a", "layer=b"}
+
+
 def test_a_bad_table_does_not_replace_a_good_one(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     assert tables.swap_in(spark.range(3), path)
