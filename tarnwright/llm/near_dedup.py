@@ -47,6 +47,8 @@ ASKED = 2
 LEAST_AGREEING, SMALL = BINS // 2, 32
 #: Spokes of a star, and members of a bucket's block, that one group of rows holds.
 SPOKES, BLOCK, FAMILY_BLOCK = 512, 1024, 256
+#: Edges of stars that one file has room for.
+EDGES_A_FILE = 500_000
 #: Up to so many rows of ids are broadcast to the documents; beyond, they are joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -198,15 +200,18 @@ def components(links: DataFrame) -> DataFrame:
     edges = materialise(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
+    told = lambda e: e.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("decimal(38,0)"))).first()
+    after = told(edges)
     while True:
-        before = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("decimal(38,0)"))).first()
+        before = after
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
-        after = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum((F.xxhash64("u", "v") % 1_000_003).cast("decimal(38,0)"))).first()
+        stars = small.unionByName(down.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        edges = materialise(stars.coalesce(max(1, -(-before[0] // EDGES_A_FILE))), "stars")  # edges get fewer, so files may
+        after = told(edges)
         if before == after:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
