@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,13 @@ def write_index(index: dict[str, DataFrame], folder: str) -> None:
     """The tables of an index, a folder each."""
     for name, table in index.items():
         table.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file in any file system that Spark knows; one that is there is replaced."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()

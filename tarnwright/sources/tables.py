@@ -32,12 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
 def kept(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again, so that later plans start there. It goes when the process ends."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder in the shared one, for files of any kind; it goes when the process ends."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     if not _written:
         atexit.register(_remove_all)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove_all() -> None:

@@ -2,7 +2,7 @@
 
 import pytest
 
-from tarnwright.plans import checks, more, places  # noqa: F401
+from tarnwright.plans import checks, files, more, places  # noqa: F401
 from tarnwright.plans.catalogue import ORACLES, QUERIES
 
 from .conftest import DATA
