@@ -18,7 +18,8 @@ read one by one: the steps only say where they stand, and all of them are applie
 by code, reads the same (tested) and is what the fast one is held against.
 
 Defined results: null and empty texts are stored as 64 zero bytes. Equal texts give equal values. Pictures without
-payload comment decode to tensors as well; their payload is null. Damaged streams raise ValueError.
+payload comment decode to tensors as well; their payload is null. Damaged streams raise ValueError. A worker holds some
+forty times the bytes of PART_BYTES, or of the longest text.
 """
 
 from __future__ import annotations
