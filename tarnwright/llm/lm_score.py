@@ -150,16 +150,24 @@ def part_of(key: np.ndarray, parts: int) -> np.ndarray:
     return ((key >> np.uint64(24)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def packed(key: np.ndarray) -> bytes:
-    """Ascending keys as gaps, byte by byte of all gaps: the upper bytes are all but empty, and compress so."""
-    gap = np.diff(key, prepend=np.uint64(0))
-    return np.ascontiguousarray(gap.view(np.uint8).reshape(-1, 8)[:, :7].T).tobytes()
+def _planes(values: np.ndarray, n: int) -> bytes:
+    """The n lower bytes of numbers, byte by byte of all: upper bytes that are all but empty compress so."""
+    return np.ascontiguousarray(values.astype(np.uint64).view(np.uint8).reshape(-1, 8)[:, :n].T).tobytes()
 
 
-def unpacked(data: bytes) -> np.ndarray:
-    gap = np.zeros((len(data) // 7, 8), np.uint8)
-    gap[:, :7] = np.frombuffer(data, np.uint8).reshape(7, -1).T
-    return np.cumsum(gap.view(np.uint64).ravel(), dtype=np.uint64)
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = np.frombuffer(data, np.uint8).reshape(n, -1).T
+    return out.view(np.uint64).ravel()
+
+
+def packed(key: np.ndarray, n: int = 7) -> bytes:
+    """Ascending keys of n bytes as gaps."""
+    return _planes(np.diff(key, prepend=np.uint64(0)), n)
+
+
+def unpacked(data: bytes, n: int = 7) -> np.ndarray:
+    return np.cumsum(_from_planes(data, n), dtype=np.uint64)
 
 
 def _runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -390,8 +398,8 @@ def scored_here(rows: DataFrame, found: Filter, segments: int, frequent: tuple[n
     return map_batches(rows, make, SCORED)
 
 
-def asking(rows: DataFrame, groups: int) -> DataFrame:
-    """block, group, keys: the n-grams that a block has of a group; and, with group = groups, docs: what the block is."""
+def blocked(rows: DataFrame) -> DataFrame:
+    """block, docs: documents that are tokenised together, as a vocabulary and the places in it."""
 
     def make():
         block = TaskContext.get().partitionId() << 32
@@ -402,26 +410,40 @@ def asking(rows: DataFrame, groups: int) -> DataFrame:
             for at, end in _blocks(raw):
                 part = batch.slice(at, end - at)
                 words, length = tokens(raw[at:end])
-                key = np.unique(np.concatenate(keys(words)))
-                first, many = _runs(part_of(key, groups))
                 vocabulary, places = np.unique(words, return_inverse=True)
-                what = (vocabulary, places.astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32), length, *(part.column(c).to_pylist() for c in ("row", "doc_id", "held_out")))
-                yield {
-                    "block": [block] * (len(first) + 1),
-                    "group": [*part_of(key[first], groups).tolist(), groups],
-                    "keys": [*(packed(key[a : a + m]) for a, m in zip(first.tolist(), many.tolist(), strict=True)), None],
-                    "docs": [*[None] * len(first), pickle.dumps(what)],
-                }
+                what = (packed(vocabulary, 8), _planes(places, 4), length, *(part.column(c).to_pylist() for c in ("row", "doc_id", "held_out")))
+                yield {"block": [block], "docs": [pickle.dumps(what)]}
                 block += 1
 
         return each
 
-    return map_batches(rows, make, "block bigint, group bigint, keys binary, docs binary")
+    return map_batches(rows, make, "block bigint, docs binary")
+
+
+def _of_block(docs: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, list]]:
+    """Words, lengths and the other columns of a block."""
+    vocabulary, places, length, *rest = pickle.loads(docs)
+    return unpacked(vocabulary, 8)[_from_planes(places, 4).astype(np.int64)], length, dict(zip(("row", "doc_id", "held_out"), rest, strict=True))
+
+
+def asking(stored: DataFrame, groups: int) -> DataFrame:
+    """block, group, keys: the n-grams that a block has of a group, once each."""
+
+    def make():
+        def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+            for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
+                key = np.unique(np.concatenate(keys(_of_block(docs.as_buffer())[0])))
+                first, many = _runs(part_of(key, groups))
+                yield {"block": [block] * len(first), "group": part_of(key[first], groups), "keys": [packed(key[a : a + m]) for a, m in zip(first.tolist(), many.tolist(), strict=True)]}
+
+        return each
+
+    return map_batches(stored, make, "block bigint, group bigint, keys binary")
 
 
 def scored_by_group(rows: DataFrame, filter_rows: DataFrame, groups: int, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> DataFrame:
     """The same scores with the filter where it was made: groups answer what blocks ask."""
-    asked = materialise(asking(rows, groups), "asked")
+    stored = materialise(blocked(rows), "blocks", "zstd")
     answer = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("levels", pa.binary()), ("docs", pa.binary())])
 
     def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -440,11 +462,12 @@ def scored_by_group(rows: DataFrame, filter_rows: DataFrame, groups: int, freque
                 yield _batch(answer, block=[r["block"]], group=[group], levels=[levels.tobytes()])
 
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    asks = asked.where("docs is null").select("block", "group", "keys", nothing("segment", "bigint"), nothing("lines", "bigint"), nothing("bits", "binary"))
+    asks = asking(stored, groups).select("block", "group", "keys", nothing("segment", "bigint"), nothing("lines", "bigint"), nothing("bits", "binary"))
     filters = filter_rows.select(F.lit(-1).cast("bigint").alias("block"), F.expr(f"segment div {SEGMENTS}").alias("group"), nothing("keys", "binary"), "segment", "lines", "bits")
     met = filters.unionByName(asks).repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group", "block")
     found = met.mapInArrow(answers, "block bigint, group bigint, levels binary, docs binary")
-    back = found.unionByName(asked.where("docs is not null").select("block", "group", nothing("levels", "binary"), "docs"))
+    # after all groups' answers comes what the block is
+    back = found.unionByName(stored.select("block", F.lit(groups).cast("bigint").alias("group"), nothing("levels", "binary"), "docs"))
     sent = rows.sparkSession.sparkContext.broadcast(frequent)
     out = pa.schema([pa.field(n, {"boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}.get(k, pa.int64())) for n, k in (f.split() for f in SCORED.split(", "))])
 
@@ -457,14 +480,14 @@ def scored_by_group(rows: DataFrame, filter_rows: DataFrame, groups: int, freque
                 if r["docs"] is None:
                     got.append(np.frombuffer(r["levels"], np.uint8))
                     continue
-                vocabulary, places, length, *rest = pickle.loads(r["docs"])
+                words, length, rest = _of_block(r["docs"])
                 every = np.concatenate(got)
 
                 def levels(one: np.ndarray, two: np.ndarray, every: np.ndarray = every) -> tuple[np.ndarray, np.ndarray]:
                     where = np.unique(np.concatenate([one, two]), return_inverse=True)[1]
                     return every[where[: len(one)]], every[where[len(one) :]]
 
-                columns = scorer.score(vocabulary[places], length, levels) | dict(zip(("row", "doc_id", "held_out"), rest, strict=True))
+                columns = scorer.score(words, length, levels) | rest
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in out], schema=out)
 
     return back.repartition(groups, "block").sortWithinPartitions("block", "group").mapInArrow(run, SCORED)
