@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import nearest, oracle_sql as ann_sql
 from .bpe import bpe_digests
+from .infill import infill_digests, oracle_sql as infill_sql
 from .lang_id import identify
 from .lm_score import score_documents
 from .media import media_digests
@@ -72,6 +73,10 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_langid": op2_langid,
@@ -83,9 +88,11 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_media": op9_media,
     "op10_lmscore": op10_lmscore,
+    "op12_infill": op12_infill,
 }
 
 ORACLES: dict[str, str] = {
     "op6_ann": ann_sql(),
     "op7_urlfilter": url_filter_sql(),
+    "op12_infill": infill_sql(),
 }
