@@ -17,6 +17,7 @@ from .near_dedup import near_duplicates
 from .pii import find_pii
 from .substring_dedup import repeated_passages
 from .url_filter import judge, oracle_sql as url_filter_sql
+from .whitening import whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -73,6 +74,10 @@ def op10_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening(table(spark, sf_dir, "embeddings"))
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(table(spark, sf_dir, "documents"))
 
@@ -88,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_minhash": op8_minhash,
     "op9_media": op9_media,
     "op10_lmscore": op10_lmscore,
+    "op11_whitening": op11_whitening,
     "op12_infill": op12_infill,
 }
 
