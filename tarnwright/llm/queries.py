@@ -15,6 +15,7 @@ from .media import media_digests
 from .mixing import mix, quality_domain
 from .near_dedup import near_duplicates
 from .pii import find_pii
+from .pivots import oracle_sql as pivots_sql, top_products
 from .substring_dedup import repeated_passages
 from .url_filter import judge, oracle_sql as url_filter_sql
 from .whitening import whitening
@@ -82,6 +83,10 @@ def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return infill_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mixing": op1_mixing,
     "op2_langid": op2_langid,
@@ -95,10 +100,12 @@ QUERIES: dict[str, Query] = {
     "op10_lmscore": op10_lmscore,
     "op11_whitening": op11_whitening,
     "op12_infill": op12_infill,
+    "op13_topk": op13_topk,
 }
 
 ORACLES: dict[str, str] = {
     "op6_ann": ann_sql(),
     "op7_urlfilter": url_filter_sql(),
     "op12_infill": infill_sql(),
+    "op13_topk": pivots_sql(),
 }
