@@ -98,11 +98,42 @@ def endings(traced: DataFrame) -> DataFrame:
     return ends.groupBy("how").agg(F.count("*").alias("routes"), F.sum(F.col("step") + 1).alias("cells"))
 
 
-def terminals(cells: DataFrame, rounds: int = 4) -> DataFrame:
-    """ix, iy, tx, ty: where each cell's flow is after 4 ** rounds steps; it stays where it ends."""
+def terminals(cells: DataFrame) -> DataFrame:
+    """ix, iy, tx, ty, looped: where each cell's flow ends, however long its route; it stays where it ends.
+
+    Flow that never ends goes round a cycle, which is named by its smallest cell (by iy, then ix); looped tells so.
+    Jumps are doubled while any cell has not arrived: if after n steps m cells have not, those that ever will have done
+    so after n + m, since the route of one that still flows passes only such cells. The rest lies on cycles or runs into
+    one. So the number of rounds is logarithmic in the longest route.
+    """
     inside = cells.where("inside").select("ix", "iy")
-    at = inside.join(_steps(cells), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("tx", "ix").alias("tx"), F.coalesce("ty", "iy").alias("ty"))
-    return list(_jumps(at, rounds + 1))[-1]
+    step = kept(inside.join(_steps(cells), ["ix", "iy"], "left").select("ix", "iy", F.coalesce("tx", "ix").alias("tx"), F.coalesce("ty", "iy").alias("ty")), "steps")
+    ends = step.where("ix = tx and iy = ty").select("tx", "ty")
+    jump, n, enough = step, 1, None
+    while True:
+        open_ = jump.join(ends, ["tx", "ty"], "left_anti")
+        left = open_.count()
+        if not left:
+            return jump.withColumn("looped", F.lit(False))
+        enough = n + left if enough is None else min(enough, n + left)
+        if n >= enough:
+            break
+        jump, n = kept(_twice(_twice(jump)), "jumps"), 4 * n
+    names = _cycle_names(step.join(open_.select(F.col("tx").alias("ix"), F.col("ty").alias("iy")).distinct(), ["ix", "iy"], "left_semi"))
+    looped = open_.join(names, ["tx", "ty"]).select("ix", "iy", F.col("name.ix").alias("tx"), F.col("name.iy").alias("ty"), F.lit(True).alias("looped"))
+    arrived = jump.join(ends, ["tx", "ty"], "left_semi").select("ix", "iy", "tx", "ty", F.lit(False).alias("looped"))
+    return arrived.unionByName(looped)
+
+
+def _cycle_names(ring: DataFrame) -> DataFrame:
+    """tx, ty, name: the smallest cell of the cycle of each cell, where all cells (ix, iy, tx, ty) lie on cycles."""
+    cell = lambda x, y: F.struct(F.col(y).alias("iy"), F.col(x).alias("ix"))
+    rows = kept(ring.withColumn("name", cell("ix", "iy")), "cycles")
+    size, n = rows.count(), 1
+    while n < size:
+        far = rows.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), F.col("tx").alias("fx"), F.col("ty").alias("fy"), F.col("name").alias("other"))
+        rows, n = kept(rows.join(far, ["tx", "ty"]).select("ix", "iy", F.col("fx").alias("tx"), F.col("fy").alias("ty"), F.least("name", "other").alias("name")), "cycles"), 2 * n
+    return rows.select(F.col("ix").alias("tx"), F.col("iy").alias("ty"), "name")
 
 
 def monotonicity(traced: DataFrame, value: str, tolerance: int = 1, least_cells: int = 3) -> DataFrame:

@@ -6,6 +6,8 @@ cross join, and all run for many areas at once if `keys` names their columns.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from pyspark.sql import functions as F
 HISTORIC, PRESENT, LOST = (1, 3, 4, 6, 7, 8), (1, 2, 4, 5, 7, 8), (3, 6)
 #: Land cover that still is water (open, flooded vegetation), and built land.
 GUARD, BUILT = (0, 3), 6
+#: Pixels along the side of a square that is one unit of work.
+TILE = 256
 
 
 def in_season(ts: Column, first: int = 10, last: int = 1) -> Column:
@@ -107,30 +111,46 @@ def mask_edge(mask: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 def distance_field(pixels: DataFrame, mask: str, metres: int = 10, ceiling: int = 255, keys: tuple[str, ...] = ()) -> DataFrame:
     """Metres from each pixel (y, x, mask; a row a pixel) to the nearest set one, saturated at the ceiling.
 
-    Exact and separable: the nearest set pixel of the column by two window passes, then the least of
-    dy * dy + dx * dx over the pixels before and after in the row. Farther columns cannot matter, as the result
-    saturates. Two shuffles of narrow rows; no row is ever multiplied.
+    Exact by coordinates, so pixels may be absent; a null mask is not set, and rows without a place are dropped. A pixel
+    goes to the square of TILE pixels that holds it, a set one also to the squares within reach; farther ones cannot
+    matter, as the result saturates. A square is the unit of work: distances within its columns first, then along its
+    lines the lower envelope of the parabolas that stand on them, over the offsets within reach. One shuffle; work grows
+    with the squares that hold pixels, whatever the picture's height.
     """
     reach = ceiling // metres + 1
-    bits = reach.bit_length()
-    column = Window.partitionBy(*keys, "x").orderBy("y")
-    set_y = F.when(F.col(mask), F.col("y"))
-    above = F.last(set_y, ignorenulls=True).over(column.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(set_y, ignorenulls=True).over(column.rowsBetween(0, Window.unboundedFollowing))
-    dy = F.least(F.col("y") - above, below - F.col("y"))
-    # place in the row and distance in the column as one number, so that one offset a neighbour gives both
-    near = F.shiftleft(F.col("x").cast("bigint"), bits) + F.when(dy <= reach, dy)
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    known = pixels.select(*keys, "y", "x", near.alias("_near"))
-
-    def square(p: Column) -> Column:
-        dx, down = F.col("x") - F.shiftright(p, bits), p.bitwiseAND(F.lit((1 << bits) - 1))
-        return dx * dx + down * down
-
-    beside = [F.lag("_near", k).over(row) for k in range(1, reach + 1)] + [F.lead("_near", k).over(row) for k in range(1, reach + 1)]
-    least = F.least(square(F.col("_near")), *map(square, beside))
-    found = known.select(*keys, "y", "x", least.alias("_sq"))
-    return found.select(*keys, "y", "x", F.coalesce(F.floor(F.least(F.sqrt("_sq") * metres, F.lit(float(ceiling))) + 0.5), F.lit(ceiling)).cast("int").alias("metres"))
+    tile = max(TILE, reach)
+
+    def squares(table: pa.Table) -> pa.Table:
+        far = 1 << 40
+        ty, tx = table["_ty"][0].as_py(), table["_tx"][0].as_py()
+        y = table["y"].to_numpy().astype(np.int64) - (ty * tile - reach)
+        x = table["x"].to_numpy().astype(np.int64) - (tx * tile - reach)
+        is_set = table["_set"].to_numpy()
+        side = tile + 2 * reach
+        grid = np.zeros((side, side), bool)
+        grid[y[is_set], x[is_set]] = True
+        line = np.arange(side)[:, None]
+        above = line - np.maximum.accumulate(np.where(grid, line, -far), axis=0)
+        below = np.minimum.accumulate(np.where(grid, line, far)[::-1], axis=0)[::-1] - line
+        down = np.minimum(above, below)[reach : reach + tile]
+        square = np.where(down <= reach, down * down, far)
+        best = np.full((tile, tile), far)
+        for k in range(2 * reach + 1):
+            np.minimum(best, square[:, k : k + tile] + (k - reach) ** 2, out=best)
+        own = table["_own"].to_numpy()
+        found = np.sqrt(best[y[own] - reach, x[own] - reach].astype(float)) * metres
+        kept_rows = table.filter(table["_own"]).select([*keys, "y", "x"])
+        return kept_rows.append_column("metres", pa.array(np.floor(np.minimum(found, ceiling) + 0.5).astype(np.int32)))
+
+    at = lambda c, shift: F.floor((F.col(c) + shift) / tile).cast("int")
+    here = F.struct(at("y", 0).alias("ty"), at("x", 0).alias("tx"))
+    span = lambda c: F.sequence(at(c, -reach), at(c, reach))
+    near = F.flatten(F.transform(span("y"), lambda ty: F.transform(span("x"), lambda tx: F.struct(ty.alias("ty"), tx.alias("tx")))))
+    is_set = F.coalesce(F.col(mask), F.lit(False))
+    rows = pixels.where(F.col("y").isNotNull() & F.col("x").isNotNull()).select(*keys, "y", "x", is_set.alias("_set"), F.explode(F.when(is_set, near).otherwise(F.array(here))).alias("_t"), here.alias("_h"))
+    rows = rows.select(*keys, "y", "x", "_set", (F.col("_t") == F.col("_h")).alias("_own"), F.col("_t.ty").alias("_ty"), F.col("_t.tx").alias("_tx"))
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in [*keys, "y", "x"]) + ", metres int"
+    return rows.groupBy(*keys, "_ty", "_tx").applyInArrow(squares, schema)
 
 
 def flip_diagnosis(layers: DataFrame, a: str, b: str, height: int, width: int) -> DataFrame:

@@ -346,9 +346,23 @@ def route_endings(spark, d):
 
 
 @query(
-    f"""WITH RECURSIVE {fx.CELL_SQL}, st AS (SELECT ix, iy, ix + {NEXT_X} AS nx, iy + {NEXT_Y} AS ny FROM cells WHERE inside AND d8 BETWEEN 1 AND 8),
-s AS (SELECT c.ix, c.iy, coalesce(t.ix, c.ix) AS nx, coalesce(t.iy, c.iy) AS ny FROM cells c LEFT JOIN st ON st.ix = c.ix AND st.iy = c.iy LEFT JOIN cells t ON t.ix = st.nx AND t.iy = st.ny AND t.inside WHERE c.inside),
-w AS (SELECT ix, iy, ix AS tx, iy AS ty, 0 AS k FROM s UNION ALL SELECT w.ix, w.iy, s.nx, s.ny, k + 1 FROM w JOIN s ON s.ix = w.tx AND s.iy = w.ty WHERE k < 256) SELECT ix, iy, tx, ty FROM w WHERE k = 256"""
+    f"""WITH RECURSIVE {fx.CELL_SQL},
+st AS (SELECT ix, iy, ix + {NEXT_X} AS nx, iy + {NEXT_Y} AS ny FROM cells WHERE inside AND d8 BETWEEN 1 AND 8),
+s AS (
+  SELECT c.ix, c.iy, coalesce(t.ix, c.ix) AS nx, coalesce(t.iy, c.iy) AS ny FROM cells c
+  LEFT JOIN st ON st.ix = c.ix AND st.iy = c.iy LEFT JOIN cells t ON t.ix = st.nx AND t.iy = st.ny AND t.inside
+  WHERE c.inside),
+r AS (
+  SELECT ix, iy, ix AS tx, iy AS ty FROM s
+  UNION SELECT r.ix, r.iy, s.nx, s.ny FROM r JOIN s ON s.ix = r.tx AND s.iy = r.ty),
+ends AS (SELECT ix, iy FROM s WHERE nx = ix AND ny = iy),
+ring AS (
+  SELECT s.ix, s.iy FROM s JOIN r ON r.ix = s.nx AND r.iy = s.ny AND r.tx = s.ix AND r.ty = s.iy
+  WHERE s.nx <> s.ix OR s.ny <> s.iy)
+SELECT r.ix, r.iy, r.tx, r.ty, false AS looped FROM r JOIN ends e ON e.ix = r.tx AND e.iy = r.ty
+UNION ALL
+SELECT r.ix, r.iy, arg_min(r.tx, r.ty * 100000 + r.tx), min(r.ty), true
+FROM r JOIN ring g ON g.ix = r.tx AND g.iy = r.ty GROUP BY r.ix, r.iy"""
 )
 def d8_terminal(spark, d):
     return flow.terminals(fx.cells(spark, d))

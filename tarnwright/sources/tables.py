@@ -64,7 +64,12 @@ def with_optional(df: DataFrame, required: list[str], optional: dict[str, str])
 
 
 def swap_in(df: DataFrame, path: str, least_rows: int = 1) -> bool:
-    """Writes beside path, checks, then renames; the old table stays if the new one has too few rows."""
+    """Writes beside path, checks, then renames; the old table stays if the new one has too few rows.
+
+    Every rename is looked at: one that fails raises, the old table goes back to its place, and it is deleted only after
+    the new one is seen there. Between the two renames there is no table at path; readers that must always find one use
+    versions.commit().
+    """
     spark = df.sparkSession
     staging, old = f"{path}.staging-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
     df.write.parquet(staging)
@@ -73,13 +78,24 @@ def swap_in(df: DataFrame, path: str, least_rows: int = 1) -> bool:
     if spark.read.parquet(staging).limit(least_rows).count() < least_rows:
         fs.delete(hadoop(staging), True)
         return False
-    if fs.exists(hadoop(path)):
-        fs.rename(hadoop(path), hadoop(old))
-    fs.rename(hadoop(staging), hadoop(path))
-    fs.delete(hadoop(old), True)
+    there = fs.exists(hadoop(path))
+    if there and not renamed(fs, hadoop(path), hadoop(old)):
+        fs.delete(hadoop(staging), True)
+        raise OSError(f"{path} cannot be moved aside; it stays as it was")
+    if not renamed(fs, hadoop(staging), hadoop(path)):
+        if there and not renamed(fs, hadoop(old), hadoop(path)):
+            raise OSError(f"{path} cannot be replaced; the old table is at {old}, the new one at {staging}")
+        raise OSError(f"{path} cannot be replaced; it stays as it was, the new table is at {staging}")
+    if there:
+        fs.delete(hadoop(old), True)
     return True
 
 
+def renamed(fs, source, target) -> bool:
+    """Whether a rename did what it says: some file systems return false, others do nothing."""
+    return bool(fs.rename(source, target)) and fs.exists(target) and not fs.exists(source)
+
+
 def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows with their place from 0 in the given (total) order. Sorted by ranges in parallel; only the ranges' counts are summed in one place."""
     ranged = kept(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranged")

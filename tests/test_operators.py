@@ -109,12 +109,34 @@ def test_distances_over_gaps_and_several_areas(spark):
     got = raster.distance_field(spark.createDataFrame(px, "area string, y int, x int, m boolean"), "m", keys=("area",)).collect()
     assert len(got) == len(px)
     on = {k: [(y, x) for a, y, x, m in px if a == k and m] for k in ("a", "b")}
-    columns = {k: {x for a, _, x, _ in px if a == k} for k in on}
-    rows = {(k, y): {x for a, b, x, _ in px if a == k and b == y} for k, y in {(a, y) for a, y, _, _ in px}}
     for k, y, x, metres in got:
-        # a set pixel is seen if its column has a pixel in this row
-        true = min((math.hypot(y - a, x - b) for a, b in on[k] if b in rows[k, y]), default=99) * 10
-        assert metres == math.floor(min(true, 255) + 0.5) and x in columns[k]
+        true = min((math.hypot(y - a, x - b) for a, b in on[k]), default=99) * 10
+        assert metres == math.floor(min(true, 255) + 0.5)
+
+
+def test_distances_where_rows_and_columns_are_missing(spark):
+    px = spark.createDataFrame([(0, 0, True), (2, 2, False), (300, 300, False), (300, 312, None), (301, 301, True), (None, 4, True)], "y int, x int, m boolean")
+    got = {(r["y"], r["x"]): r["metres"] for r in raster.distance_field(px, "m").collect()}
+    assert got == {(0, 0): 0, (2, 2): 28, (300, 300): 14, (300, 312): 110, (301, 301): 0}
+
+
+def test_distances_across_squares(spark, monkeypatch):
+    """Work is by squares: set pixels count in all squares within reach, on either side of any seam."""
+    rng = random.Random(16)
+    on = {(rng.randrange(-70, 90), rng.randrange(-70, 90)) for _ in range(25)}
+    px = [(y, x, (y, x) in on) for y in range(-70, 90) for x in range(-70, 90, 3)] + [(y, x, True) for y, x in on if (x + 70) % 3]
+    frame = spark.createDataFrame(px, "y int, x int, m boolean")
+    want = {(y, x): math.floor(min(min(math.hypot(y - a, x - b) for a, b in on) * 10, 255) + 0.5) for y, x, _ in px}
+    for tile in (32, 256):
+        monkeypatch.setattr(raster, "TILE", tile)
+        assert {(r["y"], r["x"]): r["metres"] for r in raster.distance_field(frame, "m").collect()} == want
+
+
+def test_distance_fields_need_no_window_over_a_column(spark):
+    px = spark.range(1 << 20).selectExpr("CAST(id DIV 8 AS INT) AS y", "CAST(id % 8 AS INT) AS x", "id % 4096 = 0 AS m")
+    plan = raster.distance_field(px, "m")._jdf.queryExecution().toString()
+    assert "Window" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert raster.distance_field(px, "m").where("metres < 255").count() > 0  # 131,072 lines
 
 
 def test_clipping_after_and_unmasking_before(spark):
@@ -457,3 +479,26 @@ def test_held_out_blocks(spark):
 
 def test_bands_by_name(spark):
     assert raster.select_bands(fx.pixels(spark), "(upa|hand)").columns == ["y", "x", "hand", "upa"]
+
+
+def channel(n, mouth=True):
+    """Cells in a line, flowing east; the last one is a mouth or flows back."""
+    return [(i, 0, 1 if i < n - 1 else 9 if mouth else 5, True) for i in range(n)]
+
+
+def test_terminals_of_routes_of_any_length(spark):
+    cells = spark.createDataFrame(channel(2000), "ix long, iy long, d8 int, inside boolean")
+    got = flow.terminals(cells).collect()
+    assert len(got) == 2000 and {(r["tx"], r["ty"], r["looped"]) for r in got} == {(1999, 0, False)}
+
+
+def test_terminals_name_cycles(spark):
+    ring = [(0, 11, 1, True), (1, 11, 3, True), (1, 10, 5, True), (0, 10, 7, True), (2, 12, 4, True), (3, 13, 4, True)]
+    lone = [(50, 50, 10, True), (51, 50, 1, True), (60, 60, 1, False)]
+    cells = spark.createDataFrame(channel(301, mouth=False) + ring + lone, "ix long, iy long, d8 int, inside boolean")
+    got = {(r["ix"], r["iy"]): (r["tx"], r["ty"], r["looped"]) for r in flow.terminals(cells).collect()}
+    assert len(got) == 301 + 6 + 2
+    assert all(got[i, 0] == (299, 0, True) for i in range(301))  # the last two flow to one another
+    assert all(got[x, y] == (0, 10, True) for x, y, _, _ in ring)
+    assert got[50, 50] == (50, 50, False) and got[51, 50] == (51, 50, False)
+    assert flow.terminals(cells.where("false")).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwright.operators import screening
 from tarnwright.plans import fixtures as fx
-from tarnwright.sources import corpus, manifest, png, sinks, tables
+from tarnwright.sources import corpus, manifest, png, sinks, tables, versions
 from tarnwright.streaming.plots import screened_stream
 
 from .conftest import DATA
@@ -179,3 +179,71 @@ def test_index_tables(spark, tmp_path):
     assert {(r["term"], r["doc"]): r["tf"] for r in index["postings"].collect()} == {("drain", 0): 1, ("water", 0): 1, ("lake", 1): 3, ("flood", 1): 3}
     sinks.write_index(index, f"file://{tmp_path}/index")
     assert spark.read.parquet(f"file://{tmp_path}/index/stats").first()["n"] == 2
+
+
+def test_files_with_other_line_ends(spark):
+    text = "id: rule.a\ntitle: T\nkind: rule\nalways: true\n---\nOne.\nTwo.\n"
+    for end in ("\n", "\r\n", "\r"):
+        row = corpus.parse_chunks(spark.createDataFrame([(text.replace("\n", end), "k/rule/a.md")], "value string, file string")).first()
+        assert (row["id"], row["title"], row["always"], row["body"], row["errors"]) == ("rule.a", "T", True, "One.\nTwo.", [])
+
+
+def test_swaps_that_fail_leave_a_table(spark, tmp_path, monkeypatch):
+    path = f"file://{tmp_path}/t"
+    read = lambda: spark.read.parquet(path).count()
+    assert tables.swap_in(spark.range(3), path)
+    true = tables.renamed
+    monkeypatch.setattr(tables, "renamed", lambda *a: False)
+    with pytest.raises(OSError, match="moved aside"):
+        tables.swap_in(spark.range(5), path)
+    assert read() == 3
+    calls = []
+    monkeypatch.setattr(tables, "renamed", lambda fs, a, b: not (calls.append(1) or len(calls) == 2) and true(fs, a, b))
+    with pytest.raises(OSError, match="stays as it was"):
+        tables.swap_in(spark.range(5), path)
+    assert read() == 3
+    monkeypatch.setattr(tables, "renamed", true)
+    assert tables.swap_in(spark.range(5), path) and read() == 5
+
+
+def test_versions(spark, tmp_path):
+    root = f"file://{tmp_path}/v"
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root)
+    assert versions.commit(spark.range(3), root) == 1
+    old = versions.read(spark, root)
+    assert versions.commit(spark.range(7), root, {"no gaps": lambda t: t.agg({"id": "max"}).first()[0] == t.count() - 1}) == 2
+    assert (old.count(), versions.read(spark, root).count(), versions.read(spark, root, 1).count()) == (3, 7, 3)
+    for bad, checks in ((spark.range(0), {}), (spark.range(2, 9), {"from 0": lambda t: t.agg({"id": "min"}).first()[0] == 0})):
+        with pytest.raises(versions.Invalid):
+            versions.commit(bad, root, checks)
+    with pytest.raises(versions.Conflict):  # another writer also began from version 1
+        versions.commit(spark.range(9), root, base=1)
+    with pytest.raises(FileNotFoundError):
+        versions.read(spark, root, 9)
+    assert versions.numbers(spark, root) == [1, 2] and versions.read(spark, root).count() == 7
+    assert len(list((tmp_path / "v" / "data").iterdir())) == 2  # what was refused is gone
+
+
+def test_a_writer_that_stops_anywhere_changes_nothing(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/v"
+    versions.commit(spark.range(3), root)
+
+    class Stopped(BaseException):
+        pass
+
+    def stop(*_):
+        raise Stopped
+
+    for step in ("stage", "claim", "write_bytes"):
+        with monkeypatch.context() as m:
+            m.setattr(versions, step, stop)
+            with pytest.raises(Stopped):
+                versions.commit(spark.range(8), root)
+        assert versions.numbers(spark, root) == [1] and versions.read(spark, root).count() == 3
+    versions.stage(spark.range(8), root)  # the data are written, their manifest is not
+    assert versions.read(spark, root).count() == 3
+    assert versions.commit(spark.range(4), root) == 2
+    assert versions.remove_unused(spark, root) == []  # too young
+    assert len(versions.remove_unused(spark, root, older_than_ms=0)) == 3
+    assert versions.read(spark, root).count() == 4 and versions.read(spark, root, 1).count() == 3
