@@ -52,6 +52,56 @@ def zonal_mean(pixels: DataFrame, zones: DataFrame, bands: list[str], tile: int
     return zones.select("zone_id").join(means, "zone_id", "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)))
 
 
+def coverage(zones: DataFrame) -> DataFrame:
+    """zone_id, y, x, share: of each pixel that a zone (zone_id, ring of (x, y); holes, an array of rings, if there) meets,
+    the share of it inside. Exact for rings of straight sides, which must not cross themselves.
+
+    By Green's theorem, side by side: a side is cut at the pixels' borders, and each piece adds to its pixel the area to
+    its right and to all pixels further right its height, with the sign of its direction. Running sums along a line give
+    the shares of the pixels that sides pass through, and the one share of each run of pixels between them. Work grows
+    with the sides' lengths and the pixels covered, not with boxes; everything is columns.
+    """
+    point = lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y"))
+    rings = F.array(F.struct(F.transform("ring", point).alias("r"), F.lit(1).alias("s")))
+    if "holes" in zones.columns:
+        rings = F.concat(rings, F.transform(F.coalesce("holes", F.array().cast(zones.schema["holes"].dataType)), lambda r: F.struct(F.transform(r, point).alias("r"), F.lit(-1).alias("s"))))
+    rows = zones.select("zone_id", F.explode(rings).alias("k")).select("zone_id", "k.r", "k.s").where(F.size("r") > 2)
+    sides = F.transform("r", lambda p, i: F.struct(p.alias("a"), F.element_at("r", (F.pmod(i + 1, F.size("r")) + 1).cast("int")).alias("b")))
+    area = F.aggregate("sides", F.lit(0.0), lambda t, e: t + e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"])
+    rows = rows.withColumn("sides", sides).withColumn("s", F.col("s") * F.signum(area)).select("zone_id", "s", F.explode("sides").alias("e"))
+    c = F.col
+    rows = rows.select("zone_id", "s", c("e.a.x").alias("ax"), c("e.a.y").alias("ay"), c("e.b.x").alias("bx"), c("e.b.y").alias("by")).where("ay <> by")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    rows = rows.withColumn("y", F.explode(F.sequence(F.floor(low).cast("int"), (F.ceil(high) - 1).cast("int"))))
+    rows = rows.withColumns({"y0": F.greatest(low, c("y").cast("double")), "y1": F.least(high, c("y") + 1.0)})
+    along = lambda y: c("ax") + (y - c("ay")) * (c("bx") - c("ax")) / (c("by") - c("ay"))
+    rows = rows.withColumns({"x0": F.least(along(c("y0")), along(c("y1"))), "x1": F.greatest(along(c("y0")), along(c("y1")))})
+    rows = rows.withColumn("x", F.explode(F.sequence(F.floor("x0").cast("int"), F.floor("x1").cast("int"))))
+    left, right = F.greatest("x0", c("x").cast("double")), F.least("x1", c("x") + 1.0)
+    part = F.when(c("x0") == c("x1"), 1.0).otherwise((right - left) / (c("x1") - c("x0")))
+    height = -c("s") * F.signum(c("by") - c("ay")) * (c("y1") - c("y0")) * part
+    pieces = rows.select("zone_id", "y", "x", height.alias("h"), (height * (c("x") + 1 - (left + right) / 2)).alias("a"))
+    pieces = pieces.groupBy("zone_id", "y", "x").agg(F.sum("h").alias("h"), F.sum("a").alias("a"))
+    line = Window.partitionBy("zone_id", "y").orderBy("x")
+    pieces = pieces.withColumns({"total": F.sum("h").over(line.rowsBetween(Window.unboundedPreceding, 0)), "next": F.lead("x").over(line)})
+    own = F.array(F.struct(c("x").alias("x"), (c("total") - c("h") + c("a")).alias("share")))
+    between = F.when((c("next") > c("x") + 1) & (c("total") > 1e-12), F.transform(F.sequence(c("x") + 1, c("next") - 1), lambda x: F.struct(x.alias("x"), c("total").alias("share"))))
+    every = F.concat(own, F.coalesce(between, F.array().cast("array<struct<x: int, share: double>>")))
+    return pieces.select("zone_id", "y", F.explode(every).alias("p")).select("zone_id", "y", "p.x", F.least("p.share", F.lit(1.0)).alias("share")).where("share > 1e-12")
+
+
+def zonal_fraction(pixels: DataFrame, zones: DataFrame, bands: list[str]) -> DataFrame:
+    """zone_id, pixels (as shares of them), and the means of the bands weighed by the share of each pixel inside.
+
+    A zone smaller than a pixel has that pixel's value. Null values weigh nothing; a zone without any pixel, or without
+    area, has 0 and nulls. The pixels and their shares meet by place, so neither large zones nor dense ones gather.
+    """
+    met = coverage(zones).join(pixels.select("y", "x", *bands), ["y", "x"])
+    weighed = [F.try_divide(F.sum(F.col("share") * F.col(b)), F.sum(F.when(F.col(b).isNotNull(), F.col("share")))).alias(b) for b in bands]
+    means = met.groupBy("zone_id").agg(F.sum("share").alias("pixels"), *weighed)
+    return zones.select("zone_id").join(means, "zone_id", "left").withColumn("pixels", F.coalesce("pixels", F.lit(0.0)))
+
+
 def touching(pixels: DataFrame, zones: DataFrame, tile: int = 16) -> DataFrame:
     """The zones that hold one of the pixels."""
     return zones.join(_in_zones(pixels, zones, tile).select("zone_id"), "zone_id", "left_semi")
