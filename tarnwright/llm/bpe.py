@@ -30,7 +30,7 @@ from .common import cached_as, map_batches, texts
 NONE = np.int64(1) << 62
 #: Words up to so many symbols are merged in lockstep.
 SHORT = 64
-#: Words, and pieces, that a worker keeps encoded: about 200 MB together at most.
+#: Words, and pieces, that a worker keeps encoded: about 100 MB at most.
 CACHE_WORDS = 400_000
 SEPARATORS = regex.compile("[\\x1c-\\x1f]")
 
@@ -62,6 +62,7 @@ class Vocabulary:
         self.inner = np.array([self.ids[c] for c in letters], np.int64)
         self.last = np.array([self.ids[c + self.end] for c in letters], np.int64)
         self.size = 1 + max(self.tokens)
+        self.shown = {str(i): t for i, t in self.tokens.items()}
         pairs: dict[int, tuple[int, int]] = {}
         for rank, (a, b) in enumerate(model["merges"]):
             pairs[self.ids[a] * self.size + self.ids[b]] = (rank, self.ids[a + b])
@@ -182,19 +183,17 @@ def merge_one(v: Vocabulary, word: bytes) -> list[int]:
 
 
 class Encoder:
-    """Encodes and decodes texts; what was met before comes from bounded caches, of words and of spaced pieces.
+    """Encodes and decodes texts; what was met before, words and spaced pieces alike, comes from one bounded cache.
 
-    No token spans white space, so a piece between white space has ids of its own. The caches are pure shortcuts:
-    they hold what the merge gives, and their size bounds a worker's memory.
+    No token spans white space, so a piece between white space has ids of its own. The cache is a pure shortcut: it
+    holds what the merge gives, as ids joined by spaces, and its size bounds a worker's memory.
     """
 
     def __init__(self, v: Vocabulary, cache_words: int = CACHE_WORDS) -> None:
         self.v, self.most = v, cache_words
-        #: Ids, number of ids and what they decode to; in two generations, of which the older goes as the younger fills.
-        self.words: dict[str, tuple[str, int, str]] = {}
-        self.old_words: dict[str, tuple[str, int, str]] = {}
-        self.pieces: dict[str, tuple[str, int, str]] = {}
-        self.old_pieces: dict[str, tuple[str, int, str]] = {}
+        #: In two generations, of which the older goes as the younger fills.
+        self.known: dict[str, str] = {}
+        self.old: dict[str, str] = {}
 
     def normal(self, text: str) -> str:
         if not text.isascii():
@@ -218,49 +217,45 @@ class Encoder:
 
     def learn(self, pieces: set[str]) -> None:
         """Sees to it that the younger generation of the cache holds all of pieces."""
-        self.pieces, self.old_pieces = self._turned(self.pieces, self.old_pieces)
-        words: dict[str, list[str]] = {}
-        for p in pieces.difference(self.pieces):
-            if p in self.old_pieces:
-                self.pieces[p] = self.old_pieces[p]
-            else:
-                words[p] = [p] if p in self.v.special else self.v.pattern.findall(p)
-        self._learn_words({w for ws in words.values() for w in ws})
-        for p, ws in words.items():
-            if len(ws) == 1:
-                self.pieces[p] = self.words[ws[0]]
-            else:
-                ids, n, shown = zip(*map(self.words.__getitem__, ws), strict=True) if ws else ((), (), ())
-                self.pieces[p] = (" ".join(ids), sum(n), " ".join(shown))
+        if len(self.known) >= self.most // 2:
+            self.known, self.old = {}, self.known
+        known, old = self.known, self.old
+        parted: dict[str, list[str]] = {}
+        new: set[str] = set()
+        for p in pieces.difference(known):
+            if p in old:
+                known[p] = old[p]
+                continue
+            words = [p] if p in self.v.special else self.v.pattern.findall(p)
+            if len(words) != 1 or words[0] != p:
+                parted[p] = words
+            new.update(words)
+        self._learn_words(new)
+        for p, words in parted.items():
+            known[p] = " ".join([known[w] for w in words])
 
     def _learn_words(self, words: set[str]) -> None:
-        self.words, self.old_words = self._turned(self.words, self.old_words)
+        known, old = self.known, self.old
         short: dict[int, list[tuple[str, bytes]]] = {}
-        for w in words.difference(self.words):
-            if w in self.old_words:
-                self.words[w] = self.old_words[w]
+        for w in words.difference(known):
+            if w in old:
+                known[w] = old[w]
             elif w in self.v.special:
-                self._keep(w, [self.v.special[w]])
+                known[w] = str(self.v.special[w])
             elif len(b := w.encode()) <= SHORT:
                 short.setdefault((len(b) - 1).bit_length(), []).append((w, b))
             else:
-                self._keep(w, merge_one(self.v, b))
+                known[w] = " ".join(map(str, merge_one(self.v, b)))
         for group in short.values():
             for at in range(0, len(group), 20_000):
                 part = group[at : at + 20_000]
                 for (w, _), ids in zip(part, merge_many(self.v, [b for _, b in part]), strict=True):
-                    self._keep(w, ids)
-
-    def _keep(self, word: str, ids: list[int]) -> None:
-        self.words[word] = (" ".join(map(str, ids)), len(ids), self.decode(ids))
-
-    def _turned(self, young: dict, old: dict) -> tuple[dict, dict]:
-        return (young, old) if len(young) < self.most // 2 else ({}, young)
+                    known[w] = " ".join(map(str, ids))
 
     def encode(self, text: str) -> list[int]:
         pieces = self.split(text)
         self.learn(set(pieces))
-        return [int(i) for p in pieces for i in self.pieces[p][0].split()]
+        return [int(i) for p in pieces for i in self.known[p].split()]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: the tokens, a space between them; unknown ids are skipped."""
@@ -268,12 +263,15 @@ class Encoder:
 
     def strings(self, docs: list[str]) -> Iterator[tuple[int, str, str]]:
         """Of each text: number of tokens, ids and what they decode to, both joined by spaces."""
+        shown = self.v.shown.__getitem__
         for at in range(0, len(docs), 200):
             cut = [self.split(t) for t in docs[at : at + 200]]
             self.learn({p for pieces in cut for p in pieces})
+            known = self.known.__getitem__
             for pieces in cut:
-                ids, n, shown = zip(*map(self.pieces.__getitem__, pieces), strict=True) if pieces else ((), (), ())
-                yield sum(n), " ".join(filter(None, ids)), " ".join(filter(None, shown))
+                ids = " ".join(filter(None, map(known, pieces)))
+                each = ids.split(" ") if ids else []
+                yield len(each), ids, " ".join(map(shown, each))
 
     def digests(self, docs: list[str]) -> tuple[list[int], list[str], list[str]]:
         """Of each text: number of tokens, SHA-256 of the ids, SHA-256 of what they decode to."""
