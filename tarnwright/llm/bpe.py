@@ -30,8 +30,8 @@ from .common import cached_as, map_batches, texts
 NONE = np.int64(1) << 62
 #: Words up to so many symbols are merged in lockstep.
 SHORT = 64
-#: Words, and pieces, that a worker keeps encoded: about 100 MB at most.
-CACHE_WORDS = 400_000
+#: Words, and pieces, that a worker keeps encoded: about 50 MB at most.
+CACHE_WORDS = 200_000
 SEPARATORS = regex.compile("[\\x1c-\\x1f]")
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
