@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwright.functions.codecs import YEAR_EPOCH, unpack_area
@@ -114,6 +114,28 @@ def secrets(files: DataFrame, text: str, marks: tuple[str, ...]) -> DataFrame:
     return files.where(hit)
 
 
+#: Folders and endings that a scan for secrets leaves out, and files that it reads all the same.
+SKIPPED_FOLDERS, SKIPPED_ENDS, STILL_READ = (".git", "__pycache__"), (".png", ".json"), ("corpus.json",)
+
+
+def secret_files(spark: SparkSession, folder: str, marks: tuple[str, ...], folders: tuple[str, ...] = SKIPPED_FOLDERS, ends: tuple[str, ...] = SKIPPED_ENDS, still: tuple[str, ...] = STILL_READ) -> DataFrame:
+    """path (below folder), lines: the files of a folder and all below it that hold one of the marks, and in how many lines.
+
+    Files are read line by line, so none is held whole; what is skipped is decided by path before anything is read.
+    Spark's listing leaves out names that begin with a dot or an underscore, so such files are never seen.
+    """
+    base = folder.split("://", 1)[-1].rstrip("/")
+    whole = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    path = F.regexp_replace(whole, F.lit(r"^[a-z]*:/*\Q" + base.lstrip("/") + r"\E/"), F.lit(""))
+    parts = F.split(path, "/")
+    name = F.element_at(parts, -1)
+    skipped = F.arrays_overlap(F.slice(parts, 1, F.size(parts) - 1), F.array(*map(F.lit, folders))) if folders else F.lit(False)
+    for end in ends:
+        skipped = skipped | (F.endswith(name, F.lit(end)) & ~name.isin(*still))
+    lines = spark.read.text(folder, recursiveFileLookup=True)
+    return secrets(lines.where(~skipped).select(path.alias("path"), "value"), "value", marks).groupBy("path").agg(F.count("*").alias("lines"))
+
+
 def vocabulary_difference(terms: DataFrame, one: str, two: str) -> DataFrame:
     """term, side: terms (side, term) of one side only."""
     a, b = (terms.where(F.col("side") == s).select("term") for s in (one, two))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 HISTORIC, PRESENT, LOST = (1, 3, 4, 6, 7, 8), (1, 2, 4, 5, 7, 8), (3, 6)
 #: Land cover that still is water (open, flooded vegetation), and built land.
 GUARD, BUILT = (0, 3), 6
+#: Fixed value: scenes with so many percent of clouds are left out.
+CLOUDY = 30.0
 #: Pixels along the side of a square that is one unit of work.
 TILE = 256
 
@@ -30,6 +32,11 @@ def between_dates(ts: Column, low: str, high: str) -> Column:
     return (ts >= F.lit(low).cast("timestamp_ntz")) & (ts < F.lit(high).cast("timestamp_ntz"))
 
 
+def clear_scenes(images: DataFrame, cloudy: str, below: float = CLOUDY) -> DataFrame:
+    """Images of scenes whose share of clouds, in percent, is known and below the bound; a comparison that reaches the scan."""
+    return images.where(F.col(cloudy) < below)
+
+
 def median_composite(images: DataFrame, bands: list[str], keys: tuple[str, ...] = ("y", "x")) -> DataFrame:
     """Median of each band over the images, nulls left out."""
     return images.groupBy(*keys).agg(*(F.median(b).alias(b) for b in bands))

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tarnwright.operators import screening
+from tarnwright.operators import quality, raster, screening
 from tarnwright.plans import fixtures as fx
 from tarnwright.sources import corpus, manifest, png, sinks, tables, versions
 from tarnwright.streaming.plots import screened_stream
@@ -247,3 +247,19 @@ def test_a_writer_that_stops_anywhere_changes_nothing(spark, tmp_path, monkeypat
     assert versions.remove_unused(spark, root) == []  # too young
     assert len(versions.remove_unused(spark, root, older_than_ms=0)) == 3
     assert versions.read(spark, root).count() == 4 and versions.read(spark, root, 1).count() == 3
+
+
+def test_secrets_in_folders(spark, tmp_path):
+    files = {"a.py": "x\nkey = AKIA1\nAKIA2\n", "data/b.json": "AKIA", "data/corpus.json": "AKIA", "__pycache__/c.py": "AKIA", "p.png": "AKIA", "deep/er/d.txt": "no\n\nAKIA", "deep/clean.txt": "fine", "odd [1].txt": "AKIA", "a+b.txt": "AKIA"}
+    for name, text in files.items():
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(text)
+    found = {r["path"]: r["lines"] for r in quality.secret_files(spark, f"file://{tmp_path}", ("AKIA",)).collect()}
+    assert found == {"a.py": 2, "data/corpus.json": 1, "deep/er/d.txt": 1, "odd [1].txt": 1, "a+b.txt": 1}
+    assert len(quality.secret_files(spark, f"file://{tmp_path}", ("AKIA",), (), ()).collect()) == 8
+
+
+def test_clear_scenes(spark):
+    rows = spark.createDataFrame([(1, 29.9), (2, 30.0), (3, None), (4, 0.0)], "id int, cloudy double")
+    assert sorted(r["id"] for r in raster.clear_scenes(rows, "cloudy").collect()) == [1, 4]
