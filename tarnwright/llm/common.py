@@ -139,6 +139,17 @@ def _arrow_type(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores added until no column of df has it: for columns that come and go beside a caller's."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column as strings; null reads as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]

@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, spare
 
 #: Labelled documents that are used, hashed words, the words at which half of the evidence is tempered away.
 MOST_DOCS, BUCKETS, TEMPER = 20_000, 1 << 14, 64
@@ -160,10 +160,11 @@ def drawn(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None
     The draw is a hash of doc_id and seed, so it is the same in every run. Rows without doc_id stay once. Rows of one
     doc_id have one rate, the largest of theirs.
     """
-    found = mix(docs, labelled, targets, budget).where("doc_id is not null").groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("rate").alias("_mix_rate"))
+    own, rate, count, copy = spare(docs, "_mix_id", "_mix_rate", "_mix_times", "_mix_copy")
+    found = mix(docs, labelled, targets, budget).where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.max("rate").alias(rate))
     if found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    chance = F.pmod(F.xxhash64("_mix_id", F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    times = F.coalesce(F.floor(F.col("_mix_rate") + chance).cast("int"), F.lit(1))
-    out = docs.join(found, docs["doc_id"] == found["_mix_id"], "left").withColumn("_mix_times", times).where("_mix_times > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_times")))).select(*(docs[c] for c in docs.columns))
+    chance = F.pmod(F.xxhash64(own, F.lit(seed)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    times = F.coalesce(F.floor(F.col(rate) + chance).cast("int"), F.lit(1))
+    out = docs.join(found, docs["doc_id"] == found[own], "left").withColumn(count, times).where(F.col(count) > 0)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(count)))).select(*(docs[c] for c in docs.columns))

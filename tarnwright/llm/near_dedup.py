@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, map_batches, materialise, ship, utf8
+from .common import hold, map_batches, materialise, ship, spare, utf8
 
 WORDS = 5
 BINS, BAND = 256, 4
@@ -367,13 +367,14 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     Rows without doc_id stay. Of rows that share a doc_id any one stays.
     """
     told = materialise(near_duplicates(docs), "told")
-    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias("_gone_id")).distinct()
-    twice = told.where("doc_id is not null").groupBy(F.col("doc_id").alias("_twice_id")).count().where("count > 1").select("_twice_id")
-    out = docs.join(_sent(gone), docs["doc_id"] == F.col("_gone_id"), "left_anti")
+    gone_id, twice_id = spare(docs, "_gone_id", "_twice_id")
+    gone = told.where(~F.col("kept")).select(F.col("doc_id").alias(gone_id)).distinct()
+    twice = told.where("doc_id is not null").groupBy(F.col("doc_id").alias(twice_id)).count().where("count > 1").select(twice_id)
+    out = docs.join(_sent(gone), docs["doc_id"] == F.col(gone_id), "left_anti")
     if twice.isEmpty():
         return out
-    once = out.join(_sent(twice), out["doc_id"] == F.col("_twice_id"), "left_anti")
-    return once.unionByName(out.join(_sent(twice), out["doc_id"] == F.col("_twice_id"), "left_semi").dropDuplicates(["doc_id"]))
+    once = out.join(_sent(twice), out["doc_id"] == F.col(twice_id), "left_anti")
+    return once.unionByName(out.join(_sent(twice), out["doc_id"] == F.col(twice_id), "left_semi").dropDuplicates(["doc_id"]))
 
 
 def _sent(ids: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, materialise, utf8
+from .common import map_batches, materialise, spare, utf8
 
 WINDOW, LEAST, MOST = 16, 12, 256
 #: A cut where the 16-bit hash is below this: one position in 22.
@@ -165,8 +165,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     A character that reaches into a kept chunk is kept.
     """
-    cuts_of = repeated_passages(docs).where("redundant").groupBy(F.col("doc_id").alias("_cut_id"), F.col("text_key").alias("_cut_key"))
-    spans = cuts_of.agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias("_cuts"))
+    own, key, cuts = spare(docs, "_cut_id", "_cut_key", "_cuts")
+    cuts_of = repeated_passages(docs).where("redundant").groupBy(F.col("doc_id").alias(own), F.col("text_key").alias(key))
+    spans = cuts_of.agg(F.sort_array(F.collect_list(F.struct("start_byte", "end_byte"))).alias(cuts))
 
     @F.arrow_udf("string")
     def cut(text: pa.Array, found: pa.Array) -> pa.Array:
@@ -189,5 +190,5 @@ def without_repeats(docs: DataFrame) -> DataFrame:
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = docs.join(spans, (docs["doc_id"] == spans["_cut_id"]) & (F.xxhash64(docs["text"]) == spans["_cut_key"]), "left")
-    return joined.withColumn("text", cut("text", "_cuts")).select(*docs.columns)
+    joined = docs.join(spans, (docs["doc_id"] == spans[own]) & (F.xxhash64(docs["text"]) == spans[key]), "left")
+    return joined.withColumn("text", cut("text", cuts)).select(*docs.columns)
