@@ -44,7 +44,7 @@ def branches() -> list[tuple[str, Column, str]]:
 
 def screen(sites: DataFrame, rules: DataFrame) -> DataFrame:
     """sites (with classes) with code, verdict and measured; outside the study area no measurement is reported."""
-    ruled = sites.join(F.broadcast(rules), "ruleId")  # a row a regime
+    ruled = sites.join(rules, "ruleId")  # whoever gives the rules says how many; the engine sends them where they are small
     code, verdict = F.lit("none"), F.lit("NO_OBJECTION")
     for name, when, outcome in reversed(branches()):
         code, verdict = F.when(when, name).otherwise(code), F.when(when, outcome).otherwise(verdict)
