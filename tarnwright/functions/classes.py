@@ -64,5 +64,13 @@ def shortfall(required: Column, stored: Column) -> Column:
     return F.when(stored.isNotNull(), F.greatest(required - stored, F.lit(0.0)))
 
 
+def error_of(*terms: Column) -> Column:
+    """What independent errors come to; null if one of them is not known."""
+    total = F.lit(0.0)
+    for t in terms:
+        total = total + t * t
+    return F.sqrt(total)
+
+
 def error_budget(terms: tuple[float, ...] = ERROR_TERMS) -> float:
     return sum(t * t for t in terms) ** 0.5

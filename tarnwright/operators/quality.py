@@ -247,19 +247,18 @@ def corpus_report(chunks: DataFrame, fields: list[str], files: DataFrame, requir
 
     files: path, lines, for references to lines. No row means that all checks passed.
     """
-    from tarnwright.operators.triggers import field_faults
-    from tarnwright.sources.corpus import compiled, parameters
+    from tarnwright.operators.triggers import unknown_of
+    from tarnwright.sources.corpus import parameters, trigger_rows
 
-    triggers, faults = compiled(chunks)
-    spark, row = chunks.sparkSession, "check string, id string, problem string"
+    spark, conditions = chunks.sparkSession, trigger_rows(chunks)
     words = chunks.select(word_count("body").alias("w")).orderBy(F.col("w").desc()).limit(12).agg(F.coalesce(F.sum("w"), F.lit(0)).alias("w"))
     tokens = F.floor(F.col("w") * 1.4) + 400
     named = lambda check, df, key, problem: df.select(F.lit(check).alias("check"), F.col(key).cast("string").alias("id"), problem.alias("problem"))
     known = parameters(chunks)
     parts = [
         named("parsing", chunks.select("file", F.explode("errors").alias("e")), "file", F.col("e")),
-        spark.createDataFrame([("triggers", f, e) for f, e in faults], row),
-        named("fields", field_faults(spark, triggers, spark.createDataFrame([(f,) for f in fields], "field string")), "chunk_id", F.concat(F.lit("no such field: "), "field")),
+        named("triggers", conditions.where("fault IS NOT NULL"), "file", F.col("fault")),
+        named("fields", unknown_of(conditions, spark.createDataFrame([(f,) for f in fields], "field string")), "chunk_id", F.concat(F.lit("no such field: "), "field")),
         named("chunks", chunk_faults(chunks), "id", F.col("problem")),
         named("numbers", undeclared_by_chunk(chunks), "id", F.concat(F.lit("undeclared: "), "number")),
         named("provenance", provenance(chunks, files), "id", F.col("problem")),

@@ -90,6 +90,15 @@ def hold_out(spark, blocks: int, k: int, seeds: list[int]) -> DataFrame:
     return rows.withColumn("rank", rank).where(F.col("rank") <= k).select("seed", "block")
 
 
+def hold_out_of(blocks: DataFrame, column: str, k: int, seeds: list[int]) -> DataFrame:
+    """seed, and k of a table's blocks for each seed, those with the smallest digest of both. No seed is sorted whole."""
+    out = None
+    for seed in seeds:
+        some = sample(blocks.select(column), column, k, seed).select(F.lit(seed).alias("seed"), column)
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def spread(seeds: DataFrame, columns: list[str]) -> DataFrame:
     """figure, least, most, median of each column over the seeds: the range is the result, not the best draw."""
     rows = seeds.select(F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("v")) for c in columns))).alias("r")).select("r.*")

@@ -178,18 +178,23 @@ def upa_log_pack(spark, d):
     return read(spark, d, "orders").select("o_orderkey", codecs.pack_area(F.col("o_totalprice") / 500).alias("code"))
 
 
-@query("SELECT CAST(range AS INTEGER) AS code, round(pow(10.0::DOUBLE, range * (log10(1001.0::DOUBLE) / 255)) - 1, 6) AS km2, CAST(range AS SMALLINT) AS back FROM range(256)")
+@query(
+    """SELECT event_id, CAST(event_id % 256 AS INTEGER) AS code, CAST(event_id % 256 AS SMALLINT) AS back,
+round(pow(10.0::DOUBLE, event_id % 256 * (log10(1001.0::DOUBLE) / 255)) - 1, 6) AS km2 FROM events"""
+)
 def upa_round_trip(spark, d):
-    codes = spark.range(256).select(F.col("id").cast("int").alias("code")).withColumn("km2", codecs.unpack_area(F.col("code")))
-    return codes.select("code", r6("km2"), codecs.pack_area(F.col("km2")).alias("back"))
+    codes = read(spark, d, "events").select("event_id", (F.col("event_id") % 256).cast("int").alias("code"))
+    codes = codes.withColumn("km2", codecs.unpack_area(F.col("code")))
+    return codes.select("event_id", "code", r6("km2"), codecs.pack_area(F.col("km2")).alias("back"))
 
 
 @query(
-    """SELECT range AS code, CAST(CASE range WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 8 THEN 4 WHEN 16 THEN 5 WHEN 32 THEN 6 WHEN 64 THEN 7 WHEN 128 THEN 8 WHEN 0 THEN 9 WHEN -1 THEN 10 ELSE 0 END AS INTEGER) AS d8
-FROM range(-10, 256)"""
+    """SELECT event_id, event_id % 266 - 10 AS code, CAST(CASE event_id % 266 - 10 WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 4 THEN 3 WHEN 8 THEN 4 WHEN 16 THEN 5 WHEN 32 THEN 6 WHEN 64 THEN 7 WHEN 128 THEN 8 WHEN 0 THEN 9 WHEN -1 THEN 10 ELSE 0 END AS INTEGER) AS d8
+FROM events"""
 )
 def d8_remap(spark, d):
-    return spark.range(-10, 256).select(F.col("id").alias("code"), codecs.remap_direction(F.col("id")).alias("d8"))
+    code = F.col("event_id") % 266 - 10
+    return read(spark, d, "events").select("event_id", code.alias("code"), codecs.remap_direction(code).alias("d8"))
 
 
 @query(
@@ -209,12 +214,18 @@ def risk_score(spark, d):
 
 
 @query(
-    """WITH c(city, w, s, e, n) AS (VALUES ('bengaluru', 77.63::DOUBLE, 12.90::DOUBLE, 77.75::DOUBLE, 12.97::DOUBLE), ('chennai', 80.18, 12.90, 80.28, 12.985))
-SELECT city, round((e - w) * 111.320::DOUBLE * cos(radians((s + n) / 2)) * (n - s) * 110.574::DOUBLE, 6) AS km2 FROM c"""
+    """WITH c AS (SELECT s_suppkey, 60 + s_suppkey % 40 + 0.25::DOUBLE AS w, 0.125::DOUBLE + (s_suppkey % 7) / 8.0::DOUBLE AS wide,
+  s_suppkey % 120 - 60 + 0.5::DOUBLE AS s, 0.0625::DOUBLE + (s_suppkey % 5) / 16.0::DOUBLE AS high FROM supplier)
+SELECT s_suppkey, round(wide * 111.320::DOUBLE * cos(radians(s + high / 2)) * high * 110.574::DOUBLE, 6) AS km2 FROM c"""
 )
 def area_km2(spark, d):
-    a = geometry.areas(spark)
-    return a.select("city", F.round(geometry.ground_km2(*(F.col(c) for c in ("west", "south", "east", "north"))), 6).alias("km2"))
+    """The ground of a supplier's area, each somewhere else."""
+    boxes = read(spark, d, "supplier").selectExpr(
+        "s_suppkey", "60 + s_suppkey % 40 + 0.25D AS west", "s_suppkey % 120 - 60 + 0.5D AS south",
+        "0.125D + (s_suppkey % 7) / 8D AS wide", "0.0625D + (s_suppkey % 5) / 16D AS high",
+    )
+    west, south = F.col("west"), F.col("south")
+    return boxes.select("s_suppkey", F.round(geometry.ground_km2(west, south, west + F.col("wide"), south + F.col("high")), 6).alias("km2"))
 
 
 @query(
@@ -460,40 +471,45 @@ KIND_OF = {k: " OR ".join(f"({fx.chunk_sql(c)})" for c in fx.CHUNKS if c.kind in
 
 
 @query(
-    f"""WITH {fx.sweep_sql()}, k AS ({fx.classes_sql('sweep')}), n AS (SELECT *, {' + '.join(f"CAST({f'({fx.chunk_sql(c)})'} AS INTEGER)" for c in fx.CHUNKS)} AS n FROM k)
+    f"""WITH {fx.sweep_sql(table='lineitem')}, k AS ({fx.classes_sql('sweep')}), n AS (SELECT *, {' + '.join(f"CAST({f'({fx.chunk_sql(c)})'} AS INTEGER)" for c in fx.CHUNKS)} AS n FROM k)
 SELECT count(*) AS records, CAST(min(n) AS INTEGER) AS least, CAST(max(n) AS INTEGER) AS most, CAST(sum(n) AS BIGINT) AS hits, count(*) FILTER (n < 3) AS too_few, count(*) FILTER (NOT ({KIND_OF[('rule',)]})) AS no_rule,
 count(*) FILTER (NOT ({KIND_OF[('error', 'limit')]})) AS no_limit, count(*) FILTER (intent = 'flood' AND NOT ({REFUSED})) AS no_refusal FROM n"""
 )
 def coverage_sweep(spark, d):
-    return triggers.coverage(screening.with_classes(fx.sweep(spark)), fx.CHUNKS)
+    return triggers.coverage(screening.with_classes(fx.sweep(spark, folder=d)), fx.CHUNKS)
 
 
 # Parameters and corpus checks
 
-PARAM_ROWS = [("rule.a", "lakeM", 30.0, None), ("rule.b", "lakeM", 31.0, None), ("error.a", "uncertaintyM", 20.0, 5.0), ("hydro.a", "P_mm", 60.125, 24.0), ("hydro.a", "C_pre", 0.3, None), ("rule.b", "drainM", 25.0, None)]
-PARAM_SQL = "p(id, key, v, pm) AS (VALUES " + ", ".join(f"('{i}', '{k}', {v}::DOUBLE, {'NULL' if pm is None else pm}::DOUBLE)" for i, k, v, pm in PARAM_ROWS) + ")"
+#: A parameter for each part: the first few are ones that have to be there, two parts in a row share a key.
+PARAM_KEY = "CASE p_partkey " + " ".join(f"WHEN {3 * i} THEN '{k}'" for i, k in enumerate(quality.REQUIRED_PARAMETERS[:12])) + " ELSE concat('k', CAST(floor(p_partkey / 2) AS BIGINT)) END"
+PARAM_SQL = f"p AS (SELECT concat('rule.p', p_partkey) AS id, {PARAM_KEY} AS key, CAST(p_size AS DOUBLE) AS v, p_partkey AS p FROM part)"
 
 
-def _parameters(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(PARAM_ROWS, "id string, key string, v double, pm double")
+def _parameters(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "part").selectExpr("concat('rule.p', p_partkey) AS id", f"{PARAM_KEY} AS key", "CAST(p_size AS DOUBLE) AS v", "p_partkey AS p")
 
 
 @query(f"WITH {PARAM_SQL} SELECT key, count(*) AS declared, min(id) AS kept FROM p GROUP BY key HAVING count(*) > 1")
 def param_uniqueness(spark, d):
-    chunks = _parameters(spark).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("v").alias("spec")))).alias("asserts"))
-    return quality.repeated_parameters(chunks)
+    return quality.repeated_parameters(_parameters(spark, d).select("id", F.create_map("key", F.struct("v")).alias("asserts")))
 
 
-@query(f"WITH {PARAM_SQL}, o(key, v) AS (VALUES ('lakeM', 30.0::DOUBLE), ('uncertaintyM', 15.0), ('P_mm', 60.125)) SELECT p.key, p.v AS one, o.v AS two FROM p JOIN o USING (key) WHERE p.v <> o.v")
+@query(
+    f"""WITH {PARAM_SQL}, o AS (SELECT key, v + CASE WHEN p % 7 = 0 THEN 0.5 ELSE 0 END AS v FROM p WHERE p % 2 = 1)
+SELECT p.key, p.v AS one, o.v AS two FROM p JOIN o USING (key) WHERE p.v <> o.v"""
+)
 def param_drift(spark, d):
-    other = spark.createDataFrame([("lake", 30.0), ("uncertaintyM", 15.0), ("P_mm", 60.125)], "key string, v double")
-    aliases = spark.createDataFrame([("lake", "lakeM")], "alias string, key string")
-    return quality.drift(_parameters(spark), other, aliases)
+    """The odd parts' copy of the values, a third of them under another name, against all."""
+    odd = _parameters(spark, d).where("p % 2 = 1")
+    other = odd.selectExpr("CASE WHEN p % 3 = 0 THEN concat('also ', key) ELSE key END AS key", "v + CASE WHEN p % 7 = 0 THEN 0.5D ELSE 0D END AS v")
+    aliases = odd.where("p % 3 = 0").selectExpr("concat('also ', key) AS alias", "key")
+    return quality.drift(_parameters(spark, d), other, aliases)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}')" for k in sorted(quality.REQUIRED_PARAMETERS) if k not in ("uncertaintyM", "P_mm", "C_pre")) + ") AS v(key)")
+@query(f"WITH {PARAM_SQL} SELECT key FROM (VALUES {', '.join(f'({k!r})' for k in quality.REQUIRED_PARAMETERS)}) AS v(key) WHERE key NOT IN (SELECT key FROM p)")
 def missing_parameters(spark, d):
-    return quality.missing_parameters(_parameters(spark))
+    return quality.missing_parameters(_parameters(spark, d))
 
 
 MEASURED_SQL = "m AS (SELECT 'p' || p_partkey AS key, p_retailprice * pow(10.0::DOUBLE, p_partkey % 7 - 5) AS v, (1 + p_size) / 10.0::DOUBLE AS pm FROM part)"

@@ -14,7 +14,7 @@ from tarnwright.plans.catalogue import CLASSED_SQL, IMG_SQL, LAYER_SQL, TRACE_SQ
 from tarnwright.sources import corpus, manifest, sinks, tables
 from tarnwright.sources.tables import read
 
-CORPUS = fx.corpus_sql()
+CORPUS = fx.PARTS_SQL
 HAS_ALL = fx.key_sql("asserts")
 
 
@@ -26,16 +26,17 @@ HAS_ALL = fx.key_sql("asserts")
 CAST(coalesce(len(json_keys(nullif({HAS_ALL}, ''))), 0) AS INTEGER) AS asserts, {fx.key_sql('always')} = 'true' AS always, CAST(len(regexp_extract_all(body, '([A-Za-z0-9''’‐-―-]+)')) AS INTEGER) AS words FROM halves"""
 )
 def corpus_chunks(spark, d):
-    rows = fx.corpus_table(spark).where(F.size("errors") == 0)
+    rows = corpus.parse_chunks(fx.part_files(spark, d))
     return rows.select("id", "kind", "authority", F.size("tags").alias("tags"), F.size("asserts").alias("asserts"), "always", text.word_count("body").alias("words"))
 
 
 @query(
-    f"""WITH {CORPUS}, a AS (SELECT {fx.key_sql('id')} AS chunk_id, {HAS_ALL} AS a FROM halves WHERE {HAS_ALL} <> ''), k AS (SELECT chunk_id, a, unnest(json_keys(a)) AS key FROM a)
-SELECT key, CAST(json_extract(a, '$.' || key || '.v') AS DOUBLE) AS v, json_extract_string(a, '$.' || key || '.u') AS unit, CAST(json_extract(a, '$.' || key || '.pm') AS DOUBLE) AS pm, chunk_id FROM k"""
+    f"""WITH {CORPUS}, a AS (SELECT {fx.key_sql('id')} AS chunk_id, {HAS_ALL} AS a FROM halves WHERE {HAS_ALL} <> ''), k AS (SELECT chunk_id, a, unnest(json_keys(a)) AS key FROM a),
+f AS (SELECT key, min(chunk_id) AS chunk_id, arg_min(a, chunk_id) AS a FROM k GROUP BY key)
+SELECT key, CAST(json_extract(a, '$.' || key || '.v') AS DOUBLE) AS v, json_extract_string(a, '$.' || key || '.u') AS unit, CAST(json_extract(a, '$.' || key || '.pm') AS DOUBLE) AS pm, chunk_id FROM f"""
 )
 def corpus_parameters(spark, d):
-    return corpus.parameters(fx.corpus_table(spark)).select("key", "v", "unit", "pm", "chunk_id")
+    return corpus.parameters(corpus.parse_chunks(fx.part_files(spark, d))).select("key", "v", "unit", "pm", "chunk_id")
 
 
 JSON_TEXT = r"""replace(replace(replace(text, chr(10), ' '), '\', '\\'), '"', '\"')"""
@@ -62,13 +63,13 @@ def _authored() -> list[triggers.Chunk]:
 
 
 AUTHORED = _authored()
-SWEPT_SQL = f"{fx.sweep_sql()}, k AS (SELECT *, CASE WHEN distHistoric = 0 THEN 2010 END AS lastWaterYear FROM ({fx.classes_sql('sweep')}))"
+SWEPT_SQL = f"{fx.sweep_sql(table='lineitem')}, k AS (SELECT *, CASE WHEN distHistoric = 0 THEN 2010 END AS lastWaterYear FROM ({fx.classes_sql('sweep')}))"
 
 
-def _swept(spark):
+def _swept(spark, d):
     """The grid's records with classes, and what else a record has."""
     more = {"lastWaterYear": F.when(F.col("distHistoric") == 0, 2010), "upaKm2": F.lit(None).cast("double"), "runoffDisplacedM3": F.lit(30.0), "codes": F.array().cast("array<string>")}
-    return screening.with_classes(fx.sweep(spark)).withColumns(more)
+    return screening.with_classes(fx.sweep(spark, folder=d)).withColumns(more)
 
 
 def _either(chunks, *kinds: str) -> str:
@@ -85,7 +86,7 @@ SELECT count(*) AS records, CAST(min(n) AS INTEGER) AS least, CAST(max(n) AS INT
 count(*) FILTER (NOT coalesce({_either(AUTHORED, 'error', 'limit')}, false)) AS no_limit, count(*) FILTER (intent = 'flood' AND NOT ({_either([c for c in AUTHORED if c.id == 'refusal.not-a-flood-predictor'])})) AS no_refusal FROM n"""
 )
 def corpus_sweep(spark, d):
-    return triggers.coverage(_swept(spark), _compiled(spark))
+    return triggers.coverage(_swept(spark, d), _compiled(spark))
 
 
 #: A part of the knowledge that leaves holes.
@@ -98,7 +99,7 @@ p AS (SELECT record, CASE WHEN n < 3 THEN 'too few' WHEN NOT coalesce({_either(H
 UNION ALL SELECT record, 'no refusal' FROM n WHERE intent = 'flood') SELECT record, problem FROM p WHERE problem IS NOT NULL ORDER BY record, problem LIMIT 6"""
 )
 def coverage_problems(spark, d):
-    return triggers.problems(_swept(spark), [c for c in _compiled(spark) if c.id in {h.id for h in HOLED}], "record")
+    return triggers.problems(_swept(spark, d), [c for c in _compiled(spark) if c.id in {h.id for h in HOLED}], "record")
 
 
 SITES_SQL = f"{CLASSED_SQL}, s AS (SELECT *, true AS hasBuildings, 'consequence' AS intent, 'REFER' AS verdict, CASE WHEN occurrence > 5 THEN 1990 + occurrence % 30 END AS lastWaterYear FROM classed)"
@@ -130,11 +131,14 @@ def trigger_types(spark, d):
     return rows.select("site_id", F.explode(held).alias("condition"))
 
 
-@query("SELECT chunk_id, field FROM (VALUES ('limit.fields', 'weather')) AS v(chunk_id, field)")
+@query(
+    f"""WITH {CORPUS}, t AS (SELECT {fx.key_sql('id')} AS chunk_id, {fx.key_sql('when')} AS w FROM halves WHERE NOT regexp_matches(head, '(?m)^no colon'))
+SELECT chunk_id, json_extract_string(w, '$[0][0]') AS field FROM t
+WHERE json_extract_string(w, '$[0][1]') IN ('eq', 'ne', 'lt', 'lte', 'gt', 'gte', 'in', 'between', 'isnull', 'notnull') AND json_extract_string(w, '$[0][0]') <> 'handM'"""
+)
 def trigger_fields(spark, d):
-    known = _sites(spark, d).columns
-    chunks = [*_compiled(spark), *corpus.compiled(fx.corpus_table(spark, fx.DAMAGED_FILES))[0]]
-    return triggers.field_faults(spark, chunks, spark.createDataFrame([(c,) for c in known], "field string"))
+    conditions = corpus.trigger_rows(corpus.parse_chunks(fx.part_files(spark, d)))
+    return triggers.unknown_of(conditions, spark.createDataFrame([(c,) for c in _sites(spark, d).columns], "field string"))
 
 
 def _inventory(spark):
@@ -144,20 +148,31 @@ def _inventory(spark):
     return spark.createDataFrame(rows, "path string, lines int")
 
 
-#: What the damaged files are to be caught with.
-CAUGHT = [
-    ("parsing", "corpus/rule/unread.md", "no key and value: no colon here"), ("parsing", "corpus/rule/unread.md", "asserts is no JSON"), ("parsing", "corpus/rule/unread.md", "always is neither true nor false"),
-    ("triggers", "corpus/limit/trigger.md", "no condition: ['handM', 'like', 1]"), ("fields", "limit.fields", "no such field: weather"), ("chunks", "rule.unread", "unknown authority"), ("chunks", "error.exact", "too long"),
-    ("numbers", "rule.twice", "undeclared: 32"), ("provenance", "limit.fields", "no link"), ("provenance", "error.exact", "no such file"), ("parameters", "lakeM_state", "declared 2 times"),
-    ("precision", "depthM", "more digits than its uncertainty supports"),
-]
-
-
-@query('SELECT * FROM (VALUES ' + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in r) + ")" for r in CAUGHT) + ') AS v("check", id, problem)')
+#: The faults that part's files have, by the remainders that put them there.
+REPORT_SQL = f"""q AS (SELECT p_partkey AS p, p_size, {fx.PART_ID} AS id, {fx.PART_FILE} AS file, {fx.PART_AUTHORITY} AS authority, {fx.PART_KEY} AS key, {fx.PART_FIELD} AS field FROM part),
+a AS (SELECT key, count(*) AS n, arg_min(p, id) AS first FROM q WHERE p % 3 = 0 GROUP BY key),
+src AS (SELECT 'src/' || s_suppkey || '.py' AS path, s_suppkey * 5 AS lines FROM supplier),
+faults("check", id, problem) AS (
+  SELECT 'parsing', file, 'no key and value: no colon here' FROM q WHERE p % 53 = 9
+  UNION ALL SELECT 'triggers', file, 'no condition: [' || chr(39) || field || chr(39) || ', ' || chr(39) || 'like' || chr(39) || ', ' || p % 13 || ']' FROM q WHERE p % 31 = 7 AND p % 53 <> 9
+  UNION ALL SELECT 'fields', id, 'no such field: weather' FROM q WHERE p % 41 = 7 AND p % 31 <> 7 AND p % 53 <> 9
+  UNION ALL SELECT 'chunks', id, 'unknown authority' FROM q WHERE authority = 'hearsay'
+  UNION ALL SELECT 'chunks', id, 'too long' FROM q WHERE p % 59 = 9
+  UNION ALL SELECT 'numbers', id, 'undeclared: 4321' FROM q WHERE p % 43 = 0
+  UNION ALL SELECT 'provenance', id, 'no link' FROM q WHERE authority = 'statute'
+  UNION ALL SELECT 'provenance', id, CASE WHEN lines IS NULL THEN 'no such file' ELSE 'line beyond the end' END
+    FROM q LEFT JOIN src ON path = 'src/' || p % 13 || '.py' WHERE authority = 'repo-derived' AND NOT coalesce(p_size <= lines, false)
+  UNION ALL SELECT 'parameters', key, 'declared ' || n || ' times' FROM a WHERE n > 1
+  UNION ALL SELECT 'parameters', key, 'missing' FROM (VALUES {', '.join(f'({k!r})' for k in quality.REQUIRED_PARAMETERS)}) AS v(key) WHERE key NOT IN (SELECT key FROM a)
+  UNION ALL SELECT 'precision', key, 'more digits than its uncertainty supports' FROM a WHERE first % 21 = 3)"""
+
+
+@query(f'WITH {REPORT_SQL} SELECT "check", id, problem FROM faults')
 def corpus_report(spark, d):
-    """The knowledge that comes with the package has no fault; the damaged files beside it have those listed."""
-    chunks = fx.corpus_table(spark, fx.corpus_files() + fx.DAMAGED_FILES)
-    return quality.corpus_report(chunks, _sites(spark, d).columns, _inventory(spark))
+    """A body of knowledge with a file for each part, held against the suppliers' sources: every fault is told, and no other."""
+    chunks = tables.kept(corpus.parse_chunks(fx.part_files(spark, d)), "knowledge")
+    sources = read(spark, d, "supplier").selectExpr("concat('src/', s_suppkey, '.py') AS path", "CAST(s_suppkey * 5 AS INT) AS lines")
+    return quality.corpus_report(chunks, _sites(spark, d).columns, sources)
 
 
 PAGE_NUMBERS = r"regexp_extract_all(coalesce({}, ''), '(\d+(?:\.\d+)*)', 1)"
@@ -312,9 +327,15 @@ h AS (SELECT seed, block FROM (SELECT s.range AS seed, b.range AS block, row_num
 sc AS (SELECT seed, sum(tp) / nullif(sum(tp + wrong), 0) AS pooled_iou, median(CASE WHEN n >= 100 AND water > 0 THEN tp / nullif(tp + wrong, 0) END) AS median_block_iou FROM bc JOIN h USING (block) GROUP BY seed)"""
 
 
-@query(f"WITH {SPREAD_SQL} SELECT CAST(seed AS INTEGER) AS seed, CAST(block AS INTEGER) AS block FROM h")
+@query(
+    """WITH b AS (SELECT DISTINCT o_orderkey // 512 AS block FROM orders), r AS (
+  SELECT s.range AS seed, block, row_number() OVER (PARTITION BY s.range ORDER BY md5(s.range || ':' || block), block) AS k FROM b, range(6) s)
+SELECT CAST(seed AS INTEGER) AS seed, block FROM r WHERE k <= 8"""
+)
 def held_out_blocks(spark, d):
-    return stats.hold_out(spark, 24, 8, list(range(6)))
+    """Eight lines of the picture for each seed, of all that have a pixel."""
+    blocks = read(spark, d, "orders").selectExpr("o_orderkey DIV 512 AS block").distinct()
+    return stats.hold_out_of(blocks, "block", 8, list(range(6)))
 
 
 @query(
@@ -369,9 +390,11 @@ def retention_shortfall(spark, d):
     return classed(spark, d).select("site_id", classes.shortfall(F.col("plotM") * 0.25, stored).alias("missing"))
 
 
-@query("SELECT round(sqrt(15 * 15 + 7 * 7 + 6 * 6), 6) AS metres")
+@query(f"WITH {CLASSED_SQL} SELECT site_id, round(sqrt(15 * 15 + 7 * 7 + 6 * 6 + handM * handM), 6) AS metres FROM classed")
 def error_budget(spark, d):
-    return spark.range(1).select(F.round(F.lit(classes.error_budget()), 6).alias("metres"))
+    """The fixed terms and a site's own."""
+    terms = [*map(F.lit, classes.ERROR_TERMS), F.col("handM")]
+    return classed(spark, d).select("site_id", F.round(classes.error_of(*terms), 6).alias("metres"))
 
 
 ASKED = """CASE conv_id % 7 WHEN 0 THEN '{"pack":{},"contract":1,"tool":"t"}' WHEN 1 THEN '{"pack":{},"tool":"t"}' WHEN 2 THEN 'not json' WHEN 3 THEN '' WHEN 4 THEN '{"contract":1,"tool":null}' WHEN 5 THEN '{"pack":null,"contract":1,"tool":2}' ELSE {} END"""

@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarnwright.operators.quality import REQUIRED_PARAMETERS
 from tarnwright.operators.triggers import Chunk
 from tarnwright.sources import corpus
 from tarnwright.sources.tables import read
@@ -71,22 +72,37 @@ GRID = {
 }
 
 
-def sweep(spark: SparkSession, grid: dict[str, list] = GRID) -> DataFrame:
-    """The product of the grid's values (and record, its number), as one narrow pass over a range: no join."""
+#: Which of the grid's records a row of `lineitem` is: its number, scattered by a prime, so that all fields vary from the start.
+RECORD, SCATTER = "(l_orderkey * 8 + l_linenumber)", 7919
+
+
+def sweep(spark: SparkSession, grid: dict[str, list] = GRID, folder: str | None = None) -> DataFrame:
+    """The product of the grid's values (and record, its number), as one narrow pass over a range: no join.
+
+    With a folder, a record of the grid for each row of `lineitem` there, so that the sweep grows with the tables.
+    """
     size = 1
-    columns = {"record": F.col("id")}
+    if folder is not None:
+        ids = read(spark, folder, "lineitem").selectExpr(f"{RECORD} AS record", f"{RECORD} * {SCATTER} AS id")
+        columns = {"record": F.col("record")}
+    else:
+        columns = {"record": F.col("id")}
+        ids = None
     for name, values in grid.items():
         columns[name] = F.get(F.array(*map(F.lit, values)), (F.expr(f"(id DIV {size}) % {len(values)}")).cast("int"))
         size *= len(values)
-    return spark.range(size).select(*(c.alias(n) for n, c in columns.items()))
+    return (spark.range(size) if ids is None else ids).select(*(c.alias(n) for n, c in columns.items()))
 
 
-def sweep_sql(grid: dict[str, list] = GRID) -> str:
+def sweep_sql(grid: dict[str, list] = GRID, table: str | None = None) -> str:
     lit = lambda v: f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
-    size, places = 1, []
+    size, places, values = 1, [], []
     for k, v in grid.items():
         places.append(f"(list_position([{', '.join(map(lit, v))}], {k}) - 1) * {size}")
+        values.append(f"[{', '.join(map(lit, v))}][1 + ({RECORD} * {SCATTER}) // {size} % {len(v)}] AS {k}")
         size *= len(v)
+    if table is not None:
+        return f"sweep AS (SELECT {RECORD} AS record, {', '.join(values)} FROM {table})"
     return f"sweep AS (SELECT *, {' + '.join(places)} AS record FROM " + ", ".join(f"(SELECT unnest([{', '.join(map(lit, v))}]) AS {k})" for k, v in grid.items()) + ")"
 
 
@@ -166,3 +182,36 @@ def corpus_sql(files: list[tuple[str, str]] | None = None) -> str:
 
 def key_sql(name: str) -> str:
     return f"regexp_extract(head, '(?m)^{name}: *(.*)$', 1)"
+
+
+#: A file of knowledge for each part, some of them with a fault. One text for both engines.
+PART_KIND = "CASE p_partkey % 4 WHEN 0 THEN 'rule' WHEN 1 THEN 'limit' WHEN 2 THEN 'hydro' ELSE 'error' END"
+PART_AUTHORITY = """CASE WHEN p_partkey % 37 = 5 THEN 'hearsay' WHEN p_partkey % 47 = 5 THEN 'statute'
+  WHEN p_partkey % 61 = 5 THEN 'repo-derived' ELSE 'editorial' END"""
+PART_KEY = (
+    "CASE p_partkey " + " ".join(f"WHEN {6 * i} THEN '{k}'" for i, k in enumerate(REQUIRED_PARAMETERS[:12]))
+    + " ELSE concat('k', CAST(floor(p_partkey / 6) AS BIGINT)) END"
+)
+PART_NUMBER = "concat(p_size, CASE WHEN p_partkey % 21 = 3 THEN '.1234' ELSE '' END)"
+PART_FIELD = "CASE WHEN p_partkey % 41 = 7 THEN 'weather' ELSE 'handM' END"
+PART_FILE = f"concat('corpus/', {PART_KIND}, '/p', p_partkey, '.md')"
+PART_ID = f"concat({PART_KIND}, '.p', p_partkey)"
+PART_TEXT = f"""concat('id: ', {PART_ID}, chr(10), 'title: ', p_name, chr(10), 'kind: ', {PART_KIND}, chr(10),
+  'authority: ', {PART_AUTHORITY}, chr(10), 'tags: ["', p_brand, '", "', p_type, '"]', chr(10),
+  CASE WHEN p_partkey % 61 = 5 THEN concat('repo_ref: src/', p_partkey % 13, '.py#L', p_size, chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 3 = 0 THEN concat('asserts: {{"', {PART_KEY}, '": {{"v": ', {PART_NUMBER}, ', "u": "m", "pm": ',
+    CASE WHEN p_partkey % 21 = 3 THEN '1' ELSE '0.5' END, '}}}}', chr(10)) ELSE '' END,
+  'when: [["', {PART_FIELD}, '", "', CASE WHEN p_partkey % 31 = 7 THEN 'like' ELSE 'gte' END, '", ', p_partkey % 13, ']]', chr(10),
+  CASE WHEN p_partkey % 11 = 0 THEN concat('always: true', chr(10)) ELSE '' END,
+  CASE WHEN p_partkey % 53 = 9 THEN concat('no colon here', chr(10)) ELSE '' END, '---', chr(10), 'What is known of a ', p_name,
+  CASE WHEN p_partkey % 3 = 0 THEN concat(': ', {PART_NUMBER}, ' metres') ELSE '' END,
+  CASE WHEN p_partkey % 43 = 0 THEN ' or 4321' ELSE '' END, '.',
+  CASE WHEN p_partkey % 59 = 9 THEN repeat(' word', 121) ELSE '' END, chr(10))"""
+PARTS_SQL = f"""raw AS (SELECT {PART_TEXT} AS value, {PART_FILE} AS file, p_partkey FROM part),
+halves AS (SELECT file, p_partkey, split_part(value, chr(10) || '---' || chr(10), 1) AS head,
+  trim(split_part(value, chr(10) || '---' || chr(10), 2), ' ' || chr(10)) AS body FROM raw)"""
+
+
+def part_files(spark: SparkSession, folder: str) -> DataFrame:
+    """value, file of a body of knowledge that has a file for each part."""
+    return read(spark, folder, "part").selectExpr(f"{PART_TEXT} AS value", f"{PART_FILE} AS file")

@@ -101,9 +101,13 @@ def receiving_ground(spark, d):
     return flow.receiving(_traced(spark, d), fx.cells(spark, d).select("ix", "iy", F.col("upa_code").cast("double").alias("upa")))
 
 
-@query("SELECT range AS lat, round(1e-4::DOUBLE * 111.320::DOUBLE * 1e-4::DOUBLE * 110.574::DOUBLE * 100 * cos(radians(range)), 12) * 1e6 AS square_cm FROM range(90)")
+@query(
+    """WITH c AS (SELECT c_custkey, (c_custkey * 37 % 1700) / 10.0::DOUBLE - 85 AS lat FROM customer)
+SELECT c_custkey, lat, round(1e-4::DOUBLE * 111.320::DOUBLE * 1e-4::DOUBLE * 110.574::DOUBLE * 100 * cos(radians(lat)), 12) * 1e6 AS square_cm FROM c"""
+)
 def pixel_area(spark, d):
-    return spark.range(90).select(F.col("id").alias("lat"), (F.round(geometry.pixel_ha(F.col("id"), 1e-4, 1e-4), 12) * 1e6).alias("square_cm"))
+    rows = read(spark, d, "customer").selectExpr("c_custkey", "(c_custkey * 37 % 1700) / 10D - 85 AS lat")
+    return rows.select("c_custkey", "lat", (F.round(geometry.pixel_ha(F.col("lat"), 1e-4, 1e-4), 12) * 1e6).alias("square_cm"))
 
 
 @query(
