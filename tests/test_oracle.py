@@ -2,7 +2,7 @@
 
 import pytest
 
-from tarnwright.plans import checks, files, metric, more, places, search  # noqa: F401
+from tarnwright.plans import checks, files, metric, more, places, regions, search  # noqa: F401
 from tarnwright.plans.catalogue import ORACLES, QUERIES
 
 from .conftest import DATA
