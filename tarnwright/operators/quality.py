@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -195,14 +197,57 @@ def provenance(chunks: DataFrame, files: DataFrame) -> DataFrame:
 def decimals(value: Column) -> Column:
     """Characters after the point of a number in its shortest form of six figures: 1234.5678 is 1234.57, 2 of them.
 
-    Below 0.0001 and from a million on that form has an exponent, which counts, if there is a point at all. A seventh
-    figure of 5 is rounded up, by the number's shortest decimal form.
+    Below 0.0001 and from a million on that form has an exponent, which counts, if there is a point at all. A number
+    between two such forms goes to the nearer one by its exact binary value, to the even one if it lies in the middle:
+    99999.95 is a little less than it says and becomes 99999.9. (Below 1e-16 and from 1e16 on such a number goes up.)
     """
-    shown = F.format_string("%.5e", value.cast("double"))
-    figures = F.length(F.regexp_replace(F.regexp_replace(F.split_part(shown, F.lit("e"), F.lit(1)), r"[-.]", ""), "0+$", ""))
-    power = F.split_part(shown, F.lit("e"), F.lit(2)).try_cast("int")
-    plain = F.greatest(F.lit(0), figures - 1 - power)
-    return F.when(value == 0, 0).when(power.between(-4, 5), plain).otherwise(F.when(figures > 1, figures - 1 + F.greatest(F.lit(4), F.length(F.abs(power).cast("string")) + 2)).otherwise(0))
+    return _let(value.cast("double"), lambda v: _let(F.struct(v.alias("v"), F.format_string("%.6e", v).alias("seven"), F.format_string("%.5e", v).alias("shown")), _decimals))
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), the value worked out once: as a column used many times it would be written out as often."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def _decimals(n: Column) -> Column:
+    """decimals() of a number v with its forms of seven and six figures."""
+    half = lambda c, at: F.split_part(c, F.lit("e"), F.lit(at))
+    digits = lambda c: F.regexp_replace(half(c, 1), r"[-.]", "")
+    parts = F.struct(
+        n["v"].alias("v"), half(n["seven"], 2).try_cast("int").alias("place"), digits(n["seven"]).try_cast("bigint").alias("whole"),
+        (n["seven"].try_cast("double") == n["v"]).alias("short"), digits(n["shown"]).alias("six"), half(n["shown"], 2).try_cast("int").alias("power"),
+    )
+
+    def told(m: Column) -> Column:
+        between = (m["whole"] % 10 == 5) & m["short"]
+        below = F.floor(m["whole"] / 10)
+        beyond = F.when(between, F.when(m["place"].between(-16, 6), _beyond(m)).when(m["place"].between(7, 15), F.lit(0.0)))
+        down = (beyond < 0) | ((beyond == 0) & (below % 2 == 0))
+        six = F.when(down, below.cast("string")).otherwise(m["six"])
+        figures = F.length(F.regexp_replace(six, "0+$", ""))
+        return F.struct(m["v"].alias("v"), figures.alias("figures"), F.when(down, m["place"]).otherwise(m["power"]).alias("power"))
+
+    def shown(m: Column) -> Column:
+        figures, power = m["figures"], m["power"]
+        plain = F.greatest(F.lit(0), figures - 1 - power)
+        long = F.when(figures > 1, figures - 1 + F.greatest(F.lit(4), F.length(F.abs(power).cast("string")) + 2)).otherwise(0)
+        return F.when(m["v"] == 0, 0).when(power.between(-4, 5), plain).otherwise(long)
+
+    return _let(parts, lambda m: _let(told(m), shown))
+
+
+def _beyond(m: Column) -> Column:
+    """How far a number v is above the seven figures (whole, place) that it says, by sign: the product with a power of
+    ten as the sum of two doubles, so without an error."""
+    split = lambda v: 134217729.0 * v - (134217729.0 * v - v)
+
+    def product(t: Column) -> Column:
+        x, c, xh, ch = t["x"], t["c"], t["xh"], t["ch"]
+        xl, cl = x - xh, c - ch
+        return (x * c - m["whole"]) + (((xh * ch - x * c) + xh * cl + xl * ch) + xl * cl)
+
+    x, c = F.abs(m["v"]), F.concat(F.lit("1e"), 6 - m["place"]).try_cast("double")
+    return _let(F.struct(x.alias("x"), c.alias("c"), split(x).alias("xh"), split(c).alias("ch")), product)
 
 
 def overprecise(parameters: DataFrame) -> DataFrame:

@@ -532,6 +532,19 @@ def shown_decimals(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", quality.decimals(F.col("l_extendedprice") * 2**0.5 * F.pow(F.lit(10.0), F.col("l_orderkey") % 13 - 8)).alias("decimals"))
 
 
+#: Numbers of seven figures that end in 5, as near as a double comes.
+TIE, TENS = "(1000005 + l_orderkey * 7919 % 900000 * 10)", [f"1e{k}" for k in range(18)]
+
+
+@query(
+    f"""SELECT l_orderkey, l_linenumber, CAST(length(split_part(printf('%g', {TIE} / [{", ".join(f"{k}::DOUBLE" for k in TENS)}][1 + (l_orderkey + l_linenumber) % 18]), '.', 2)) AS INTEGER) AS decimals
+FROM lineitem"""
+)
+def shown_decimals_of_ties(spark, d):
+    tie = F.expr(f"{TIE} / get(array({', '.join(f'CAST({k} AS DOUBLE)' for k in TENS)}), CAST((l_orderkey + l_linenumber) % 18 AS INT))")
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", quality.decimals(tie).alias("decimals"))
+
+
 # Grids, histograms, scores
 
 

@@ -502,3 +502,16 @@ def test_terminals_name_cycles(spark):
     assert all(got[x, y] == (0, 10, True) for x, y, _, _ in ring)
     assert got[50, 50] == (50, 50, False) and got[51, 50] == (51, 50, False)
     assert flow.terminals(cells.where("false")).count() == 0
+
+
+def test_decimals_in_the_middle(spark):
+    """Seven figures that end in 5 go where their binary value lies, as the C library shows them."""
+    import random
+
+    rng = random.Random(11)
+    values = [99999.95, 0.00012345675, 1234565.0, 1234575.0, 2.000005, 9.999995, 0.5, 1.5, -99999.95, 1000005e9, 999999.5]
+    values += [float(f"{rng.randrange(100_000, 1_000_000)}5e{rng.randrange(-15, 9)}") for _ in range(3000)]
+    values += [x / 2**k for k in range(1, 12) for x in (2000001, 1000003, 1234567)]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = {r.i: r.n for r in rows.select("i", quality.decimals(F.col("v")).alias("n")).collect()}
+    assert {i: len((f"{v:g}".split(".") + [""])[1]) for i, v in enumerate(values)} == got
