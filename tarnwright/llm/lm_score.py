@@ -11,8 +11,10 @@ is missing, so a count is overestimated by a level with the filter's false-posit
 The filter has no bound. n-grams are dealt by hash into groups, one to GROUP_BYTES of text, and a group's into
 SEGMENTS segments; the task that has a group counts its n-grams and makes its segments, each of a size that follows
 what is entered. If all segments together have at most BROADCAST_BYTES, they are broadcast and each document's
-n-grams are probed where the document is. Beyond that, documents go in blocks, which send each group the n-grams they
-have, once, and get levels back; the answers are the same bit for bit (tested). A token's probability is
+n-grams are probed where the document is. Beyond that, all documents go in blocks, which send each group the n-grams
+they have, once, with their training counts; the task that has the group makes its segments of them, probes each n-gram
+once for all blocks and sends every block the levels it asked for. The answers are the same bit for bit (tested). Texts
+of more than TEXTS_A_FILTER times BROADCAST_BYTES go this way at once. A token's probability is
 
     p(w | h) = (c(h, w) + PRIOR * p(w)) / (c(h) + PRIOR),    p(w) = (c(w) + 0.1) / (N + 0.1 * (V + 1))
 
@@ -44,8 +46,8 @@ from .common import hold, map_batches, materialise, utf8
 FOLDS = 10
 #: Bits of the filter a stored level, probes a level, bits of a line (all probes of a level are in one), segments a group.
 BITS_A_LEVEL, PROBES, LINE, SEGMENTS = 8, 5, 512, 32
-#: The greatest filter that is broadcast; larger ones are asked by group.
-BROADCAST_BYTES = 1 << 27
+#: The greatest filter that is broadcast; larger ones answer by group. Texts of so many times its bytes are not tried.
+BROADCAST_BYTES, TEXTS_A_FILTER = 1 << 27, 8
 #: Words with exact counts that are broadcast (16 bytes each).
 MOST_WORDS = 1 << 20
 RATIO = 1.5
@@ -183,6 +185,17 @@ def _blocks(raw: list[bytes]) -> Iterator[tuple[int, int]]:
     return zip([0, *ends], ends, strict=False)
 
 
+def _by_group(key: np.ndarray, n: np.ndarray, groups: int) -> dict[str, object]:
+    """Ascending keys and their counts, a row a group that has any."""
+    first, many = _runs(part_of(key, groups))
+    parts = list(zip(first.tolist(), (first + many).tolist(), strict=True))
+    return {
+        "group": part_of(key[first], groups),
+        "keys": [packed(key[a:b]) for a, b in parts],
+        "counts": [n[a:b].astype(np.uint8 if n[a:b].max() < 256 else np.uint32).tobytes() for a, b in parts],
+    }
+
+
 def told(docs: DataFrame, groups: int) -> DataFrame:
     """group, keys, counts: the n-grams of training documents, counted by block; a row a block and group."""
 
@@ -194,15 +207,7 @@ def told(docs: DataFrame, groups: int) -> DataFrame:
             held.clear()
             key.sort()
             first, n = _runs(key)
-            key = key[first]
-            first, many = _runs(part_of(key, groups))
-            ends = (first + many).tolist()
-            parts = list(zip(first.tolist(), ends, strict=True))
-            return {
-                "group": part_of(key[first], groups),
-                "keys": [packed(key[a:b]) for a, b in parts],
-                "counts": [n[a:b].astype(np.uint8 if n[a:b].max() < 256 else np.uint32).tobytes() for a, b in parts],
-            }
+            return _by_group(key[first], n, groups)
 
         def each(batch: pa.RecordBatch | None) -> Iterator[dict[str, object]]:
             for text in utf8(batch) if batch is not None else ():
@@ -289,6 +294,50 @@ def _streamed(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[int
     return groupby(rows(), key=lambda r: r[key])
 
 
+class Group:
+    """A group's n-grams from rows keys, counts (others are kept), and its segments one by one."""
+
+    def __init__(self, group: int, groups: int, rows: Iterator[dict], bits: int) -> None:
+        self.bits, self.first, self.key, self.n, self.rest = bits, group * SEGMENTS, [], [], []
+        for r in rows:
+            self.key.append(unpacked(r.pop("keys")))
+            counts = r.pop("counts")
+            self.n.append(np.frombuffer(counts, np.uint8 if len(counts) == len(self.key[-1]) else np.uint32))
+            self.rest.append(r)
+        edges = np.array([(-(-(i << 32) // (groups * SEGMENTS))) << 24 for i in range(self.first, self.first + SEGMENTS + 1)], np.uint64)
+        self.cut = [np.searchsorted(k, edges) for k in self.key]
+
+    def segments(self) -> Iterator[tuple[int, Filter, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each segment its place in the group, filter, keys, counts, how often each key is in the rows, and in which order
+        they are there: sorted position by position, row after row."""
+        for s in range(SEGMENTS):
+            k = np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(self.key, self.cut, strict=True)])
+            if not len(k):
+                continue
+            order = np.argsort(k, kind="stable")
+            k = k[order]
+            start, many = _runs(k)
+            total = np.add.reduceat(np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(self.n, self.cut, strict=True)])[order].astype(np.int64), start)
+            k = k[start]
+            own = Filter(np.array([Filter.lines_for(total, self.bits)]))
+            own.enter(k, total, np.zeros(len(k), np.int64))
+            yield s, own, k, total, many, order
+
+    def levels(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Makes the segments and answers all rows, in `answers`; gives the keys and counts of training words."""
+        self.answers = [np.empty(len(k), np.uint8) for k in self.key]
+        for s, own, k, total, many, order in self.segments():
+            found = np.empty(len(order), np.uint8)
+            found[order] = np.repeat(own.levels(k, np.zeros(len(k), np.int64)), many)
+            at = 0
+            for out, c in zip(self.answers, self.cut, strict=True):
+                size = int(c[s + 1] - c[s])
+                out[c[s] : c[s + 1]] = found[at : at + size]
+                at += size
+            words = (k & _KINDS == 0) & (total > 0)
+            yield k[words], total[words]
+
+
 BUILT = pa.schema([("segment", pa.int64()), ("lines", pa.int64()), ("bits", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -298,31 +347,17 @@ def built(parts: DataFrame, groups: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
         for group, rows in _streamed(batches, "group"):
-            key, n = [], []
-            for r in rows:
-                key.append(unpacked(r["keys"]))
-                n.append(np.frombuffer(r["counts"], np.uint8 if len(r["counts"]) == len(key[-1]) else np.uint32))
-            first = group * SEGMENTS
-            edges = np.array([(-(-(i << 32) // (groups * SEGMENTS))) << 24 for i in range(first, first + SEGMENTS + 1)], np.uint64)
-            cut = [np.searchsorted(k, edges) for k in key]
-            for s in range(SEGMENTS):
-                k = np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(key, cut, strict=True)])
-                if not len(k):
-                    continue
-                order = np.argsort(k, kind="stable")
-                k = k[order]
-                start, _ = _runs(k)
-                total = np.add.reduceat(np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(n, cut, strict=True)])[order].astype(np.int64), start)
-                k = k[start]
-                own = Filter(np.array([Filter.lines_for(total, BITS_A_LEVEL)]))
-                own.enter(k, total, np.zeros(len(k), np.int64))
-                yield _batch(BUILT, segment=[first + s], lines=[int(own.lines[0])], bits=[own.bits.tobytes()])
+            for s, own, k, total, _, _ in Group(group, groups, rows, BITS_A_LEVEL).segments():
+                yield _batch(BUILT, segment=[group * SEGMENTS + s], lines=[int(own.lines[0])], bits=[own.bits.tobytes()])
                 words = k & _KINDS == 0
                 if words.any():
                     yield _batch(BUILT, key=k[words].view(np.int64), n=total[words])
 
-    dealt = parts.repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group")
-    return dealt.mapInArrow(run, "segment bigint, lines bigint, bits binary, key bigint, n bigint")
+    return _dealt(parts, groups, "group").mapInArrow(run, "segment bigint, lines bigint, bits binary, key bigint, n bigint")
+
+
+def _dealt(parts: DataFrame, groups: int, *order: str) -> DataFrame:
+    return parts.repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions(*order)
 
 
 def whole_filter(rows: pa.Table, segments: int) -> Filter:
@@ -427,48 +462,55 @@ def _of_block(docs: bytes) -> tuple[np.ndarray, np.ndarray, dict[str, list]]:
 
 
 def asking(stored: DataFrame, groups: int) -> DataFrame:
-    """block, group, keys: the n-grams that a block has of a group, once each."""
+    """block, group, keys, counts: the n-grams that a block has of a group, once each, with their counts in training documents."""
 
     def make():
         def each(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             for block, docs in zip(batch.column("block").to_pylist(), batch.column("docs"), strict=True):
-                key = np.unique(np.concatenate(keys(_of_block(docs.as_buffer())[0])))
-                first, many = _runs(part_of(key, groups))
-                yield {"block": [block] * len(first), "group": part_of(key[first], groups), "keys": [packed(key[a : a + m]) for a, m in zip(first.tolist(), many.tolist(), strict=True)]}
+                words, length, rest = _of_block(docs.as_buffer())
+                trained = np.repeat(~np.array(rest["held_out"], bool), length).astype(np.uint64)
+                key = np.concatenate([k << np.uint64(1) | trained for k in keys(words)])  # 57 bits: the last tells training
+                key.sort()
+                trained = (key & np.uint64(1)).astype(np.int64)
+                key >>= np.uint64(1)
+                first, _ = _runs(key)
+                made = _by_group(key[first], np.add.reduceat(trained, first), groups)
+                yield {"block": [block] * len(made["group"])} | made
 
         return each
 
-    return map_batches(stored, make, "block bigint, group bigint, keys binary")
+    return map_batches(stored, make, "block bigint, group bigint, keys binary, counts binary")
+
+
+ANSWERED = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("levels", pa.binary()), ("key", pa.int64()), ("n", pa.int64())])
+#: Answers that are handed on at once.
+_ANSWERS = 64
 
 
-def scored_by_group(rows: DataFrame, filter_rows: DataFrame, groups: int, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> DataFrame:
-    """The same scores with the filter where it was made: groups answer what blocks ask."""
-    stored = materialise(blocked(rows), "blocks", "zstd")
-    answer = pa.schema([("block", pa.int64()), ("group", pa.int64()), ("levels", pa.binary()), ("docs", pa.binary())])
+def answered(asks: DataFrame, groups: int) -> DataFrame:
+    """A row (block, group, levels) for each row asked, and a row (key, n) a training word. The filter stays in its tasks."""
 
-    def answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hold()
-        for group, some in _streamed(batches, "group"):
-            parts, own = [], None
-            for r in some:
-                if r["bits"] is not None:  # a group's filter comes before what is asked
-                    parts.append(r)
-                    continue
-                if own is None:
-                    table = pa.Table.from_pylist([{"segment": x["segment"] - group * SEGMENTS, "lines": x["lines"], "bits": x["bits"]} for x in parts], schema=pa.schema([("segment", pa.int64()), ("lines", pa.int64()), ("bits", pa.binary())]))
-                    own, parts = whole_filter(table, SEGMENTS), []
-                key = unpacked(r["keys"])
-                levels = own.levels(key, part_of(key, groups * SEGMENTS) - group * SEGMENTS)
-                yield _batch(answer, block=[r["block"]], group=[group], levels=[levels.tobytes()])
+        for group, rows in _streamed(batches, "group"):
+            own = Group(group, groups, rows, BITS_A_LEVEL)
+            for key, n in own.levels():
+                if len(key):
+                    yield _batch(ANSWERED, key=key.view(np.int64), n=n)
+            blocks = [r["block"] for r in own.rest]
+            for at in range(0, len(blocks), _ANSWERS):
+                some = blocks[at : at + _ANSWERS]
+                yield _batch(ANSWERED, block=some, group=[group] * len(some), levels=[x.tobytes() for x in own.answers[at : at + _ANSWERS]])
 
+    return _dealt(asks, groups, "group").mapInArrow(run, "block bigint, group bigint, levels binary, key bigint, n bigint")
+
+
+def scored_by_group(stored: DataFrame, answers: DataFrame, groups: int, frequent: tuple[np.ndarray, np.ndarray], total: int, distinct: int) -> DataFrame:
+    """The same scores with the levels that groups have answered to blocks."""
     nothing = lambda name, kind: F.lit(None).cast(kind).alias(name)
-    asks = asking(stored, groups).select("block", "group", "keys", nothing("segment", "bigint"), nothing("lines", "bigint"), nothing("bits", "binary"))
-    filters = filter_rows.select(F.lit(-1).cast("bigint").alias("block"), F.expr(f"segment div {SEGMENTS}").alias("group"), nothing("keys", "binary"), "segment", "lines", "bits")
-    met = filters.unionByName(asks).repartitionById(groups, F.col("group").cast("int")).sortWithinPartitions("group", "block")
-    found = met.mapInArrow(answers, "block bigint, group bigint, levels binary, docs binary")
     # after all groups' answers comes what the block is
-    back = found.unionByName(stored.select("block", F.lit(groups).cast("bigint").alias("group"), nothing("levels", "binary"), "docs"))
-    sent = rows.sparkSession.sparkContext.broadcast(frequent)
+    back = answers.withColumn("docs", nothing("docs", "binary")).unionByName(stored.select("block", F.lit(groups).cast("bigint").alias("group"), nothing("levels", "binary"), "docs"))
+    sent = stored.sparkSession.sparkContext.broadcast(frequent)
     out = pa.schema([pa.field(n, {"boolean": pa.bool_(), "double": pa.float64(), "array<bigint>": pa.list_(pa.int64())}.get(k, pa.int64())) for n, k in (f.split() for f in SCORED.split(", "))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -498,9 +540,16 @@ def score_documents(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     groups = groups_for(size)
-    made = materialise(built(told(docs, groups), groups), "counts")
-    filter_rows, words = made.where("segment is not null").select("segment", "lines", "bits"), made.where("key is not null").select("key", "n")
-    total, distinct, lines = made.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key"), F.coalesce(F.sum("lines"), F.lit(0))).first()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
+    here = size <= TEXTS_A_FILTER * BROADCAST_BYTES
+    if here:
+        made = materialise(built(told(docs, groups), groups), "counts")
+        here = made.agg(F.coalesce(F.sum("lines"), F.lit(0))).first()[0] * LINE // 8 <= BROADCAST_BYTES
+    if not here:
+        stored = materialise(blocked(rows), "blocks", "zstd")
+        made = materialise(answered(asking(stored, groups), groups), "answers", "zstd")
+    words = made.where("key is not null").select("key", "n")
+    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("key")).first()
     by_size = words.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.col("n").desc()).collect()
     least, reached = 1 << 62, 0
     for r in by_size:
@@ -511,11 +560,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     known = got.column("key").to_numpy().view(np.uint64)
     order = np.argsort(known)
     frequent = known[order], got.column("n").to_numpy()[order]
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", held_out().alias("held_out"), "text")
-    if lines * LINE // 8 <= BROADCAST_BYTES:
-        scored = scored_here(rows, whole_filter(filter_rows.toArrow(), groups * SEGMENTS), groups * SEGMENTS, frequent, total, distinct)
+    if here:
+        found = whole_filter(made.where("segment is not null").select("segment", "lines", "bits").toArrow(), groups * SEGMENTS)
+        scored = scored_here(rows, found, groups * SEGMENTS, frequent, total, distinct)
     else:
-        scored = scored_by_group(rows, filter_rows, groups, frequent, total, distinct)
+        answers = made.where("block is not null").select("block", "group", "levels")
+        scored = scored_by_group(stored, answers, groups, frequent, total, distinct)
     scored = materialise(scored, "scored")
     rest = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("key"), F.col("x.times").alias("times"))
     whole = total + 0.1 * (distinct + 1)

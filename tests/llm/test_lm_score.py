@@ -142,3 +142,31 @@ def test_edges(spark, odd_docs, no_docs):
     assert lm_score.score_documents(no_docs).count() == 0
     alone = lm_score.score_documents(odd_docs.where("doc_id is null")).first()
     assert (alone["train_tokens"], alone["n_known"], alone["base_score"]) == (0, 0, 0.0)
+
+
+def test_a_group_probes_each_segment_once_for_all_blocks(monkeypatch):
+    """However many blocks ask; n-grams of held-out documents only have no level unless the filter errs."""
+    rng = np.random.default_rng(5)
+    groups, group, asked = 3, 1, []
+    for block in range(200):
+        key = np.unique(rng.integers(0, 1 << 40, 300).astype(np.uint64) * np.uint64(3) << np.uint64(14))
+        key = key[lm_score.part_of(key, groups) == group]
+        asked.append({"block": block, "keys": lm_score.packed(key), "counts": (key >> np.uint64(20) & np.uint64(1)).astype(np.uint8).tobytes()})
+    calls, probe = [], lm_score.Filter.levels
+    monkeypatch.setattr(lm_score.Filter, "levels", lambda self, key, segment: calls.append(len(key)) or probe(self, key, segment))
+    rows = [dict(r) for r in asked]
+    own = lm_score.Group(group, groups, iter(rows), lm_score.BITS_A_LEVEL)
+    words = list(own.levels())
+    assert len(calls) <= lm_score.SEGMENTS
+    count = Counter()
+    for r in asked:
+        for k, n in zip(lm_score.unpacked(r["keys"]).tolist(), r["counts"], strict=True):
+            count[k] += n
+    assert sum(calls) == len(count)
+    assert {int(k): int(n) for key, n in words for k, n in zip(key, n, strict=True)} == {k: n for k, n in count.items() if n and not k & 3}
+    known = false = 0
+    for r, levels in zip(asked, own.answers, strict=True):
+        true = np.searchsorted(lm_score.LOWS, [count[k] for k in lm_score.unpacked(r["keys"]).tolist()], side="right")
+        assert (levels >= true).all()
+        known, false = known + len(true), false + int((levels > true).sum())
+    assert [r["block"] for r in own.rest] == list(range(200)) and false < 0.1 * known
